@@ -27,7 +27,7 @@ def count_tokens(text: Column) -> Column:
     return F.regexp_count(text, F.lit(f"{NON_SPACE}++"))
 
 
-def _as_chunks(pieces: DataFrame, producer: str) -> DataFrame:
+def _as_chunks(pieces: DataFrame, producer: str, carry: tuple[str, ...] = ()) -> DataFrame:
     now = F.current_timestamp()
     return conform(
         pieces.select(
@@ -42,14 +42,20 @@ def _as_chunks(pieces: DataFrame, producer: str) -> DataFrame:
             F.lit("").alias("source_refs"),
             now.alias("created_at"),
             now.alias("updated_at"),
+            *carry,
         )
     )
 
 
 def fixed_size_chunks(
-    documents: DataFrame, *, budget: int = TOKEN_BUDGET, producer: str = CHUNKS_ASSET
+    documents: DataFrame,
+    *,
+    budget: int = TOKEN_BUDGET,
+    producer: str = CHUNKS_ASSET,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Chunk ``documents(source_id, source_collection_id, text)``.
+    """Chunk ``documents(source_id, source_collection_id, text)``; the columns
+    in ``carry`` are copied to each chunk of their document.
 
     One narrow pass, no shuffle: chunk number and text come from one explode.
     A text without tokens gives the single chunk ``source_{id}``.
@@ -59,15 +65,17 @@ def fixed_size_chunks(
         "source_id",
         "source_collection_id",
         token_windows(F.coalesce("text", F.lit("")), budget).alias("windows"),
+        *carry,
     )
     pieces = windows.select(
         "source_id",
         "source_collection_id",
+        *carry,
         F.posexplode(F.when(F.size("windows") > 0, F.col("windows")).otherwise(fallback)).alias(
             "seq", "text"
         ),
     ).withColumn("token_count", count_tokens(F.col("text")))
-    return _as_chunks(pieces, producer)
+    return _as_chunks(pieces, producer, carry)
 
 
 def encoded_chunks(
