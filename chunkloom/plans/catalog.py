@@ -80,10 +80,9 @@ def insert_variants(existing: DataFrame, new: DataFrame) -> DataFrame:
     The first variant of a source without a canonical one becomes canonical.
     """
     key = ["source_id", "extractor_name", "config_hash"]
-    first = new.groupBy(*key).agg(F.min("id").alias("id"))
-    added = new.join(first, [*key, "id"], "left_semi").join(
-        existing.select(*key), key, "left_anti"
-    )
+    rest = [c for c in new.columns if c not in key and c != "id"]
+    first = new.groupBy(*key).agg(F.min(F.struct("id", *rest)).alias("_row"))
+    added = first.select(*key, "_row.*").join(existing.select(*key), key, "left_anti")
     taken = existing.where("is_canonical").select("source_id").distinct()
     elected = (
         added.join(taken, "source_id", "left_anti")

@@ -116,8 +116,10 @@ def resolve(chained: DataFrame, sources: DataFrame, variants: DataFrame) -> Data
     """Chains with their source (required) and canonical variant (optional);
     status source_missing where the source does not exist."""
     known = sources.select(F.col("id").alias("root_source"), F.lit(True).alias("_found"))
-    canonical = variants.where("is_canonical").select(
-        F.col("source_id").alias("root_source"), F.col("id").alias("variant_id")
+    canonical = (
+        variants.where("is_canonical")
+        .groupBy(F.col("source_id").alias("root_source"))
+        .agg(F.min("id").alias("variant_id"))
     )
     return (
         chained.join(known, "root_source", "left")

@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def chunks_cte(budget: int = 512, name: str = "chunks") -> str:
+def chunks_cte(budget: int = 512, name: str = "chunks", source: str = "documents") -> str:
     """The chunk table in SQL: chunk_id, source_id, source_collection_id, lang,
     text, token_count."""
     return f"""{name} AS (
@@ -37,7 +37,7 @@ def chunks_cte(budget: int = 512, name: str = "chunks") -> str:
                          CASE WHEN len(t) = 0 THEN ['source_' || doc_id] ELSE t END AS w
                   FROM (SELECT doc_id, lang, CAST(substr(source, 4) AS BIGINT) AS cid,
                                regexp_extract_all(text, '\\s*\\S+(?:\\s+\\z)?') AS t
-                        FROM documents))))"""
+                        FROM {source}))))"""
 
 
 CHUNKS = chunks_cte()
