@@ -67,14 +67,20 @@ def fixed_size_chunks(
         token_windows(F.coalesce("text", F.lit("")), budget).alias("windows"),
         *carry,
     )
+    # Every window but the last is full: only last ones are counted.
+    last = F.size("windows") - 1
     pieces = windows.select(
         "source_id",
         "source_collection_id",
         *carry,
+        last.alias("_last"),
         F.posexplode(F.when(F.size("windows") > 0, F.col("windows")).otherwise(fallback)).alias(
             "seq", "text"
         ),
-    ).withColumn("token_count", count_tokens(F.col("text")))
+    ).withColumn(
+        "token_count",
+        F.when(F.col("seq") < F.col("_last"), F.lit(budget)).otherwise(count_tokens(F.col("text"))),
+    )
     return _as_chunks(pieces, producer, carry)
 
 

@@ -134,9 +134,14 @@ def render_markdown(documents: DataFrame, *, title: bool = True) -> DataFrame:
             ),
         ).otherwise(state)
 
+    def finish(state: Column) -> Column:
+        # Only keys spelled with escapes could break the bound: never cut short.
+        unfinished = F.raise_error("document tree not fully opened").cast(_BLOCKS)
+        return F.when(F.size(state["closed"]) == 0, state["done"]).otherwise(unfinished)
+
     blocks = opened.withColumn(
         "_blocks",
-        F.aggregate(F.sequence(F.lit(1), F.col("_steps")), start, step, lambda s: s["done"]),
+        F.aggregate(F.sequence(F.lit(1), F.col("_steps")), start, step, finish),
     )
     name = _text(F.col("_doc"), "$.name")
     head = (

@@ -107,11 +107,14 @@ def _shared_band_edges(signed: DataFrame, scope: str) -> DataFrame:
         "chunk_id", scope, F.posexplode("_bands").alias("band", "digest")
     ).select("chunk_id", scope, "band", "digest.*")
     keys = [scope, "band", "h1", "h2"]
-    hubs = (
+    # Written first: with few shared bands its size shows that the join below
+    # need not shuffle all bands.
+    hubs = materialize(
         bands.groupBy(*keys)
         .agg(F.min("chunk_id").alias("hub"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
-        .drop("n")
+        .drop("n"),
+        "bands",
     )
     return (
         bands.join(hubs, keys)
@@ -128,14 +131,15 @@ def tag_near_duplicates(chunks: DataFrame, scope: str = "source_id") -> DataFram
     from 0 in the order of the heads.
     """
     signed = materialize(
-        signatures(chunks, scope).withColumn("_bands", _bands(F.col("attr_minhash_signature")))
+        signatures(chunks, scope).withColumn("_bands", _bands(F.col("attr_minhash_signature"))),
+        "signatures",
     )
+    # Clusters and labels are worked out on narrow rows; the signatures join
+    # once, at the end.
     roots = connected_components(_shared_band_edges(signed, scope))
-    headed = signed.join(roots, signed.chunk_id == roots.node, "left").select(
-        "chunk_id",
-        scope,
-        "attr_minhash_signature",
-        F.coalesce("root", "chunk_id").alias("_head"),
+    ids = signed.select("chunk_id", scope)
+    headed = ids.join(roots, ids.chunk_id == roots.node, "left").select(
+        "chunk_id", scope, F.coalesce("root", "chunk_id").alias("_head")
     )
     heads = rank_in_group(
         headed.where("chunk_id = _head").select(scope, "_head"),
@@ -143,10 +147,9 @@ def tag_near_duplicates(chunks: DataFrame, scope: str = "source_id") -> DataFram
         ["_head"],
         "attr_minhash_cluster_id",
     )
-    return headed.join(heads, [scope, "_head"]).select(
+    labels = headed.join(heads, [scope, "_head"]).select(
         "chunk_id",
-        scope,
-        "attr_minhash_signature",
         "attr_minhash_cluster_id",
         (F.col("chunk_id") == F.col("_head")).alias("attr_minhash_is_head"),
     )
+    return signed.drop("_bands").join(labels, "chunk_id")

@@ -6,32 +6,37 @@ over many tasks and only carry small per-task summaries between them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chunkloom.session import materialize
 
 
+def _place(df: DataFrame, keys: list[str], parts: int | None) -> DataFrame:
+    """Range-partition by ``keys`` and note each row's range in ``_part``.
+
+    Ranges are cut by sampled quantiles, so they are even however the rows are
+    spread over groups; the written table pins which rows each range holds.
+    """
+    spark = df.sparkSession
+    n = parts or max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
+    )
+    return materialize(
+        df.repartitionByRange(n, *keys).withColumn("_part", F.spark_partition_id()), "ranges"
+    )
+
+
 def rank_in_group(
     df: DataFrame, group: list[str], order: list[str], name: str, parts: int | None = None
 ) -> DataFrame:
     """0-based position of each row in its group by ``order`` (no ties).
 
-    Range partitioning puts consecutive rows of a group into consecutive
-    tasks; each task numbers its own rows, and the rows of earlier tasks are
-    added as an offset from one count per (group, task).
+    Each range numbers its own rows; the rows of earlier ranges are added as an
+    offset from one count per (group, range).
     """
-    keys = group + order
-    n = parts or max(
-        int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")),
-        df.sparkSession.sparkContext.defaultParallelism,
-    )
-    # The written table pins which rows each range holds.
-    placed = materialize(
-        df.repartitionByRange(n, *keys).withColumn("_part", F.spark_partition_id())
-    )
+    placed = _place(df, group + order, parts)
     local = Window.partitionBy(*group, "_part").orderBy(*order)
-    numbered = placed.withColumn("_pos", F.row_number().over(local) - 1)
     before = Window.partitionBy(*group).orderBy("_part").rowsBetween(
         Window.unboundedPreceding, -1
     )
@@ -42,34 +47,34 @@ def rank_in_group(
         .drop("_n")
     )
     return (
-        numbered.join(offsets, [*group, "_part"])
+        placed.withColumn("_pos", F.row_number().over(local) - 1)
+        .join(offsets, [*group, "_part"])
         .withColumn(name, (F.col("_pos") + F.col("_skip")).cast("bigint"))
         .drop("_part", "_pos", "_skip")
     )
 
 
 def previous_in_group(
-    df: DataFrame, key: str, order: list[str], bucket: Column, value: str, name: str
+    df: DataFrame, key: str, order: list[str], value: str, name: str, parts: int | None = None
 ) -> DataFrame:
-    """The previous row's ``value`` in the order of one key.
+    """The previous row's ``value`` in the order of one key (no ties).
 
-    ``bucket`` must grow with the order (for instance the hour of a time
-    stamp).  Windows cover one (key, bucket); across buckets only the last
-    value of each one is passed on.
+    Windows cover one (key, range); from range to range only the last value of
+    a key is passed on.
     """
-    rows = df.withColumn("_bucket", bucket)
-    inside = Window.partitionBy(key, "_bucket").orderBy(*order)
-    across = Window.partitionBy(key).orderBy("_bucket")
+    placed = _place(df, [key, *order], parts)
+    inside = Window.partitionBy(key, "_part").orderBy(*order)
+    across = Window.partitionBy(key).orderBy("_part")
     carried = (
-        rows.groupBy(key, "_bucket")
+        placed.groupBy(key, "_part")
         .agg(F.max_by(value, F.struct(*order)).alias("_last"))
         .withColumn("_carried", F.lag("_last").over(across))
         .drop("_last")
     )
     return (
-        rows.withColumn("_first", F.row_number().over(inside) == 1)
+        placed.withColumn("_first", F.row_number().over(inside) == 1)
         .withColumn("_lag", F.lag(value).over(inside))
-        .join(carried, [key, "_bucket"])
+        .join(carried, [key, "_part"])
         .withColumn(name, F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_lag")))
-        .drop("_bucket", "_first", "_lag", "_carried")
+        .drop("_part", "_first", "_lag", "_carried")
     )

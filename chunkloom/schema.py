@@ -6,7 +6,6 @@ import hashlib
 import json
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Names, order and types of the chunk table, and its conventions.
@@ -39,13 +38,13 @@ def conform(df: DataFrame) -> DataFrame:
     Attribute columns beyond the base schema (the table grows by adding
     columns) follow the base columns unchanged.
     """
-    have = set(df.columns)
+    columns = df.columns
+    have = set(columns)
     base = [
-        (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
+        f"CAST({f'`{f.name}`' if f.name in have else 'NULL'} AS {f.dataType.simpleString()}) AS {f.name}"
         for f in CHUNK_SCHEMA.fields
     ]
-    extra = [F.col(c) for c in df.columns if c not in CHUNK_COLUMNS]
-    return df.select(*base, *extra)
+    return df.selectExpr(*base, *[f"`{c}`" for c in columns if c not in CHUNK_COLUMNS])
 
 
 def config_hash(config: dict) -> str:

@@ -53,6 +53,7 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     Runs the plan once (a checkpoint runs its last stage twice), survives lost
     executors, and gives the steps after it columnar scans with known sizes.
     """
+    tune(df.sparkSession)
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

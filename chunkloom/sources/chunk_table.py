@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chunkloom.schema import CHUNK_SCHEMA, conform
-from chunkloom.session import materialize
+from chunkloom.session import materialize, tune
 from chunkloom.sources import hadoop
 
 LAYOUT = ["producer_asset", "source_bucket"]
@@ -35,22 +35,17 @@ def merge_columns(table: DataFrame, updates: DataFrame) -> DataFrame:
     """
     names = [c for c in updates.columns if c != "chunk_id"]
     row = F.struct(*[F.col(n) for n in names])
-    one = (
-        updates.where("chunk_id IS NOT NULL")
-        .select("chunk_id", row.alias("_new"))
-        .distinct()
-        .groupBy("chunk_id")
-        .agg(F.count(F.lit(1)).alias("_n"), F.first("_new").alias("_new"))
-        .select(
-            "chunk_id",
-            F.when(
-                F.col("_n") > 1,
-                F.raise_error(F.concat(F.lit("conflicting updates for "), "chunk_id")),
-            )
-            .otherwise(F.col("_new"))
-            .alias("_new"),
-            F.lit(True).alias("_hit"),
-        )
+    new = updates.where("chunk_id IS NOT NULL").select(
+        "chunk_id", row.alias("_row"), F.xxhash64(*names).alias("_print")
+    )
+    one = new.groupBy("chunk_id").agg(
+        F.first("_row").alias("_row"), F.min("_print").alias("_p"), F.max("_print").alias("_q")
+    ).select(
+        "chunk_id",
+        F.when(F.col("_p") == F.col("_q"), F.col("_row"))
+        .otherwise(F.raise_error(F.concat(F.lit("conflicting updates for "), "chunk_id")))
+        .alias("_new"),
+        F.lit(True).alias("_hit"),
     )
     joined = table.join(one, "chunk_id", "left")
     types = {f.name: f.dataType for f in table.schema.fields}
@@ -73,6 +68,9 @@ class ChunkTable:
     path: str
     buckets: int = 64
 
+    def __post_init__(self) -> None:
+        tune(self.spark)
+
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64("source_id"), F.lit(self.buckets)).cast("int")
 
@@ -125,7 +123,11 @@ class ChunkTable:
         A source without new rows keeps its old ones, unless it is listed in
         ``replace_empty(source_id, producer_asset)``.
         """
-        new = materialize(conform(rows).withColumn("source_bucket", self._bucket()), "rows")
+        new = conform(rows).withColumn("source_bucket", self._bucket())
+        if not hadoop.has_data(self.spark, self.path):
+            self._overwrite(new)
+            return
+        new = materialize(new, "rows")
         keys = new.select("source_id", *LAYOUT).distinct()
         if replace_empty is not None:
             cleared = replace_empty.select("source_id", "producer_asset").withColumn(

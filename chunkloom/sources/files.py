@@ -25,30 +25,36 @@ def scan_pdfs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def source_rows(files: DataFrame) -> DataFrame:
-    """Source columns of ``files(id, path, content)``: name, hash, size, keys."""
-    sid = F.col("id").cast("string")
+def fingerprints(files: DataFrame) -> DataFrame:
+    """(path, original_name, sha256, size) of ``files(path, content)``; narrow,
+    and the last step that holds contents."""
+    name = F.nullif(F.element_at(F.split("path", "/"), -1), F.lit(""))
     return files.select(
-        "id",
-        F.lit("file").alias("kind"),
-        F.coalesce(
-            F.nullif(F.element_at(F.split("path", "/"), -1), F.lit("")), F.lit("upload.pdf")
-        ).alias("original_name"),
+        "path",
+        F.coalesce(name, F.lit("upload.pdf")).alias("original_name"),
         sha256_hex(F.col("content")).alias("sha256"),
         F.length("content").cast("bigint").alias("size"),
-        F.lit(PDF_MIME).alias("mime_type"),
-        F.concat(F.lit("s3://sources/"), sid, F.lit("/original.pdf")).alias("storage_uri"),
-        F.concat(F.lit("src_"), sid).alias("partition_key"),
     )
 
 
-def number_files(files: DataFrame, first_id: int) -> DataFrame:
-    """Give new files consecutive ids, by path.  Only paths are sorted and
-    shuffled; contents join back by path."""
-    ids = rank_in_group(
-        files.select("path").withColumn("_all", F.lit(0)), ["_all"], ["path"], "id"
-    ).select("path", (F.col("id") + first_id).alias("id"))
-    return files.join(ids, "path")
+def source_rows(files: DataFrame, first_id: int = 1) -> DataFrame:
+    """New sources from ``files(path, content)``, numbered by path from
+    ``first_id`` on."""
+    numbered = rank_in_group(
+        fingerprints(files).withColumn("_all", F.lit(0)), ["_all"], ["path"], "_rank"
+    )
+    sid = (F.col("_rank") + first_id).alias("id")
+    text_id = (F.col("_rank") + first_id).cast("string")
+    return numbered.select(
+        sid,
+        F.lit("file").alias("kind"),
+        "original_name",
+        "sha256",
+        "size",
+        F.lit(PDF_MIME).alias("mime_type"),
+        F.concat(F.lit("s3://sources/"), text_id, F.lit("/original.pdf")).alias("storage_uri"),
+        F.concat(F.lit("src_"), text_id).alias("partition_key"),
+    )
 
 
 def page_count(content: Column) -> Column:

@@ -19,7 +19,7 @@ def call_load(
     key: str,
     window_seconds: int = WINDOW_SECONDS,
     limit: int = CALLS_PER_WINDOW,
-    slice_seconds: int = 3600,
+    slice_seconds: int | None = None,
 ) -> DataFrame:
     """Calls of each key in the window that ends with each call.
 
@@ -29,7 +29,7 @@ def call_load(
     """
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     width = window_seconds * 1_000_000
-    span = slice_seconds * 1_000_000
+    span = (slice_seconds or 10 * window_seconds) * 1_000_000
     timed = calls.withColumn("_us", micros).withColumn("_slice", F.floor(F.col("_us") / span))
     last = F.floor((F.col("_us") + (width - 1)) / span)
     placed = timed.withColumn("_part", F.explode(F.sequence("_slice", last)))

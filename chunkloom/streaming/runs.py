@@ -82,12 +82,12 @@ def processed(events: DataFrame, runs: DataFrame) -> DataFrame:
 def status_changes(events: DataFrame) -> DataFrame:
     """Batch: one row per event that changed its run's status.
 
-    Runs may be long: the previous status is found per (run, day) and carried
-    across days, never by one window over a whole run.
+    Runs may be long: the previous status is found range by range, never by
+    one window over a whole run.
     """
     moves = events.withColumn("to", status_column(F.col("event_type"))).where("to IS NOT NULL")
     ordered = previous_in_group(
-        moves, "run_id", ["ts", "event_id"], F.to_date("ts"), "to", "_previous"
+        moves.select("event_id", "ts", "run_id", "to"), "run_id", ["ts", "event_id"], "to", "_previous"
     )
     return ordered.withColumn("from", F.coalesce("_previous", F.lit(INITIAL_STATUS))).where(
         "from <> to"
@@ -96,8 +96,9 @@ def status_changes(events: DataFrame) -> DataFrame:
 
 def stream_status_changes(events: DataFrame) -> DataFrame:
     """Streaming form of ``status_changes``: the state per run is its status
-    and the position of the event that set it; events of a micro-batch are taken
-    in (ts, event_id) order and older ones than the state are ignored."""
+    and the position of its last event; events of a micro-batch are taken in
+    (ts, event_id) order and older ones than the state are ignored.  The source's
+    per-trigger limit bounds what one micro-batch holds of a run."""
     moves = events.withColumn("to", status_column(F.col("event_type"))).where("to IS NOT NULL")
     out = "event_id bigint, ts timestamp, run_id bigint, `from` string, `to` string"
 

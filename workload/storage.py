@@ -115,29 +115,19 @@ def backfill_sources(spark: SparkSession, sf: str) -> DataFrame:
     return table.read().select("chunk_id", "token_count")
 
 
-@query("""SELECT doc_id AS id, 'doc_' || doc_id || '.pdf' AS original_name, sha256(text) AS sha256,
+@query("""WITH n AS (SELECT *, row_number() OVER (ORDER BY lpad(CAST(doc_id AS VARCHAR), 12, '0')) + 99 AS id
+  FROM documents)
+SELECT id, lpad(CAST(doc_id AS VARCHAR), 12, '0') || '.pdf' AS original_name, sha256(text) AS sha256,
        CAST(octet_length(encode(text)) AS BIGINT) AS size, 'application/pdf' AS mime_type,
-       's3://sources/' || doc_id || '/original.pdf' AS storage_uri,
-       'src_' || doc_id AS partition_key
-FROM documents""")
+       's3://sources/' || id || '/original.pdf' AS storage_uri, 'src_' || id AS partition_key
+FROM n""")
 def source_ingest(spark: SparkSession, sf: str) -> DataFrame:
-    rows = files.source_rows(
-        tables.documents(spark, sf).select(
-            F.col("source_id").alias("id"),
-            F.concat(F.lit("/inbox/doc_"), "source_id", F.lit(".pdf")).alias("path"),
-            F.encode("text", "UTF-8").alias("content"),
-        )
-    )
-    return rows.drop("kind")
-
-
-@query("""SELECT row_number() OVER (ORDER BY url || '#' || page_id) - 1 + 1000 AS id,
-       url || '#' || page_id AS path FROM pages""")
-def file_numbers(spark: SparkSession, sf: str) -> DataFrame:
-    found = tables.table(spark, sf, "pages").select(
-        F.concat("url", F.lit("#"), "page_id").alias("path")
+    """Source rows of new files: name, hash, size, and consecutive ids."""
+    found = tables.documents(spark, sf).select(
+        F.concat(F.lit("/inbox/"), F.lpad(F.col("source_id").cast("string"), 12, "0"), F.lit(".pdf")).alias("path"),
+        F.encode("text", "UTF-8").alias("content"),
     )
-    return files.number_files(found, 1000).select("id", "path")
+    return files.source_rows(found, 100).drop("kind")
 
 
 @query("""WITH p AS (SELECT doc_id, CASE WHEN n_chars % 3 = 0 THEN 0 ELSE n_chars % 7 + 1 END AS n
