@@ -9,26 +9,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 # Names, order and types of the chunk table, and its conventions.
-CHUNK_DDL = """
-    chunk_id string, source_id bigint, source_collection_id bigint,
-    producer_asset string, producer_version string,
-    text string, token_count int, docling_refs string, source_refs string,
-    augmented_from string, augmenter_id string, augmenter_config_hash string,
-    attr_quality_score float, attr_quality_provider string,
-    attr_lang_code string, attr_lang_confidence float,
-    attr_minhash_signature array<bigint>, attr_minhash_cluster_id bigint,
-    attr_minhash_is_head boolean,
-    attr_pii_has_pii boolean, attr_pii_categories array<string>,
-    attr_embed_vector array<float>,
-    created_at timestamp, updated_at timestamp
-"""
+_FIELDS: list[tuple[str, T.DataType]] = [
+    ("chunk_id", T.StringType()),
+    ("source_id", T.LongType()),
+    ("source_collection_id", T.LongType()),
+    ("producer_asset", T.StringType()),
+    ("producer_version", T.StringType()),
+    ("text", T.StringType()),
+    ("token_count", T.IntegerType()),
+    ("docling_refs", T.StringType()),
+    ("source_refs", T.StringType()),
+    ("augmented_from", T.StringType()),
+    ("augmenter_id", T.StringType()),
+    ("augmenter_config_hash", T.StringType()),
+    ("attr_quality_score", T.FloatType()),
+    ("attr_quality_provider", T.StringType()),
+    ("attr_lang_code", T.StringType()),
+    ("attr_lang_confidence", T.FloatType()),
+    ("attr_minhash_signature", T.ArrayType(T.LongType())),
+    ("attr_minhash_cluster_id", T.LongType()),
+    ("attr_minhash_is_head", T.BooleanType()),
+    ("attr_pii_has_pii", T.BooleanType()),
+    ("attr_pii_categories", T.ArrayType(T.StringType())),
+    ("attr_embed_vector", T.ArrayType(T.FloatType())),
+    ("created_at", T.TimestampType()),
+    ("updated_at", T.TimestampType()),
+]
 CHUNKS_ASSET = "chunks"
 CHUNKER_VERSION = "0.1.0"
 TOKEN_BUDGET = 512
 EXTRACTOR_NAME = "mineru"
 EXTRACTOR_VERSION = "0.1.0"
 
-CHUNK_SCHEMA: T.StructType = T.StructType.fromDDL(CHUNK_DDL)
+CHUNK_SCHEMA = T.StructType([T.StructField(name, kind) for name, kind in _FIELDS])
 CHUNK_COLUMNS: list[str] = CHUNK_SCHEMA.fieldNames()
 
 

@@ -137,7 +137,20 @@ class ChunkTable:
         kept = self._touched(keys.select(*LAYOUT).distinct()).join(
             keys.drop("source_bucket"), ["source_id", "producer_asset"], "left_anti"
         )
-        self._overwrite(new.unionByName(kept, allowMissingColumns=True))
+        result = new.unionByName(kept, allowMissingColumns=True)
+        if replace_empty is None:
+            self._overwrite(result)
+            return
+        # A folder left without rows is not part of the write: remove it.  The
+        # lists hold folders, at most ``buckets`` per producer.
+        result = materialize(result, "rows")
+        folders = {tuple(r) for r in keys.select(*LAYOUT).distinct().collect()}
+        emptied = folders - {tuple(r) for r in result.select(*LAYOUT).distinct().collect()}
+        self._overwrite(result)
+        for producer, bucket in emptied:
+            hadoop.delete(
+                self.spark, f"{self.path}/producer_asset={producer}/source_bucket={bucket}"
+            )
 
     def merge(self, updates: DataFrame, producers: list[str] | None = None) -> None:
         """Column mode on the stored table.
