@@ -9,7 +9,10 @@ from chunkloom.operators.models import Completion
 
 class QuoteModel:
     """Quotes the prompt; every seventh length gives prose instead of JSON,
-    every eleventh a JSON number, every thirteenth fails."""
+    every eleventh a JSON number, every thirteenth fails (unless ``steady``)."""
+
+    def __init__(self, steady: bool = False) -> None:
+        self.steady = steady
 
     def complete(self, prompts: list[str], max_tokens: int) -> list[Completion]:
         return [self._one(p) for p in prompts]
@@ -20,7 +23,7 @@ class QuoteModel:
             return Completion("no json here", "quote")
         if n % 11 == 0:
             return Completion("0.5", "quote")
-        if n % 13 == 0:
+        if n % 13 == 0 and not self.steady:
             return Completion(error="overloaded")
         answer = {"instruction": f"Quote: {prompt[:40]}", "output": n}
         return Completion(json.dumps(answer, ensure_ascii=False), "quote")

@@ -98,7 +98,7 @@ def recipe_preview(spark: SparkSession, sf: str) -> DataFrame:
             "config": {"prompt_template": "{token_count} tokens: {text}", "fallback_on_failure": True},
         },
     }
-    return recipes.preview(tables.chunks(spark, sf), definition, 5, QuoteModel)
+    return recipes.preview(tables.chunks(spark, sf), definition, 5, lambda: QuoteModel(steady=True))
 
 
 @query("""WITH k AS (SELECT o_orderkey AS id, CASE o_orderkey % 4
