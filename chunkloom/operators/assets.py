@@ -18,6 +18,7 @@ from chunkloom.operators.language import tag_language_by_stop_words
 from chunkloom.operators.minhash import tag_near_duplicates
 from chunkloom.operators.quality import tag_quality
 from chunkloom.schema import CHUNKS_ASSET
+from chunkloom.session import scratch_tables
 from chunkloom.sources.chunk_table import ChunkTable
 
 
@@ -55,4 +56,5 @@ def run_tagger(table: ChunkTable, asset: Asset | str, requested: DataFrame | Non
     asset = ASSETS[asset] if isinstance(asset, str) else asset
     if asset.mode != "column":
         raise ValueError(f"{asset.name} is no tagger")
-    table.merge(asset.run(original_chunks(table.read(), requested)), producers=[CHUNKS_ASSET])
+    with scratch_tables(table.spark):
+        table.merge(asset.run(original_chunks(table.read(), requested)), producers=[CHUNKS_ASSET])

@@ -66,11 +66,12 @@ def signature_column(text: Column) -> Column:
 
         def one(value: str | None) -> np.ndarray:
             w = value.lower().split() if value else []
-            grams = {" ".join(w[i : i + SHINGLE_WORDS]) for i in range(len(w) - SHINGLE_WORDS + 1)}
+            grams = set(map(" ".join, zip(*(w[i:] for i in range(SHINGLE_WORDS)))))
             if not grams:
                 return empty
-            digests = b"".join(hashlib.sha1(g.encode()).digest()[:4] for g in grams)
-            hashes = np.frombuffer(digests, dtype="<u4").astype(np.uint64)
+            # A digest is five 32-bit words; the first is the hash.
+            digests = b"".join([hashlib.sha1(g.encode()).digest() for g in grams])
+            hashes = np.frombuffer(digests, dtype="<u4")[::5].astype(np.uint64)
             best = np.full(NUM_PERM, MAX_HASH, dtype=np.uint64)
             # Blocks keep the work matrix small whatever the text's length.
             for at in range(0, len(hashes), 512):

@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from chunkloom.sources import hadoop
+
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
@@ -47,13 +52,36 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+_open = threading.local()
+
+
+@contextmanager
+def scratch_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables ``materialize`` writes inside, once the block is done.
+
+    For blocks that end in an action: a frame that still reads such a table
+    must not leave the block.  Without a block the tables stay until the shared
+    folder is cleared.
+    """
+    outer = getattr(_open, "paths", None)
+    _open.paths = []
+    try:
+        yield
+    finally:
+        for path in _open.paths:
+            hadoop.delete(spark, path)
+        _open.paths = outer
+
+
 def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     """Cut the lineage of a job by a table written to the shared folder.
 
     Runs the plan once (a checkpoint runs its last stage twice), survives lost
     executors, and gives the steps after it columnar scans with known sizes.
     """
-    tune(df.sparkSession)
-    path = scratch_path(df.sparkSession, label)
+    spark = tune(df.sparkSession)
+    path = scratch_path(spark, label)
+    if getattr(_open, "paths", None) is not None:
+        _open.paths.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chunkloom.schema import CHUNK_SCHEMA, conform
-from chunkloom.session import materialize, tune
+from chunkloom.session import materialize, scratch_tables, tune
 from chunkloom.sources import hadoop
 
 LAYOUT = ["producer_asset", "source_bucket"]
@@ -123,6 +123,10 @@ class ChunkTable:
         A source without new rows keeps its old ones, unless it is listed in
         ``replace_empty(source_id, producer_asset)``.
         """
+        with scratch_tables(self.spark):
+            self._replace(rows, replace_empty)
+
+    def _replace(self, rows: DataFrame, replace_empty: DataFrame | None) -> None:
         new = conform(rows).withColumn("source_bucket", self._bucket())
         if not hadoop.has_data(self.spark, self.path):
             self._overwrite(new)
@@ -158,6 +162,10 @@ class ChunkTable:
         With a ``source_id`` column in ``updates`` only the buckets of those
         sources are read and rewritten; ``producers`` narrows it further.
         """
+        with scratch_tables(self.spark):
+            self._merge(updates, producers)
+
+    def _merge(self, updates: DataFrame, producers: list[str] | None) -> None:
         stored = self._stored()
         if producers is not None:
             stored = stored.where(F.col("producer_asset").isin(producers))

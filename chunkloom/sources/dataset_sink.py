@@ -74,8 +74,10 @@ def write_dataset(
             files = hadoop.listing(spark, empty, ".parquet")
         for i, (path, _) in enumerate(files):
             hadoop.rename(spark, path, f"{target}/data/{split}-{i:05d}.parquet")
+        hadoop.delete(spark, f"{staging}-{split}")
         num_rows = spark.read.parquet(f"{target}/data/{split}-*.parquet").count()
         sizes[split] = (sum(size for _, size in files), num_rows)
+    hadoop.delete(spark, staging)
     hadoop.write_text(
         spark, f"{target}/recipe.json", json.dumps(recipe, ensure_ascii=False, indent=2)
     )

@@ -105,3 +105,22 @@ def test_taggers_see_originals_of_requested_sources(spark, table):
     assert ASSETS["chunks"].mode == "row"
     with pytest.raises(ValueError):
         run_tagger(table, "chunks")
+
+
+def test_scratch_tables_are_removed(spark, table):
+    import os
+
+    from chunkloom.session import materialize, scratch_tables, shared_dir
+
+    def left():
+        return {n for n in os.listdir(shared_dir(spark)) if n.split("-")[0] in ("rows", "updates", "step", "signatures", "bands", "ranges")}
+
+    before = left()
+    table.replace_rows(fixed_size_chunks(docs(spark, range(6))))
+    table.replace_rows(fixed_size_chunks(docs(spark, range(3))))
+    run_tagger(table, "attr_minhash")
+    with scratch_tables(spark):
+        assert materialize(spark.range(5)).count() == 5
+    assert left() == before
+    kept = materialize(spark.range(5))
+    assert kept.count() == 5 and len(left()) == len(before) + 1

@@ -157,10 +157,19 @@ def stream_notifications(spark: SparkSession, sf: str) -> DataFrame:
     return _notification_columns(_drain(stream, "notifications"))
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT event_id, user_id, epoch_us(ts) AS us,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+w AS (
+  SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS q,
+         CAST(NULL AS BIGINT) AS event_id, false AS accepted FROM events
+  UNION ALL
+  SELECT user_id, n, CASE WHEN len(f) < 3 THEN list_append(f, us) ELSE f END, event_id, len(f) < 3
+  FROM (SELECT c.user_id, c.n, c.us, c.event_id,
+               list_filter(w.q, lambda x: c.us - x < 21600000000) AS f
+        FROM w JOIN c ON c.user_id = w.user_id AND c.n = w.n + 1))
+SELECT user_id AS caller, event_id AS call_id, accepted FROM w WHERE n > 0""")
 def stream_limiter(spark: SparkSession, sf: str) -> DataFrame:
-    """Three calls in six hours per user; whether a call is let through depends
-    on those before it, which SQL cannot say."""
+    """Three calls in six hours per user; rejected calls do not count."""
     calls = _event_stream(spark, sf).select(
         F.col("run_id").alias("caller"), F.col("event_id").alias("call_id"), "ts"
     )
