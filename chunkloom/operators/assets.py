@@ -41,14 +41,9 @@ ASSETS: dict[str, Asset] = {
 }
 
 
-def original_chunks(chunks: DataFrame, requested: DataFrame | None = None) -> DataFrame:
-    """What taggers see: rows of the chunker, never derived ones; of the
-    requested sources ``requested(id)``, if given."""
-    rows = chunks.where(F.col("producer_asset") == CHUNKS_ASSET)
-    if requested is None:
-        return rows
-    wanted = requested.select(F.col("id").alias("source_id")).distinct()
-    return rows.join(wanted, "source_id", "left_semi")
+def original_chunks(chunks: DataFrame) -> DataFrame:
+    """What taggers see: rows of the chunker, never derived ones."""
+    return chunks.where(F.col("producer_asset") == CHUNKS_ASSET)
 
 
 def run_tagger(table: ChunkTable, asset: Asset | str, requested: DataFrame | None = None) -> None:
@@ -57,4 +52,4 @@ def run_tagger(table: ChunkTable, asset: Asset | str, requested: DataFrame | Non
     if asset.mode != "column":
         raise ValueError(f"{asset.name} is no tagger")
     with scratch_tables(table.spark):
-        table.merge(asset.run(original_chunks(table.read(), requested)), producers=[CHUNKS_ASSET])
+        table.merge(asset.run(original_chunks(table.read(requested))), producers=[CHUNKS_ASSET])

@@ -74,9 +74,21 @@ class ChunkTable:
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64("source_id"), F.lit(self.buckets)).cast("int")
 
-    def read(self) -> DataFrame:
-        """All rows; an absent table reads as empty with the base schema."""
-        return self._stored().drop("source_bucket")
+    def read(self, requested: DataFrame | None = None) -> DataFrame:
+        """All rows, or those of the sources ``requested(id)``, whose buckets
+        alone are scanned.  An absent table reads as empty."""
+        stored = self._stored()
+        if requested is not None:
+            wanted = requested.select(F.col("id").alias("source_id")).distinct()
+            stored = stored.where(self._bucket_in(wanted)).join(wanted, "source_id", "left_semi")
+            stored = stored.select(*self._schema().fieldNames())
+        return stored.drop("source_bucket")
+
+    def _bucket_in(self, rows: DataFrame) -> Column:
+        """Predicate on the bucket folders of ``rows(source_id)``.  The list has
+        at most ``buckets`` numbers; as literals they prune the scan for sure."""
+        found = rows.select(self._bucket().alias("b")).distinct().collect()
+        return F.col("source_bucket").isin([r.b for r in found])
 
     def _schema(self) -> T.StructType:
         """Base schema, layout and the columns added since.
@@ -111,11 +123,17 @@ class ChunkTable:
             .parquet(self.path)
         )
 
-    def _touched(self, folders: DataFrame) -> DataFrame:
-        """Stored rows of the given folders.  At most ``buckets`` folders per
-        producer are listed, which bounds the broadcast; it prunes the scan."""
-        stored = self._stored()
-        return stored.join(F.broadcast(folders), LAYOUT, "left_semi")
+    def _touched(self, keys: DataFrame) -> tuple[set[tuple], DataFrame]:
+        """Folders of ``keys`` (at most ``buckets`` per producer) and the rows
+        stored in them; the folder names are literals, so they prune the scan."""
+        folders = {tuple(r) for r in keys.select(*LAYOUT).distinct().collect()}
+        inside = F.lit(False)
+        for producer in sorted({p for p, _ in folders}):
+            buckets = [b for p, b in folders if p == producer]
+            inside = inside | (
+                (F.col("producer_asset") == producer) & F.col("source_bucket").isin(buckets)
+            )
+        return folders, self._stored().where(inside)
 
     def replace_rows(self, rows: DataFrame, *, replace_empty: DataFrame | None = None) -> None:
         """Row mode: new rows of a (source, producer) replace its old rows.
@@ -138,17 +156,16 @@ class ChunkTable:
                 "source_bucket", self._bucket()
             )
             keys = keys.unionByName(cleared.select("source_id", *LAYOUT)).distinct()
-        kept = self._touched(keys.select(*LAYOUT).distinct()).join(
+        folders, stored = self._touched(keys)
+        kept = stored.join(
             keys.drop("source_bucket"), ["source_id", "producer_asset"], "left_anti"
         )
         result = new.unionByName(kept, allowMissingColumns=True)
         if replace_empty is None:
             self._overwrite(result)
             return
-        # A folder left without rows is not part of the write: remove it.  The
-        # lists hold folders, at most ``buckets`` per producer.
+        # A folder left without rows is not part of the write: remove it.
         result = materialize(result, "rows")
-        folders = {tuple(r) for r in keys.select(*LAYOUT).distinct().collect()}
         emptied = folders - {tuple(r) for r in result.select(*LAYOUT).distinct().collect()}
         self._overwrite(result)
         for producer, bucket in emptied:
@@ -171,9 +188,6 @@ class ChunkTable:
             stored = stored.where(F.col("producer_asset").isin(producers))
         if "source_id" in updates.columns:
             updates = materialize(updates, "updates")
-            buckets = updates.select(self._bucket().alias("source_bucket")).distinct()
-            stored = stored.join(F.broadcast(buckets), "source_bucket", "left_semi").select(
-                *stored.columns
-            )
+            stored = stored.where(self._bucket_in(updates))
             updates = updates.drop("source_id")
         self._overwrite(merge_columns(stored, updates))

@@ -91,6 +91,11 @@ def test_source_and_producer_prune_the_scan(spark, table):
     table.replace_rows(fixed_size_chunks(docs(spark, range(6))))
     plan = original_chunks(table.read())._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(producer_asset" in plan
+    table.replace_rows(fixed_size_chunks(docs(spark, range(6, 40))))
+    some = table.read(spark.createDataFrame([(3,), (3,), (99,)], "id bigint"))
+    assert [r.source_id for r in some.collect()] == [3]
+    plan = original_chunks(some)._jdf.queryExecution().toString()
+    assert "source_bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
 
 
 def test_taggers_see_originals_of_requested_sources(spark, table):
