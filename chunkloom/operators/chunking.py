@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,11 +99,12 @@ def encoded_chunks(
     error.  Returns (chunks, failures).
     """
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = load_encoding()
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.string()]
         for batch in batches:
             out = []
-            for sid, cid, text in batch.itertuples(index=False):
+            for sid, cid, text in zip(*(c.to_pylist() for c in batch.columns)):
                 try:
                     ids = encoding.encode(text or "") or encoding.encode(f"source_{sid}")
                 except Exception as exc:
@@ -112,12 +113,13 @@ def encoded_chunks(
                 for seq, start in enumerate(range(0, len(ids), budget)):
                     window = ids[start : start + budget]
                     out.append((sid, cid, seq, encoding.decode(window), len(window), None))
-            yield pd.DataFrame(
-                out,
-                columns=["source_id", "source_collection_id", "seq", "text", "token_count", "error"],
-            ).astype({"seq": "Int32", "token_count": "Int32", "source_collection_id": "Int64"})
+            columns = list(zip(*out)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds)],
+                names=["source_id", "source_collection_id", "seq", "text", "token_count", "error"],
+            )
 
-    pieces = documents.select("source_id", "source_collection_id", "text").mapInPandas(
+    pieces = documents.select("source_id", "source_collection_id", "text").mapInArrow(
         cut,
         "source_id bigint, source_collection_id bigint, seq int, text string,"
         " token_count int, error string",

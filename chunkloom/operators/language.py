@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,7 +71,7 @@ def tag_language(
     undetermined, the others of its batch keep their answers.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         detect = make_detector()
 
         def one(text: str) -> tuple[str, float]:
@@ -80,20 +81,28 @@ def tag_language(
                 return UNDETERMINED
 
         for batch in batches:
-            texts = batch.pop("text").tolist()
+            texts = batch.column(2).to_pylist()
             try:
                 answers = list(detect(texts))
                 if len(answers) != len(texts):
                     raise ValueError("the detector returned another number of answers")
             except Exception:
                 answers = [one(t) for t in texts]
-            yield batch.assign(code=[a[0] for a in answers], score=[float(a[1]) for a in answers])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    batch.column(1),
+                    pa.array([a[0] for a in answers], pa.string()),
+                    pa.array([float(a[1]) for a in answers], pa.float64()),
+                ],
+                names=["chunk_id", "source_id", "code", "score"],
+            )
 
     blank = F.coalesce(strip(F.col("text")), F.lit("")) == ""
     asked = (
         chunks.where(~blank)
         .select("chunk_id", "source_id", "text")
-        .mapInPandas(run, "chunk_id string, source_id bigint, code string, score double")
+        .mapInArrow(run, "chunk_id string, source_id bigint, code string, score double")
     )
     answered = asked.select(
         "chunk_id",

@@ -6,8 +6,9 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 
 @dataclass
@@ -33,7 +34,13 @@ class MockModel:
         return [Completion("0.5", "mock") for _ in prompts]
 
 
-_RESULT = "content string, model string, input_tokens bigint, output_tokens bigint, error string"
+_ANSWER: list[tuple[str, T.DataType]] = [
+    ("content", T.StringType()),
+    ("model", T.StringType()),
+    ("input_tokens", T.LongType()),
+    ("output_tokens", T.LongType()),
+    ("error", T.StringType()),
+]
 
 
 def complete(
@@ -47,23 +54,27 @@ def complete(
 
     The model is made once per task; a prompt's failure stays in its row.
     """
-    keep = [f for f in prompts.schema.fields if f.name != prompt]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep)
+    keep = [f.name for f in prompts.schema.fields if f.name != prompt]
+    schema = T.StructType(
+        [prompts.schema[name] for name in keep] + [T.StructField(n, t) for n, t in _ANSWER]
+    )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = make_model()
         for batch in batches:
-            asked = batch[prompt].tolist()
+            asked = batch.column(len(keep)).to_pylist()
             try:
                 answers = model.complete(asked, max_tokens)
                 if len(answers) != len(asked):
                     raise ValueError("the model returned another number of answers")
             except Exception as exc:
                 answers = [Completion(error=f"{type(exc).__name__}: {exc}") for _ in asked]
-            out = batch.drop(columns=[prompt])
-            for field in ("content", "model", "input_tokens", "output_tokens", "error"):
-                out[field] = [getattr(a, field) for a in answers]
-            yield out
-
-    ordered = prompts.select(*[f.name for f in keep], prompt)
-    return ordered.mapInPandas(run, f"{schema}, {_RESULT}")
+            fields = [
+                pa.array([getattr(a, n) for a in answers], pa.int64() if n.endswith("tokens") else pa.string())
+                for n, _ in _ANSWER
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(i) for i in range(len(keep))] + fields, names=schema.names
+            )
+
+    return prompts.select(*keep, prompt).mapInArrow(run, schema)

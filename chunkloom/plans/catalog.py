@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chunkloom.plans.skew import join_salted
+
 # Listing orders.
 ORDERS: dict[str, list[tuple[str, bool]]] = {
     # (column, descending with NULLs last)
@@ -59,12 +61,11 @@ def missing_ids(requested: DataFrame, sources: DataFrame) -> DataFrame:
 def set_canonical(variants: DataFrame, extractor: str) -> DataFrame:
     """For every source with a variant of ``extractor``, its latest one (largest
     id) becomes the only canonical variant; other sources keep theirs."""
-    chosen = (
-        variants.where(F.col("extractor_name") == extractor)
-        .groupBy("source_id")
-        .agg(F.max("id").alias("_chosen"))
+    chosen = variants.groupBy("source_id").agg(
+        F.max(F.when(F.col("extractor_name") == extractor, F.col("id"))).alias("_chosen"),
+        F.count(F.lit(1)).alias("n"),
     )
-    return variants.join(chosen, "source_id", "left").select(
+    return join_salted(variants, chosen, "source_id", F.col("id"), how="left").select(
         *[
             F.when(F.col("_chosen").isNull(), F.col(c)).otherwise(F.col("id") == F.col("_chosen")).alias(c)
             if c == "is_canonical"
@@ -83,15 +84,15 @@ def insert_variants(existing: DataFrame, new: DataFrame) -> DataFrame:
     rest = [c for c in new.columns if c not in key and c != "id"]
     first = new.groupBy(*key).agg(F.min(F.struct("id", *rest)).alias("_row"))
     added = first.select(*key, "_row.*").join(existing.select(*key), key, "left_anti")
-    taken = existing.where("is_canonical").select("source_id").distinct()
+    taken = existing.where("is_canonical").select("source_id")
     elected = (
         added.join(taken, "source_id", "left_anti")
         .groupBy("source_id")
-        .agg(F.min("id").alias("_first"))
-    )
-    rows = added.drop("is_canonical").join(elected, "source_id", "left").withColumn(
-        "is_canonical", F.coalesce(F.col("id") == F.col("_first"), F.lit(False))
+        .agg(F.min("id").alias("_first"), F.count(F.lit(1)).alias("n"))
     )
+    rows = join_salted(
+        added.drop("is_canonical"), elected, "source_id", F.col("id"), how="left"
+    ).withColumn("is_canonical", F.coalesce(F.col("id") == F.col("_first"), F.lit(False)))
     return existing.unionByName(rows.select(*existing.columns))
 
 

@@ -3,8 +3,8 @@
 The published two-step scheme (Kiveris et al., "Connected Components in
 MapReduce and Beyond", 2014): each step replaces the neighbours of a node by
 their minimum, so the graph shrinks to stars around the smallest node.  A node's minimum is a
-plain aggregate (combined on the map side) joined back to the edges, so no
-task ever holds all neighbours of a hub.
+plain aggregate (combined on the map side) joined back to the edges with
+salted hubs, so no task ever holds all neighbours of a hub.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chunkloom.plans.skew import join_salted
 from chunkloom.session import materialize
 
 MAX_ROUNDS = 100
@@ -20,19 +21,19 @@ MAX_ROUNDS = 100
 def _large_star(edges: DataFrame) -> DataFrame:
     """Connect each larger neighbour of a node to the node's minimum."""
     both = edges.union(edges.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
-    lowest = both.groupBy("hi").agg(F.least(F.min("lo"), F.col("hi")).alias("root"))
-    return (
-        both.where("lo > hi")
-        .join(lowest, "hi")
-        .select(F.col("lo").alias("hi"), F.col("root").alias("lo"))
+    lowest = both.groupBy("hi").agg(
+        F.least(F.min("lo"), F.col("hi")).alias("root"), F.count(F.lit(1)).alias("n")
+    )
+    return join_salted(both.where("lo > hi"), lowest, "hi", F.col("lo")).select(
+        F.col("lo").alias("hi"), F.col("root").alias("lo")
     )
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Connect a node and its smaller neighbours to the smallest of them."""
-    lowest = edges.groupBy("hi").agg(F.min("lo").alias("root"))
+    lowest = edges.groupBy("hi").agg(F.min("lo").alias("root"), F.count(F.lit(1)).alias("n"))
     moved = (
-        edges.join(lowest, "hi")
+        join_salted(edges, lowest, "hi", F.col("lo"))
         .where("lo != root")
         .select(F.col("lo").alias("hi"), F.col("root").alias("lo"))
     )

@@ -115,23 +115,26 @@ def broken_parents(chunks: DataFrame) -> DataFrame:
 def resolve(chained: DataFrame, sources: DataFrame, variants: DataFrame) -> DataFrame:
     """Chains with their source (required) and canonical variant (optional);
     status source_missing where the source does not exist."""
-    known = sources.select(F.col("id").alias("root_source"), F.lit(True).alias("_found"))
     canonical = (
         variants.where("is_canonical")
-        .groupBy(F.col("source_id").alias("root_source"))
+        .groupBy(F.col("source_id").alias("id"))
         .agg(F.min("id").alias("variant_id"))
     )
-    return (
-        chained.join(known, "root_source", "left")
-        .join(canonical, "root_source", "left")
-        .select(
-            "chunk_id",
-            "entries",
-            F.when((F.col("status") == "ok") & F.col("_found").isNull(), "source_missing")
-            .otherwise(F.col("status"))
-            .alias("status"),
-            "root_id",
-            F.col("root_source").alias("source_id"),
-            "variant_id",
-        )
+    # One row per source, written first: many chains may share a source, and
+    # only a join of two plain scans is split when it is skewed.
+    known = materialize(
+        sources.select("id").join(canonical, "id", "left").select(
+            F.col("id").alias("root_source"), "variant_id", F.lit(True).alias("_found")
+        ),
+        "sources",
+    )
+    return chained.join(known, "root_source", "left").select(
+        "chunk_id",
+        "entries",
+        F.when((F.col("status") == "ok") & F.col("_found").isNull(), "source_missing")
+        .otherwise(F.col("status"))
+        .alias("status"),
+        "root_id",
+        F.col("root_source").alias("source_id"),
+        "variant_id",
     )

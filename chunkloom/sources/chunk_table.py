@@ -79,7 +79,7 @@ class ChunkTable:
         alone are scanned.  An absent table reads as empty."""
         stored = self._stored()
         if requested is not None:
-            wanted = requested.select(F.col("id").alias("source_id")).distinct()
+            wanted = requested.select(F.col("id").alias("source_id"))
             stored = stored.where(self._bucket_in(wanted)).join(wanted, "source_id", "left_semi")
             stored = stored.select(*self._schema().fieldNames())
         return stored.drop("source_bucket")

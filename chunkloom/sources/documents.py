@@ -45,9 +45,11 @@ def require_bodies(requested: DataFrame, bodies: DataFrame) -> DataFrame:
 def manifest_json(
     bucket: Column, key: Column, sha256: Column, run_id: Column, created_at: Column,
     config: dict | None = None, extractor: str = EXTRACTOR_NAME,
-    version: str = EXTRACTOR_VERSION,
+    version: str = EXTRACTOR_VERSION, images: Column | None = None,
 ) -> Column:
-    """The manifest of one extraction: inputs, extractor identity and run."""
+    """The manifest of one extraction: inputs, extractor identity, run and the
+    file names of its images."""
+    none = F.array().cast("array<string>")
     return F.to_json(
         F.struct(
             F.lit(1).alias("schema_version"),
@@ -59,41 +61,49 @@ def manifest_json(
             F.array(
                 F.struct(bucket.alias("bucket"), key.alias("key"), sha256.alias("sha256"))
             ).alias("source_refs"),
-            F.array().cast("array<string>").alias("images"),
+            (none if images is None else F.coalesce(images, none)).alias("images"),
         )
     )
 
 
-def write_documents(documents: DataFrame, root: str, run_id: str) -> None:
-    """Write bodies, then the manifests as the commit marker.
+def write_documents(
+    documents: DataFrame, root: str, run_id: str, images: DataFrame | None = None
+) -> None:
+    """Write bodies, then images, then the manifests as the commit marker.
 
-    ``documents(source_id, source_key, sha256, doc_json)``.  Both are tables
-    below ``root``, one folder per run; a run is complete when its manifest
-    folder has ``_SUCCESS``.  A failed run removes what it wrote.
+    ``documents(source_id, source_key, sha256, doc_json)`` and
+    ``images(source_id, filename, data)``.  Each is a table below ``root``, one
+    folder per run; a run is complete when its manifest folder has ``_SUCCESS``.
+    A failed run removes what it wrote.
     """
     spark = documents.sparkSession
-    bodies = f"{root}/bodies/run={run_id}"
-    manifests = f"{root}/manifests/run={run_id}"
+    parts = {p: f"{root}/{p}/run={run_id}" for p in ("bodies", "images", "manifests")}
     try:
-        documents.write.mode("overwrite").parquet(bodies)
-        (
-            spark.read.parquet(bodies)
-            .select(
-                "source_id",
-                manifest_json(
-                    F.lit("sources"),
-                    F.col("source_key"),
-                    F.col("sha256"),
-                    F.lit(run_id),
-                    F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"),
-                ).alias("manifest"),
+        documents.write.mode("overwrite").parquet(parts["bodies"])
+        written = spark.read.parquet(parts["bodies"])
+        names = None
+        if images is not None:
+            images.write.mode("overwrite").parquet(parts["images"])
+            listed = (
+                spark.read.parquet(parts["images"])
+                .groupBy("source_id")
+                .agg(F.sort_array(F.collect_list("filename")).alias("_images"))
             )
-            .write.mode("overwrite")
-            .parquet(manifests)
+            written, names = written.join(listed, "source_id", "left"), F.col("_images")
+        manifest = manifest_json(
+            F.lit("sources"),
+            F.col("source_key"),
+            F.col("sha256"),
+            F.lit(run_id),
+            F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"),
+            images=names,
+        )
+        written.select("source_id", manifest.alias("manifest")).write.mode("overwrite").parquet(
+            parts["manifests"]
         )
     except Exception:
-        hadoop.delete(spark, manifests)
-        hadoop.delete(spark, bodies)
+        for part in parts.values():
+            hadoop.delete(spark, part)
         raise
 
 

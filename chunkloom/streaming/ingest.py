@@ -15,7 +15,7 @@ def backfill(documents: DataFrame, requested: DataFrame, table: ChunkTable) -> N
 
     Safe to repeat: each run writes the same rows.
     """
-    wanted = requested.select(F.col("id").alias("source_id")).distinct()
+    wanted = requested.select(F.col("id").alias("source_id"))
     table.replace_rows(fixed_size_chunks(documents.join(wanted, "source_id", "left_semi")))
 
 

@@ -113,6 +113,9 @@ def test_document_sink_commits_last_and_cleans_up(spark, folder):
     manifest = json.loads(spark.read.parquet(f"{folder}/manifests/run=r1").first().manifest)
     assert manifest["source_refs"] == [{"bucket": "sources", "key": "sources/1/original.pdf", "sha256": "ab"}]
     assert manifest["schema_version"] == 1 and manifest["images"] == [] and manifest["dagster_run_id"] == "r1"
+    pictures = spark.createDataFrame([(1, "b.png", bytearray(b"b")), (1, "a.png", bytearray(b"a")), (2, "c.png", bytearray(b"c"))], "source_id bigint, filename string, data binary")
+    documents.write_documents(rows, folder, "r3", pictures)
+    assert json.loads(spark.read.parquet(f"{folder}/manifests/run=r3").first().manifest)["images"] == ["a.png", "b.png"]
     bad = rows.withColumn("doc_json", F.raise_error(F.lit("disk full")).cast("string"))
     with pytest.raises(PySparkException, match="disk full"):
         documents.write_documents(bad, folder, "r2")

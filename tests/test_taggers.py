@@ -46,6 +46,8 @@ def test_model_answers_keep_their_rows(spark):
     df = spark.range(50).select("id", F.concat(F.lit("p"), "id").alias("prompt"))
     got = complete(df, MockModel).collect()
     assert {r.id for r in got} == set(range(50)) and {r.content for r in got} == {"0.5"}
+    big = spark.createDataFrame([(2**60 + 1, "p", [1, 2]), (None, "q", None)], "id bigint, prompt string, tags array<int>")
+    assert {(r.id, tuple(r.tags or ())) for r in complete(big).collect()} == {(2**60 + 1, (1, 2)), (None, ())}
 
 
 class Detector:
