@@ -123,9 +123,9 @@ def resolve(chained: DataFrame, sources: DataFrame, variants: DataFrame) -> Data
     # One row per source, written first: many chains may share a source, and
     # only a join of two plain scans is split when it is skewed.
     known = materialize(
-        sources.select("id").join(canonical, "id", "left").select(
-            F.col("id").alias("root_source"), "variant_id", F.lit(True).alias("_found")
-        ),
+        sources.select("id", F.lit(True).alias("_found"))
+        .join(canonical, "id", "full")
+        .select(F.col("id").alias("root_source"), "variant_id", "_found"),
         "sources",
     )
     return chained.join(known, "root_source", "left").select(
