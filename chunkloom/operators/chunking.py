@@ -57,30 +57,24 @@ def fixed_size_chunks(
     """Chunk ``documents(source_id, source_collection_id, text)``; the columns
     in ``carry`` are copied to each chunk of their document.
 
-    One narrow pass, no shuffle: chunk number and text come from one explode.
+    One narrow pass, no shuffle: number, text and size come from one generator.
     A text without tokens gives the single chunk ``source_{id}``.
     """
-    fallback = F.array(F.concat(F.lit("source_"), F.col("source_id").cast("string")))
-    windows = documents.select(
-        "source_id",
-        "source_collection_id",
-        token_windows(F.coalesce("text", F.lit("")), budget).alias("windows"),
-        *carry,
-    )
-    # Every window but the last is full: only last ones are counted.
-    last = F.size("windows") - 1
-    pieces = windows.select(
-        "source_id",
-        "source_collection_id",
-        *carry,
-        last.alias("_last"),
-        F.posexplode(F.when(F.size("windows") > 0, F.col("windows")).otherwise(fallback)).alias(
-            "seq", "text"
+    windows = token_windows(F.coalesce("text", F.lit("")), budget)
+    name = F.concat(F.lit("source_"), F.col("source_id").cast("string"))
+    cut = documents.select("source_id", "source_collection_id", *carry, windows.alias("_cut"))
+    named = cut.withColumn("_cut", F.when(F.size("_cut") > 0, F.col("_cut")).otherwise(F.array(name)))
+    # Every window but the last is full: only last ones are counted.  Counting
+    # inside the generator keeps later filters from repeating it.
+    rows = F.transform(
+        "_cut",
+        lambda w, i: F.struct(
+            i.alias("seq"),
+            w.alias("text"),
+            F.when(i < F.size("_cut") - 1, F.lit(budget)).otherwise(count_tokens(w)).alias("token_count"),
         ),
-    ).withColumn(
-        "token_count",
-        F.when(F.col("seq") < F.col("_last"), F.lit(budget)).otherwise(count_tokens(F.col("text"))),
     )
+    pieces = named.select("source_id", "source_collection_id", *carry, F.inline(rows))
     return _as_chunks(pieces, producer, carry)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from chunkloom.operators import synthesis
 from chunkloom.operators.models import BatchModel, MockModel
 from chunkloom.plans.filters import QueryError, where
+from chunkloom.session import materialize
 from chunkloom.sources.dataset_sink import write_dataset
 
 # Sample numbers of a preview, the key format of a version.
@@ -79,11 +80,12 @@ def preview(
     template = definition.get("schema", {}).get("template")
     if template not in TEMPLATES:
         raise RecipeError(f"no preview for template {template!r}")
-    sample = (
+    sample = materialize(
         where(chunks, _predicate(definition))
         .select(*[c for c in synthesis.PREVIEW_COLUMNS if c in chunks.columns])
         .orderBy("source_id", "chunk_id")
-        .limit(n_samples)
+        .limit(n_samples),
+        "sample",
     )
     if sample.isEmpty():
         raise RecipeError("no matching chunks for preview; check the filter")

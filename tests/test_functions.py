@@ -14,7 +14,7 @@ from chunkloom.operators.synthesis import split_of
 from chunkloom.schema import config_hash
 
 TEXTS = st.lists(st.text(st.characters(exclude_categories=["Cs"], exclude_characters="\x00\x1c\x1d\x1e\x1f"), max_size=40), min_size=1, max_size=30)
-QUIET = settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+QUIET = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
 
 def column(spark, values, *exprs):
