@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.llm import simhash
+from chunkloom.llm import decontam, embeddings, simhash
 from chunkloom.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,3 +35,45 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 @query()
 def op7_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf, "documents"))
+
+
+@query(
+    """
+    WITH RECURSIVE
+      v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+      l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+            WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+      reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a)
+    SELECT r.a AS vec_id, (SELECT count(*) FROM l WHERE l.a = r.a) AS n_links,
+           min(r.b) AS component_id, r.a = min(r.b) AS kept
+    FROM reach r GROUP BY r.a
+    """
+)
+def op8_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf, "embeddings"))
+
+
+WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query(
+    f"""
+    WITH
+      d AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+      i AS (SELECT item_id, {WORDS_SQL} AS w FROM benchmark),
+      iw AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, s + 1, s + 10), ' ') AS k, least(10, len(w)) AS n
+             FROM (SELECT *, unnest(range(0, greatest(len(w) - 10, 0) + 1)) AS s FROM i WHERE len(w) > 0)),
+      sizes AS (SELECT DISTINCT n FROM iw),
+      dw AS (SELECT doc_id, s, n, array_to_string(list_slice(w, s + 1, s + n), ' ') AS k
+             FROM (SELECT *, unnest(range(0, len(w) - n + 1)) AS s FROM d, sizes WHERE len(w) >= n)),
+      hits AS (SELECT doc_id, s, dw.n, item_id FROM dw JOIN iw USING (k, n)),
+      pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hits) GROUP BY doc_id),
+      its AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS items
+              FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM hits) GROUP BY doc_id)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
+    """
+)
+def op3_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return decontam.report(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
