@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.llm import decontam, embeddings, simhash
+from chunkloom.llm import decontam, embeddings, licenses, simhash
 from chunkloom.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,3 +77,8 @@ WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOP
 )
 def op3_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontam.report(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query()
+def op10_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.scan(table(spark, sf, "documents"))
