@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.llm import decontam, embeddings, licenses, simhash
+from chunkloom.llm import decontam, embeddings, licenses, packing, simhash
 from chunkloom.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,3 +83,8 @@ def op3_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op10_licenses(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.scan(table(spark, sf, "documents"))
+
+
+@query()
+def op6_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
