@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.llm import decontam, embeddings, licenses, packing, simhash
-from chunkloom.session import tune
+from chunkloom.llm import decontam, embeddings, licenses, packing, simhash, warc
+from chunkloom.session import scratch_path, tune
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -88,3 +88,25 @@ def op10_licenses(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op6_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query(
+    """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+         f AS (SELECT *, min(page_id) OVER (PARTITION BY t) AS first FROM p)
+    SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes, sha256(t) AS payload_digest,
+           CASE WHEN strlen(t) >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN strlen(t) >= 100 AND page_id <> first THEN first END AS refers_to
+    FROM f
+    """
+)
+def op5_warc(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_archives(table(spark, sf, "pages"), path)
+    return warc.read_archives(spark, path).select(
+        F.col("id").cast("long").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        F.col("type").alias("record_type"),
+        F.col("refers").cast("long").alias("refers_to"),
+    )
