@@ -6,8 +6,7 @@ documents; since a window must be contained whole, its rarest word alone is a
 necessary prefix.  Document words join the prefix words; positional bounds (the
 window begins and ends inside the document) and the length of the document
 follow from the prefix's place, and the candidate window is then compared word
-by word.  Windows that share a prefix place form one anchor, so a copied
-passage costs a few rows, not one per window.
+by word.  Windows equal in several items are one.
 
 The anchors are broadcast in blocks of at most ``BLOCK_WINDOWS`` windows, however many
 the benchmark has; each block is one pass over the documents.  Words are split and compared in
@@ -47,73 +46,71 @@ def item_windows(benchmark: DataFrame, item_column: str, text_column: str) -> Da
 
 
 def occurrences(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(doc_id, body, words, pos, word): each word of each document and one END."""
+    """(doc_id, body, words, pos, word): each word of each document and one END.
+
+    The list is never empty; the outer form only keeps the optimizer from
+    splitting the text once more to check that.
+    """
     words = F.concat(raw_words(F.col(text_column)), F.array(F.lit(END)))
     rows = docs.select(
         F.col(id_column).alias("doc_id"), F.xxhash64(text_column).alias("body"), words.alias("words")
     )
-    return rows.select("doc_id", "body", "words", F.posexplode("words").alias("pos", "word"))
+    return rows.select("doc_id", "body", "words", F.posexplode_outer("words").alias("pos", "word"))
 
 
 def word_counts(docs: DataFrame, vocabulary: DataFrame, text_column: str) -> DataFrame:
     """How often all documents use each word of a small vocabulary (word, uses)."""
-    used = docs.select(F.explode(raw_words(F.col(text_column))).alias("raw")).select(F.lower("raw").alias("word"))
+    used = docs.select(F.explode_outer(raw_words(F.col(text_column))).alias("raw")).select(F.lower("raw").alias("word"))
     return used.join(F.broadcast(vocabulary), "word").groupBy("word").agg(F.count(F.lit(1)).alias("uses"))
 
 
 def anchors_of(windows: DataFrame, uses: DataFrame) -> DataFrame:
-    """(word, items, before, size): a prefix word and the windows that need it there.
+    """(word, before, size, key, head, items): each distinct window by its prefix word.
 
-    ``texts`` holds the windows joined by blanks, with their distance to the
-    prefix word (``before``) and word count; windows equal in all three are
-    one, and carry all their items.
+    ``before`` is the prefix word's distance from the window's start, ``key`` the
+    window's words joined by blanks and ``head`` the first of them.
     """
     span = F.slice("words", F.col("first") + 1, WINDOW)
     parts = windows.select("item_id", span.alias("span")).withColumn("key", F.array_join("span", " "))
     one = parts.groupBy("key").agg(F.any_value("span").alias("span"), F.collect_set("item_id").alias("items"))
     places = one.select("key", F.posexplode("span").alias("before", "word"))
-    # Joined by the form in which documents are searched; see ``window_hits``.
+    # In the form in which the words of documents are met; see ``window_hits``.
     ranked = places.withColumn("word", F.lower("word")).join(uses, "word", "left")
     rarest = ranked.groupBy("key").agg(
         F.min(F.struct(F.coalesce("uses", F.lit(0)).alias("uses"), "word", "before")).alias("rarest")
     )
     return one.join(rarest, "key").select(
-        F.col("rarest.word").alias("word"), F.col("rarest.before").alias("before"), F.size("span").alias("size"), "key", "items"
+        F.col("rarest.word").alias("word"),
+        F.col("rarest.before").alias("before"),
+        F.size("span").alias("size"),
+        "key",
+        F.lower(F.get("span", F.lit(0))).alias("head"),
+        "items",
     )
 
 
 def window_hits(docs: DataFrame, anchors: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(doc_id, body, n_words, hits): per place of a prefix word the windows that occur
-    there, plus one row without hits for each document.
+    """(doc_id, body, n_words, first, last, items): each place where a window occurs,
+    plus one row with null ``items`` for each document.
 
     Words meet lower-cased in full, which never separates equal words; the
-    comparison then lower-cases only A-Z.
+    comparison of the whole window lower-cases only A-Z.
     """
-    window = F.struct("before", "size", "key", "items")
-    needles = anchors.groupBy("word").agg(F.collect_list(window).alias("windows"))
-    end = docs.sparkSession.createDataFrame([(END,)], "word string").withColumn(
-        "windows", F.lit(None).cast(needles.schema["windows"].dataType)
-    )
-    found = occurrences(docs, id_column, text_column).withColumn("word", F.lower("word")).join(
-        F.broadcast(needles.unionByName(end)), "word"
+    end = docs.sparkSession.range(1).select(
+        *(F.lit(END if f.name == "word" else None).cast(f.dataType).alias(f.name) for f in anchors.schema)
     )
+    found = occurrences(docs, id_column, text_column)
+    needles = F.broadcast(anchors.union(end))
+    first = F.col("pos") - F.col("before")
     n_words = F.size("words") - 1
-
-    def occurs(w: Column) -> Column:
-        first = F.col("pos") - w["before"]
-        inside = (first >= 0) & (first + w["size"] <= n_words)
-        # Positions outside are never sliced: the bounds come first.
-        text = F.array_join(F.slice("words", F.greatest(first, F.lit(0)) + 1, w["size"]), " ")
-        return inside & (F.octet_length(text) == F.octet_length(w["key"])) & (ascii_lower(text) == w["key"])
-
-    hits = F.transform(
-        F.filter("windows", occurs),
-        lambda w: F.struct(
-            (F.col("pos") - w["before"]).alias("first"), (F.col("pos") - w["before"] + w["size"]).alias("last"), w["items"].alias("items")
-        ),
-    )
-    return found.select("doc_id", "body", n_words.alias("n_words"), hits.alias("hits"), (F.col("word") == END).alias("is_end")).where(
-        F.col("is_end") | (F.size("hits") > 0)
+    inside = (first >= 0) & (first + F.col("size") <= n_words)
+    text = F.array_join(F.slice("words", first + 1, F.col("size")), " ")
+    occurs = inside & (F.lower(F.get("words", first)) == F.col("head")) & (ascii_lower(text) == F.col("key"))
+    # One expression with a fixed order of evaluation: no slice is taken outside the document.
+    matches = F.when(F.col("key").isNull(), True).when(~inside, False).otherwise(occurs)
+    return (
+        found.join(needles, (F.lower(found.word) == anchors.word) & matches)
+        .select("doc_id", "body", n_words.alias("n_words"), first.alias("first"), (first + F.col("size")).alias("last"), "items")
     )
 
 
@@ -153,15 +150,15 @@ def contamination(
     blocks = range(max(1, -(-anchors.count() // block_windows)))
     block_of = F.pmod(F.xxhash64("key"), F.lit(len(blocks)))
     hits = [window_hits(docs, anchors.where(block_of == b), id_column, text_column) for b in blocks]
-    hits = reduce(DataFrame.union, [hits[0], *(h.where("NOT is_end") for h in hits[1:])])
-    spans = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.transform("hits", lambda h: F.struct(h["first"], h["last"]))))))
+    hits = reduce(DataFrame.union, [hits[0], *(h.where("items IS NOT NULL") for h in hits[1:])])
+    is_hit = F.col("items").isNotNull()
     return (
         hits.groupBy("doc_id", "body")
         .agg(
-            F.count_if("is_end").alias("rows"),
+            F.count_if(~is_hit).alias("rows"),
             F.max("n_words").cast("long").alias("n_words"),
-            spans.alias("spans"),
-            F.array_sort(F.array_distinct(F.flatten(F.flatten(F.collect_set(F.col("hits.items")))))).alias("items"),
+            F.array_sort(F.collect_set(F.when(is_hit, F.struct("first", "last")))).alias("spans"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
         )
         .select("doc_id", "body", "rows", "n_words", covered(F.col("spans")).alias("n_hit"), "items")
     )
