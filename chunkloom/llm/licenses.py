@@ -97,7 +97,7 @@ def votes(docs: DataFrame, id_column: str, text_column: str, k: int = K) -> Data
     rows = docs.select(
         F.col(id_column).alias("doc_id"), F.xxhash64(text_column).alias("body"), words_of(F.col(text_column)).alias("words")
     )
-    grams = rows.select("doc_id", "body", "words", F.posexplode(rolling_hashes(F.col("words"), k)).alias("p", "hash"))
+    grams = rows.select("doc_id", "body", "words", F.posexplode_outer(rolling_hashes(F.col("words"), k)).alias("p", "hash"))
     known = templates(docs.sparkSession, k)
     end = docs.sparkSession.range(1).select(
         F.lit(END).cast("long"), F.lit(None).cast("string"), F.lit(None).cast(known.schema["places"].dataType)
