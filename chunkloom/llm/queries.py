@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.llm import decontam, embeddings, licenses, packing, simhash, warc
+from chunkloom.llm import chat, decontam, embeddings, licenses, packing, simhash, warc
 from chunkloom.session import scratch_path, tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,3 +110,32 @@ def op5_warc(spark: SparkSession, sf: str) -> DataFrame:
         F.col("type").alias("record_type"),
         F.col("refers").cast("long").alias("refers_to"),
     )
+
+
+def chat_sql() -> str:
+    """Conversations, formatted_chars by counting control strings."""
+    opened = " ".join(f"WHEN '{role}' THEN {len(c)}" for role, c in chat.OPEN.items())
+    controls = " + ".join(f"2 * ((length(t) - length(replace(t, '{c}', ''))) // {len(c)})" for c in chat.CONTROLS)
+    escapes = "length(t) - length(replace(t, chr(26), ''))"
+    other = len("<|role|>") + len("<|text|>")
+    return f"""
+    WITH c AS (
+      SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
+      UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+    SELECT conv_id, count(*) AS n_turns,
+           sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn, r, t)) AS turns_sha256,
+           CAST(coalesce(sum(length(t)) FILTER (r = 'assistant'), 0) AS BIGINT) AS loss_chars,
+           sha256(coalesce(string_agg(t, '' ORDER BY turn, r, t) FILTER (r = 'assistant'), '')) AS loss_sha256,
+           CAST(sum(CASE r {opened} ELSE {other} + length(r) END + 4 + length(t) + {escapes} + {controls}) AS BIGINT)
+             AS formatted_chars
+    FROM c GROUP BY conv_id
+    """
+
+
+@query(chat_sql())
+def op1_chat(spark: SparkSession, sf: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    return chat.read_back(chat.format_turns(turns.union(extra), path), path)
