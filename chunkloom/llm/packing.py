@@ -30,44 +30,80 @@ from chunkloom.session import materialize
 
 CAPACITY = 2048
 SEPARATOR = 0
-# Words a task remembers the tokens of.
-CACHED_WORDS = 300_000
+# Words encoded in one text, and bytes of texts whose distinct words are.
+JOINED_WORDS = 1000
+SLICE = 6 << 20
+# Words whose parts can be counted: no combining marks, only letters with one lower case.
+PLAIN_WORD = r"^[\x21-\x7E\x{C0}-\x{12F}\x{131}-\x{24F}]+$"
+# Fixed value: how the vocabulary's tokenizer splits lower-cased text.
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|\pL+|\pN|[^\s\pL\pN]+"
 # Ranks that one row of the plan may cover before it is split.
 RUN_ROWS = 100_000
 
 
 def word_encoder(path: str) -> Callable:
-    """An encoder of texts for tokenizers that drop white space and never join
-    words across it: each distinct word of a batch is encoded once."""
+    """An encoder for the vocabulary of lower-case words with word ends, which drops
+    white space and never joins parts across it.
+
+    Each distinct word of a batch is encoded once: many in one text, apart again by
+    the tokens that end a part.  Texts with combining marks (or the one letter that
+    becomes one in lower case) or special tokens are encoded whole, and words of scripts beyond extended Latin one by one.
+    """
     import numpy as np
     import pyarrow as pa
     import pyarrow.compute as pc
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    known: dict[str, tuple[int, ...]] = {}
+    vocabulary = tokenizer.get_vocab()
+    ends_part = np.zeros(max(vocabulary.values()) + 1, bool)
+    ends_part[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
-    def encode(texts: pa.Array):
-        """Token ids of all texts in a row, and the number of tokens of each text."""
-        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
-        words = pc.list_flatten(lists).dictionary_encode()
-        names = words.dictionary.to_pylist()
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        new = [w for w in names if w not in known]
-        for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[w] = tuple(e.ids)
-        ids = [known[w] for w in names]
+    def lists_of(texts: list[str]):
+        """Ids of all texts in a row, and how many each has."""
+        ids = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for word in ids for i in word), np.uint32, int(sizes.sum()))
-        starts = np.cumsum(sizes) - sizes
-        index = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        return np.concatenate([np.asarray(i, np.uint32) for i in ids] or [np.empty(0, np.uint32)]), sizes
+
+    def encode_words(words: pa.Array):
+        plain = pc.match_substring_regex(words, PLAIN_WORD).to_numpy(zero_copy_only=False)
+        parts = pc.count_substring_regex(pc.utf8_lower(words), PARTS).to_numpy(zero_copy_only=False).astype(np.int64)
+        names = words.filter(pa.array(plain)).to_pylist()
+        joined, _ = lists_of([" ".join(names[i : i + JOINED_WORDS]) for i in range(0, len(names), JOINED_WORDS)])
+        last = np.concatenate([[-1], np.flatnonzero(ends_part[joined])])[np.cumsum(parts[plain])]
+        other, other_sizes = lists_of(words.filter(pa.array(~plain)).to_pylist())
+        sizes = np.empty(len(words), np.int64)
+        sizes[plain], sizes[~plain] = np.diff(last, prepend=-1), other_sizes
+        starts = np.empty(len(words), np.int64)
+        starts[plain] = np.cumsum(sizes[plain]) - sizes[plain]
+        starts[~plain] = len(joined) + np.cumsum(other_sizes) - other_sizes
+        return np.concatenate([joined, other]), starts, sizes
+
+    def encode_plain(texts: pa.Array):
+        spaced = pc.replace_substring(pc.ascii_lower(texts), "\n", " ")
+        lists = pc.split_pattern(pc.replace_substring_regex(spaced, r"(\pL)([.,]) ", r"\1 \2 "), " ")
+        words = pc.list_flatten(lists).dictionary_encode()
+        flat, starts, sizes = encode_words(words.dictionary)
+        index = words.indices.to_numpy(zero_copy_only=False)
         lengths = sizes[index]
         ends = np.cumsum(lengths)
         place = np.repeat(starts[index] - (ends - lengths), lengths) + np.arange(int(lengths.sum()))
-        per_word = np.concatenate([[0], ends])
         bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
-        return flat[place], np.diff(per_word[bounds])
+        return flat[place], np.diff(np.concatenate([[0], ends])[bounds])
+
+    def encode(texts: pa.Array):
+        """Token ids of all texts in a row, and the number of tokens of each text."""
+        whole = pc.match_substring_regex(texts, r"<\||\pM|\x{130}").to_numpy(zero_copy_only=False)
+        flat, sizes = encode_plain(texts.filter(pa.array(~whole)))
+        if not whole.any():
+            return flat, sizes
+        other, other_sizes = lists_of(texts.filter(pa.array(whole)).to_pylist())
+        counts = np.empty(len(texts), np.int64)
+        counts[~whole], counts[whole] = sizes, other_sizes
+        own = np.repeat(whole, counts)
+        ids = np.empty(len(own), np.uint32)
+        ids[~own], ids[own] = flat, other
+        return ids, counts
 
     return encode
 
@@ -81,7 +117,7 @@ def _cutter(path: str, capacity: int, keep_ids: bool):
         encode = word_encoder(path)
         for batch in batches:
             texts = pc.fill_null(batch.column("text"), "")
-            for a, b in byte_slices(pc.binary_length(texts).to_pylist(), 4 << 20):
+            for a, b in byte_slices(pc.binary_length(texts).to_pylist(), SLICE):
                 docs = batch.column("doc_id").slice(a, b - a)
                 ids, counts = encode(texts.slice(a, b - a))
                 pieces = (counts + capacity) // capacity
@@ -163,6 +199,8 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Pieces -> the same rows with sequence_id and offset."""
     spark = pieces.sparkSession
+    # Ranking samples its input first; the texts are not encoded again for that.
+    pieces = materialize(pieces, "pieces")
     ranked = materialize(rank_in_group(pieces, ["length"], ["doc_id", "piece", "ids_crc32"], "rank"), "ranked")
     # At most ``capacity`` rows, whatever the number of documents.
     histogram = dict(map(tuple, ranked.groupBy("length").count().collect()))
