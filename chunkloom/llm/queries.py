@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.llm import chat, decontam, embeddings, licenses, packing, simhash, warc
+from chunkloom.llm import chat, decontam, embeddings, langid, licenses, packing, simhash, warc
+from chunkloom.llm.common import fold
 from chunkloom.session import scratch_path, tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -139,3 +140,12 @@ def op1_chat(spark: SparkSession, sf: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
     return chat.read_back(chat.format_turns(turns.union(extra), path), path)
+
+
+@query()
+def op2_language(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    held_out = fold(F.col("doc_id"), 3, 1)
+    predict = langid.predictor(langid.learn(docs.where(~held_out)))
+    answers = docs.select("doc_id", held_out.alias("held_out"), predict("text").alias("answer"))
+    return answers.select("doc_id", "held_out", "answer.lang_pred", "answer.score")
