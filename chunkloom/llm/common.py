@@ -53,8 +53,9 @@ def byte_slices(sizes, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
-def text_bytes(column):
-    """A string array's bytes with A-Z lower-cased, and its row offsets; null: empty."""
+def text_bytes(column, lower: bool = True):
+    """A string array's bytes, with A-Z lower-cased or as they are, and its row
+    offsets; null: empty."""
     import numpy as np
     import pyarrow as pa
     import pyarrow.compute as pc
@@ -66,9 +67,9 @@ def text_bytes(column):
     offsets = np.frombuffer(ends, np.int64)[column.offset : column.offset + len(column) + 1]
     raw = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
     raw = raw[offsets[0] : offsets[-1]] if len(column) else raw[:0]
-    lower = np.arange(256, dtype=np.uint8)
-    lower[65:91] += 32
-    return lower[raw], offsets - offsets[0]
+    table = np.arange(256, dtype=np.uint8)
+    table[65:91] += 32 * lower
+    return table[raw], offsets - offsets[0]
 
 
 def byte_class(pattern_bytes: bytes):

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.llm import chat, decontam, embeddings, langid, licenses, packing, simhash, warc
+from chunkloom.llm import chat, decontam, embeddings, langid, licenses, packing, pu_quality, simhash, warc
 from chunkloom.llm.common import fold
 from chunkloom.session import scratch_path, tune
 
@@ -149,3 +149,10 @@ def op2_language(spark: SparkSession, sf: str) -> DataFrame:
     predict = langid.predictor(langid.learn(docs.where(~held_out)))
     answers = docs.select("doc_id", held_out.alias("held_out"), predict("text").alias("answer"))
     return answers.select("doc_id", "held_out", "answer.lang_pred", "answer.score")
+
+
+@query()
+def op4_quality(spark: SparkSession, sf: str) -> DataFrame:
+    held_out = fold(F.col("doc_id"), 5, 0)
+    scored = pu_quality.score_documents(table(spark, sf, "documents"), table(spark, sf, "labels"), ~held_out)
+    return scored.select("doc_id", (~F.col("training")).alias("held_out"), "score", "predicted")
