@@ -223,6 +223,16 @@ def scorer(scores):
     return score
 
 
+def _statistics_table(docs: DataFrame, training: Column, id_column: str, text_column: str) -> DataFrame:
+    columns = F.col(id_column).alias("doc_id"), training.alias("training"), statistics(F.col(text_column)).alias("x")
+    return materialize(docs.select(*columns), "statistics")
+
+
+def learn(docs: DataFrame, labels: DataFrame, training: Column, id_column: str = "doc_id", text_column: str = "text"):
+    """A function of the column of statistics, fitted to the rows of ``docs`` where ``training``."""
+    return scorer(fit(_statistics_table(docs.where(training), training, id_column, text_column), labels))
+
+
 def score_documents(
     docs: DataFrame, labels: DataFrame, training: Column, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
@@ -230,12 +240,7 @@ def score_documents(
 
     ``training`` says of a row of ``docs`` whether its label may be learned.
     """
-    stats = materialize(
-        docs.select(
-            F.col(id_column).alias("doc_id"), training.alias("training"), statistics(F.col(text_column)).alias("x")
-        ),
-        "statistics",
-    )
+    stats = _statistics_table(docs, training, id_column, text_column)
     score = scorer(fit(stats.where("training"), labels))
     return stats.select("doc_id", "training", score("x").alias("score")).withColumn(
         "predicted", (F.col("score") >= THRESHOLD).cast("int")

@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.llm import chat, decontam, embeddings, langid, licenses, packing, pu_quality, simhash, warc
+from chunkloom.llm import chat, decontam, embeddings, langid, licenses, lm, packing, pu_quality, simhash, warc
 from chunkloom.llm.common import fold
 from chunkloom.session import scratch_path, tune
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Query] = {}
+QUERIES: dict[str, Query] = {"pipeline": corpus_pipeline.run}
 ORACLES: dict[str, str] = {}
 
 
@@ -156,3 +157,10 @@ def op4_quality(spark: SparkSession, sf: str) -> DataFrame:
     held_out = fold(F.col("doc_id"), 5, 0)
     scored = pu_quality.score_documents(table(spark, sf, "documents"), table(spark, sf, "labels"), ~held_out)
     return scored.select("doc_id", (~F.col("training")).alias("held_out"), "score", "predicted")
+
+
+@query()
+def op9_lm(spark: SparkSession, sf: str) -> DataFrame:
+    held_out = fold(F.col("doc_id"), 10, 0)
+    scored = lm.score_documents(table(spark, sf, "documents"), F.col("doc_id").isNotNull() & ~held_out)
+    return scored.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
