@@ -1,0 +1,72 @@
+"""Embedding near-duplicates against all pairs."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from chunkloom.llm import embeddings
+
+SCHEMA = "vec_id long, embedding array<float>, label int"
+
+
+def expected(rows, threshold=0.93):
+    out, n = [], len(rows)
+    links = {i: set() for i in range(n)}
+    vectors = []
+    for _, v, label in rows:
+        usable = v is not None and label is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)
+        x = np.array(v, np.float32).astype(np.float64) if usable else None
+        vectors.append(x / np.linalg.norm(x) if usable else None)
+    for i in range(n):
+        for j in range(n):
+            a, b = vectors[i], vectors[j]
+            if i != j and rows[i][2] == rows[j][2] and a is not None and b is not None and len(a) == len(b) and a @ b >= threshold:
+                links[i].add(j)
+    for i in range(n):
+        seen, todo = {i}, [i]
+        while todo:
+            new = links[todo.pop()] - seen
+            seen |= new
+            todo += new
+        first = min((rows[k][0] for k in seen if rows[k][0] is not None), default=None)
+        out.append((rows[i][0], len(links[i]), first, rows[i][0] == first))
+    return sorted(out, key=str)
+
+
+def vectors_near(rng, centre, n, noise):
+    return [(centre + rng.normal(size=len(centre)) * noise).tolist() for _ in range(n)]
+
+
+@pytest.mark.parametrize("block", [7, 1024])
+def test_against_all_pairs(spark, block):
+    rng = np.random.default_rng(3)
+    rows, vec = [], 0
+    for label in (0, 1, None):
+        for _ in range(4):
+            centre = rng.normal(size=64)
+            for v in vectors_near(rng, centre, 12, 0.2):
+                rows.append((vec, v, label))
+                vec += 1
+    rows += [(500, rows[0][1], 0), (500, rows[0][1], 0), (501, rows[0][1], 1), (None, rows[0][1], 0), (None, [3.0, 4.0], 1)]
+    rows += [(600, None, 0), (601, [], 0), (602, [0.0] * 64, 0), (603, [float("nan")] * 64, 0), (604, [1.0, None], 0), (605, [1e30, 2e30], 1)]
+    rows += [(606, [1e-30, 2e-30], 1), (607, [float("inf"), 1.0], 1), (608, [5.0], 1), (609, [1.0], 1), (610, [-1.0], 1)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("keys", F.lit(1)).withColumn("cid", F.lit(2))
+    got = sorted(map(tuple, embeddings.near_duplicates(df, block=block).collect()), key=str)
+    assert got == expected(rows)
+
+
+def test_empty_table(spark):
+    assert embeddings.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_recall_at_the_threshold():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = rng.normal(size=x.shape)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    y = 0.93 * x + np.sqrt(1 - 0.93**2) * z
+    shape = (len(x), embeddings.TABLES, embeddings.PROBES)
+    a, b = embeddings.codes_of(x).reshape(shape), embeddings.codes_of(y).reshape(shape)
+    assert (a[:, :, :, None] == b[:, :, None, :]).any(axis=(1, 2, 3)).mean() > 0.995
