@@ -30,7 +30,7 @@ END = 0
 # Words that may be inserted or missing between two votes of one span.
 SLACK = 6
 # Share of a template's words that a span must cover.
-COVERAGE = 0.6
+COVERAGE = 0.7
 
 # Phrases that make a base label, and their labels.
 PHRASES = {
