@@ -22,7 +22,8 @@ class Completion:
 
 class BatchModel(Protocol):
     """Completes a batch of prompts.  A failed prompt comes back with ``error``;
-    an exception fails its whole batch the same way."""
+    after an exception the batch's prompts are asked again one by one, so that
+    only those that raise by themselves fail."""
 
     def complete(self, prompts: list[str], max_tokens: int) -> list[Completion]: ...
 
@@ -43,6 +44,18 @@ _ANSWER: list[tuple[str, T.DataType]] = [
 ]
 
 
+def _ask(model: BatchModel, prompts: list[str], max_tokens: int) -> list[Completion]:
+    try:
+        answers = model.complete(prompts, max_tokens)
+        if len(answers) != len(prompts):
+            raise ValueError("the model returned another number of answers")
+        return answers
+    except Exception as exc:
+        if len(prompts) == 1:
+            return [Completion(error=f"{type(exc).__name__}: {exc}")]
+        return [a for p in prompts for a in _ask(model, [p], max_tokens)]
+
+
 def complete(
     prompts: DataFrame,
     make_model: Callable[[], BatchModel] = MockModel,
@@ -63,12 +76,7 @@ def complete(
         model = make_model()
         for batch in batches:
             asked = batch.column(len(keep)).to_pylist()
-            try:
-                answers = model.complete(asked, max_tokens)
-                if len(answers) != len(asked):
-                    raise ValueError("the model returned another number of answers")
-            except Exception as exc:
-                answers = [Completion(error=f"{type(exc).__name__}: {exc}") for _ in asked]
+            answers = _ask(model, asked, max_tokens)
             fields = [
                 pa.array([getattr(a, n) for a in answers], pa.int64() if n.endswith("tokens") else pa.string())
                 for n, _ in _ANSWER

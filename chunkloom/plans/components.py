@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from chunkloom.plans.skew import join_salted
 from chunkloom.session import materialize
 
-MAX_ROUNDS = 100
-
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Connect each larger neighbour of a node to the node's minimum."""
@@ -58,8 +56,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """``edges(hi, lo)`` with hi > lo -> ``(node, root)`` for every node that is
     not the smallest of its component."""
     current = materialize(edges.where("hi > lo").distinct())
-    for _ in range(MAX_ROUNDS):
-        if _is_settled(current):
-            return current.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
+    while not _is_settled(current):
         current = materialize(_small_star(_large_star(current).distinct()).distinct())
-    raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
+    return current.select(F.col("hi").alias("node"), F.col("lo").alias("root"))

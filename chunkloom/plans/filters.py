@@ -11,26 +11,64 @@ from chunkloom.functions.jsonx import rewrite_arrows
 
 MAX_PREDICATE_CHARS = 1000
 
-_QUOTED = re.compile(r"'(?:[^']|'')*'|`[^`]*`|\"[^\"]*\"")
-_SUBQUERY = re.compile(r"\(\s*(select|from|table|values|with)\b", re.IGNORECASE)
+# A quoted text or name.  Spark's texts may hold escaped quotes.
+_QUOTED = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.|\"\")*\"|`[^`]*`", re.DOTALL)
+_COMMENT = re.compile(r"--|/\*|\*/")
+_RAW_TEXT = re.compile(r"(?i)\br['\"]")
+_CALL = re.compile(r"(`[^`]*`|[A-Za-z_][\w.]*)\s*\(")
+_STATEMENT = re.compile(r"(?i)\b(select|values|table|with|over|lateral|exists|join)\b")
+
+# Words that may stand before a bracket without being functions.
+_OPERATORS = set("and or not in between like ilike rlike regexp when then else case is distinct from escape any some all".split())
+# What a predicate may call: numbers, texts, JSON fields, lists, times.
+FUNCTIONS = set(
+    """
+    abs ceil ceiling floor round bround sign sqrt pow power mod pmod least greatest isnan nvl ifnull nullif coalesce if isnull isnotnull
+    length char_length character_length octet_length lower lcase upper ucase trim ltrim rtrim btrim substring substr left right
+    instr locate position startswith endswith contains concat concat_ws replace translate reverse repeat lpad rpad split regexp_like
+    regexp_count regexp_extract regexp_replace initcap ascii levenshtein md5 sha2 crc32 xxhash64 hash
+    get_json_object json_array_length
+    array array_contains array_position array_size arrays_overlap array_min array_max size cardinality element_at get
+    cast try_cast int bigint double float string boolean date timestamp
+    year month day dayofmonth hour minute second to_date to_timestamp date_trunc trunc date_add date_sub datediff unix_timestamp extract
+    """.split()
+)
 
 
 class QueryError(ValueError):
     """A request the engine refuses."""
 
 
+def _refuse_unknown(predicate: str) -> None:
+    """Refuse everything but expressions over known functions.
+
+    Names in back quotes stay, since they can name functions, too.
+    """
+    if _RAW_TEXT.search(_QUOTED.sub(lambda m: m[0][0] + m[0][-1], predicate)):
+        raise QueryError("raw texts are not allowed in a predicate")
+    bare = _QUOTED.sub(lambda m: m[0] if m[0][0] == "`" else "''", predicate)
+    outside = _QUOTED.sub(" ", predicate)
+    if _COMMENT.search(outside):
+        raise QueryError("comments are not allowed in a predicate")
+    if _STATEMENT.search(outside):
+        raise QueryError("sub-queries and windows are not allowed in a predicate")
+    for name in _CALL.findall(bare):
+        if name.lower() not in FUNCTIONS | _OPERATORS:
+            raise QueryError(f"function {name} is not allowed in a predicate")
+
+
 def where(df: DataFrame, predicate: str | None) -> DataFrame:
     """Rows matching a SQL predicate; None or empty keeps all.
 
     The predicate may use comparison, string, list, range, boolean and JSON
-    ``->>`` operators and functions, but no sub-query, join or window.
+    ``->>`` operators and the functions of ``FUNCTIONS``, but no sub-query, join,
+    window, comment or raw text.
     """
     if not predicate:
         return df
     if len(predicate) > MAX_PREDICATE_CHARS:
         raise QueryError(f"predicate longer than {MAX_PREDICATE_CHARS} characters")
-    if _SUBQUERY.search(_QUOTED.sub("''", predicate)):
-        raise QueryError("sub-queries are not allowed in a predicate")
+    _refuse_unknown(predicate)
     try:
         return df.where(rewrite_arrows(predicate))
     except (AnalysisException, ParseException) as exc:

@@ -19,10 +19,7 @@ from chunkloom.session import materialize, scratch_tables, tune
 from chunkloom.sources import hadoop
 
 LAYOUT = ["producer_asset", "source_bucket"]
-
-
-class MergeConflict(ValueError):
-    """Incoming rows disagree about one chunk."""
+DEFAULT_BUCKETS = 64
 
 
 def merge_columns(table: DataFrame, updates: DataFrame) -> DataFrame:
@@ -35,8 +32,10 @@ def merge_columns(table: DataFrame, updates: DataFrame) -> DataFrame:
     """
     names = [c for c in updates.columns if c != "chunk_id"]
     row = F.struct(*[F.col(n) for n in names])
+    # The hash passes over NULLs, so each value goes in with a flag.
+    tagged = [c for n in names for c in (F.col(n).isNull(), F.col(n))]
     new = updates.where("chunk_id IS NOT NULL").select(
-        "chunk_id", row.alias("_row"), F.xxhash64(*names).alias("_print")
+        "chunk_id", row.alias("_row"), F.xxhash64(*tagged).alias("_print")
     )
     one = new.groupBy("chunk_id").agg(
         F.first("_row").alias("_row"), F.min("_print").alias("_p"), F.max("_print").alias("_q")
@@ -64,15 +63,36 @@ def merge_columns(table: DataFrame, updates: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class ChunkTable:
+    """The table at ``path``.
+
+    The number of buckets is settled by the first write and kept beside the data;
+    ``buckets`` is for a table that does not exist yet, and must agree with one that does.
+    """
+
     spark: SparkSession
     path: str
-    buckets: int = 64
+    buckets: int | None = None
 
     def __post_init__(self) -> None:
         tune(self.spark)
+        stored = self._layout().get("buckets")
+        if stored is not None and self.buckets not in (None, stored):
+            raise ValueError(f"the table has {stored} buckets, not {self.buckets}")
+
+    def _layout(self) -> dict:
+        """Bucket count and schema as noted by writers, empty before the first write.
+
+        Kept in a small file beside the data: asking every Parquet footer
+        would grow with the table.
+        """
+        noted = f"{self.path}/_chunk_layout.json"
+        return json.loads(hadoop.read_text(self.spark, noted)) if hadoop.exists(self.spark, noted) else {}
+
+    def bucket_count(self) -> int:
+        return self._layout().get("buckets") or self.buckets or DEFAULT_BUCKETS
 
     def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64("source_id"), F.lit(self.buckets)).cast("int")
+        return F.pmod(F.xxhash64("source_id"), F.lit(self.bucket_count())).cast("int")
 
     def read(self, requested: DataFrame | None = None) -> DataFrame:
         """All rows, or those of the sources ``requested(id)``, whose buckets
@@ -91,14 +111,10 @@ class ChunkTable:
         return F.col("source_bucket").isin([r.b for r in found])
 
     def _schema(self) -> T.StructType:
-        """Base schema, layout and the columns added since.
-
-        Kept in a small file beside the data: asking every Parquet footer
-        would grow with the table.
-        """
-        noted = f"{self.path}/_chunk_schema.json"
-        if hadoop.exists(self.spark, noted):
-            return T.StructType.fromJson(json.loads(hadoop.read_text(self.spark, noted)))
+        """Base schema, layout and the columns added since."""
+        noted = self._layout().get("schema")
+        if noted is not None:
+            return T.StructType.fromJson(noted)
         return T.StructType([*CHUNK_SCHEMA.fields, T.StructField("source_bucket", T.IntegerType())])
 
     def _stored(self) -> DataFrame:
@@ -112,9 +128,10 @@ class ChunkTable:
         # execution split the folder of a hot source over several tasks.
         known = self._schema()
         added = [f for f in rows.schema.fields if f.name not in known.fieldNames()]
-        if added:
+        if added or not self._layout():
             wider = T.StructType([*known.fields, *added])
-            hadoop.write_text(self.spark, f"{self.path}/_chunk_schema.json", wider.json())
+            layout = {"buckets": self.bucket_count(), "schema": wider.jsonValue()}
+            hadoop.write_text(self.spark, f"{self.path}/_chunk_layout.json", json.dumps(layout))
         (
             rows.hint("rebalance", *LAYOUT)
             .write.mode("overwrite")

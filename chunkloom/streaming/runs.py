@@ -95,9 +95,10 @@ def status_changes(events: DataFrame) -> DataFrame:
 
 
 def stream_status_changes(events: DataFrame) -> DataFrame:
-    """Streaming form of ``status_changes``: the state per run is its status
-    and the position of its last event; events of a micro-batch are taken in
-    (ts, event_id) order and older ones than the state are ignored.  The source's
+    """Streaming form of ``status_changes``: events count in the order in which they
+    arrive, those of one micro-batch by (ts, event_id), and none is passed over.
+    A late event therefore changes the status when it comes; without late events the
+    changes are those of the batch form.  The state per run is its status.  The source's
     per-trigger limit bounds what one micro-batch holds of a run."""
     moves = events.withColumn("to", status_column(F.col("event_type"))).where("to IS NOT NULL")
     out = "event_id bigint, ts timestamp, run_id bigint, `from` string, `to` string"
@@ -105,20 +106,14 @@ def stream_status_changes(events: DataFrame) -> DataFrame:
     def advance(
         key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        status, last_ts, last_id = (
-            state.get if state.exists else (INITIAL_STATUS, pd.Timestamp.min.isoformat(), -1)
-        )
-        position = (pd.Timestamp(last_ts), last_id)
-        found = []
+        status = state.get[0] if state.exists else INITIAL_STATUS
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        found = []
         for event_id, ts, new in rows[["event_id", "ts", "to"]].itertuples(index=False):
-            if (ts, event_id) <= position:
-                continue
-            position = (ts, event_id)
             if new != status:
                 found.append((event_id, ts, key[0], status, new))
                 status = new
-        state.update((status, position[0].isoformat(), int(position[1])))
+        state.update((status,))
         yield pd.DataFrame(found, columns=["event_id", "ts", "run_id", "from", "to"])
 
     return (
@@ -127,7 +122,7 @@ def stream_status_changes(events: DataFrame) -> DataFrame:
         .applyInPandasWithState(
             advance,
             out,
-            "status string, last_ts string, last_id bigint",
+            "status string",
             "append",
             GroupStateTimeout.NoTimeout,
         )

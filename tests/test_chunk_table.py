@@ -129,3 +129,26 @@ def test_scratch_tables_are_removed(spark, table):
     assert left() == before
     kept = materialize(spark.range(5))
     assert kept.count() == 5 and len(left()) == len(before) + 1
+
+
+def test_bucket_count_belongs_to_the_table(spark, folder):
+    ids = spark.createDataFrame([(i,) for i in range(40)], "id bigint")
+    ChunkTable(spark, folder, buckets=128).replace_rows(fixed_size_chunks(docs(spark, range(40))))
+    table = ChunkTable(spark, folder)
+    assert table.bucket_count() == 128 and table.read(ids).count() == 40
+    table.replace_rows(fixed_size_chunks(docs(spark, range(40))))
+    assert table.read().count() == 40
+    table.merge(spark.createDataFrame([(7, "7_0", 0.5)], "source_id bigint, chunk_id string, attr_quality_score double"))
+    assert [r.source_id for r in table.read().where("attr_quality_score = 0.5").collect()] == [7]
+    with pytest.raises(ValueError, match="128 buckets"):
+        ChunkTable(spark, folder, buckets=64)
+
+
+@pytest.mark.parametrize("one, two", [(("x", None), (None, "x")), (("x", None), ("x", "y")), ((None, None), (None, ""))])
+def test_updates_that_differ_in_nulls_conflict(spark, one, two):
+    base = spark.createDataFrame([("c", "p", "q")], "chunk_id string, a string, b string")
+    updates = spark.createDataFrame([("c", *one), ("c", *two)], base.schema)
+    with pytest.raises(PySparkException, match="conflicting"):
+        merge_columns(base, updates).collect()
+    same = spark.createDataFrame([("c", *one), ("c", *one)], base.schema)
+    assert merge_columns(base, same).collect() == [("c", *one)]

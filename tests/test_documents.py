@@ -62,10 +62,14 @@ def test_wide_and_uneven_trees_keep_document_order(spark):
     assert markdown(spark, docs) == want
 
 
-def test_escaped_keys_are_not_cut_short(spark):
+def test_escaped_keys_are_opened_like_others(spark):
     inner = '{"type": "x", "\\u0063hildren": [{"type": "x", "\\u0063hildren": [{"type": "text", "text": "deep"}]}]}'
-    with pytest.raises(PySparkException, match="not fully opened"):
-        markdown(spark, ['{"\\u0063hildren": [' + inner + "]}"])
+    assert markdown(spark, ['{"\\u0063hildren": [' + inner + "]}"]) == ["deep\n"]
+
+
+def test_null_cells_keep_their_place(spark):
+    table = '{"children": [{"type": "table", "data": {"rows": [["a", "c"], ["b", null], [null, "d"]]}}]}'
+    assert markdown(spark, [table]) == ["| a | c |\n|---||---|\n| b |  |\n|  | d |\n"]
 
 
 def test_page_counts(spark):

@@ -101,3 +101,43 @@ def test_filter_and_columns_reach_the_scan(spark):
     plan = explore.aggregate(df, "l_returnflag", ["sum:l_quantity"], "l_orderkey > 10")._jdf.queryExecution().toString()
     assert "GreaterThan(l_orderkey,10)" in plan
     assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double,l_returnflag:string>" in plan
+
+
+@pytest.mark.parametrize(
+    "predicate",
+    [
+        "token_count IN (/**/ SELECT id FROM range(3))",
+        "EXISTS (/* */SELECT 1)",
+        "EXISTS(SELECT 1)",
+        "token_count IN (TABLE x)",
+        "reflect('java.lang.System', 'getProperty', 'user.home') IS NULL",
+        "java_method('java.lang.System', 'getProperty', 'user.home') = ''",
+        "`reflect`('java.lang.System', 'getProperty', 'x') IS NULL",
+        "r'\\' OR reflect('java.lang.System', 'x') = '' OR '' = ''",
+        "text = 'a\\\\' OR reflect('java.lang.System', 'x') = ''",
+        "row_number() OVER (ORDER BY text) = 1",
+        "explode(array(1)) = 1",
+        "raise_error('x') IS NULL",
+        "text = 'x' -- rest",
+    ],
+)
+def test_predicates_call_known_functions_only(spark, predicate):
+    rows = spark.createDataFrame([("a", 1)], "text string, token_count int")
+    with pytest.raises(QueryError):
+        where(rows, predicate).collect()
+
+
+@pytest.mark.parametrize(
+    "predicate",
+    [
+        "text = 'select (x) -- from /* table */ reflect(1)'",
+        "text = 'it\\'s (select 1)' OR (token_count IN (1, 2) AND NOT (text IS NULL))",
+        "length(text) BETWEEN (0) AND (5) AND lower(text) LIKE ('%')",
+        "array_contains(split(text, ','), 'a') OR text RLIKE ('b')",
+        "`text` IN ('a') AND (CASE WHEN (token_count > 0) THEN (1) ELSE (2) END) = 1",
+        "token_count IS DISTINCT FROM (7) AND CAST(token_count AS double) >= 1e0",
+    ],
+)
+def test_harmless_predicates_run(spark, predicate):
+    rows = spark.createDataFrame([("a", 1)], "text string, token_count int")
+    assert where(rows, predicate).count() <= 1

@@ -85,3 +85,25 @@ def test_trained_model_knows_the_languages(spark):
 @pytest.mark.parametrize("text, want", [("abc", 1), ("abcd", 2), ("", 0), ("éàü", 1)])
 def test_gram_counts(text, want):
     assert language.NgramModel.bucket_counts(text).sum() == want
+
+
+class RaisingModel:
+    """Raises for a whole batch if one prompt is bad."""
+
+    def complete(self, prompts, max_tokens):
+        if "bad" in prompts:
+            raise RuntimeError("refused")
+        return [Completion(p.upper()) for p in prompts]
+
+
+@pytest.mark.parametrize("size", [1, 5, 10_000])
+def test_one_raising_prompt_costs_one_row(spark, size):
+    rows = spark.createDataFrame([(i, "bad" if i == 17 else f"p{i}") for i in range(40)], "id int, prompt string").coalesce(1)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, size)
+    try:
+        got = complete(rows, RaisingModel).collect()
+    finally:
+        spark.conf.unset(key)
+    assert [(r.id, r.error) for r in got if r.error] == [(17, "RuntimeError: refused")]
+    assert all(r.content == f"P{r.id}" for r in got if r.id != 17)
