@@ -16,6 +16,7 @@ columns are ignored; ``ids`` keeps the tokens themselves where asked for.
 from __future__ import annotations
 
 import heapq
+import os
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Callable, Iterator
@@ -32,7 +33,9 @@ CAPACITY = 2048
 SEPARATOR = 0
 # Words encoded in one text, and bytes of texts whose distinct words are.
 JOINED_WORDS = 1000
-SLICE = 6 << 20
+SLICE = 4 << 20
+# Texts that the tokenizer holds the full encodings of at a time.
+AT_ONCE = 16
 # Words whose parts can be counted: no combining marks, only letters with one lower case.
 PLAIN_WORD = r"^[\x21-\x7E\x{C0}-\x{12F}\x{131}-\x{24F}]+$"
 # Fixed value: how the vocabulary's tokenizer splits lower-cased text.
@@ -52,6 +55,9 @@ def word_encoder(path: str) -> Callable:
     import numpy as np
     import pyarrow as pa
     import pyarrow.compute as pc
+
+    # Tasks are the parallelism; threads of a task's own would each keep memory.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
@@ -61,9 +67,13 @@ def word_encoder(path: str) -> Callable:
 
     def lists_of(texts: list[str]):
         """Ids of all texts in a row, and how many each has."""
-        ids = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = [
+            np.asarray(e.ids, np.uint32)
+            for a in range(0, len(texts), AT_ONCE)
+            for e in tokenizer.encode_batch_fast(texts[a : a + AT_ONCE], add_special_tokens=False)
+        ]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.concatenate([np.asarray(i, np.uint32) for i in ids] or [np.empty(0, np.uint32)]), sizes
+        return np.concatenate(ids or [np.empty(0, np.uint32)]), sizes
 
     def encode_words(words: pa.Array):
         plain = pc.match_substring_regex(words, PLAIN_WORD).to_numpy(zero_copy_only=False)
