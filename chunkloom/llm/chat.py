@@ -20,6 +20,7 @@ ignored.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 
@@ -30,6 +31,8 @@ ESCAPE = "\x1a"
 # Control strings and the roles they open; ids follow on the vocabulary's.
 OPEN = {"system": "<<SYS>>", "user": "[INST]", "assistant": "[/INST]"}
 CONTROLS = [*OPEN.values(), "<|role|>", "<|text|>", "</s>"]
+# Turns that the tokenizer holds the full encodings of at a time.
+AT_ONCE = 512
 _BREAK = re.compile(r"([<\[])(?=" + "|".join(re.escape(c[1:]) for c in CONTROLS) + ")")
 
 
@@ -45,6 +48,8 @@ class Codec:
     """Encodes segments apart and knows the reserved ids."""
 
     def __init__(self, path: str):
+        # Tasks are the parallelism; threads of a task's own would each keep memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -86,7 +91,7 @@ def _formatter(path: str):
 
         codec = Codec(path)
         ids_of = {c: [i] for c, i in codec.reserved.items()}
-        for batch in batches:
+        for batch in (b.slice(a, AT_ONCE) for b in batches for a in range(0, b.num_rows, AT_ONCE)):
             roles, texts = (["" if v is None else v for v in batch.column(c).to_pylist()] for c in ("role", "text"))
             names, bodies = codec.encode(roles), codec.encode(texts)
             turns = []
