@@ -36,6 +36,15 @@ def _column(df: DataFrame, name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def _behind(order: tuple[str, ...], after: tuple) -> Column:
+    """Rows behind a key in ascending order; NULLs come first and so never lie behind."""
+    found, same = F.lit(False), F.lit(True)
+    for name, value in zip(order, after):
+        found = found | (same & (F.col(name) > F.lit(value)))
+        same = same & (F.col(name) == F.lit(value))
+    return found
+
+
 def query(
     chunks: DataFrame,
     predicate: str | None = None,
@@ -43,15 +52,23 @@ def query(
     limit: int = DEFAULT_LIMIT,
     offset: int = 0,
     order: tuple[str, ...] = ("source_id", "chunk_id"),
+    after: tuple | None = None,
 ) -> DataFrame:
     """One page of matching rows, in a fixed order.
 
-    Columns that were not asked for come back NULL; the key is always kept.
+    Columns that were not asked for come back NULL; the key is always kept.  An
+    ``offset`` passes over rows that it still has to order; ``after``, the order
+    columns of the last row seen, starts behind that row by a filter instead, at
+    any depth for the price of one page.
     """
     _bounded("limit", limit, PAGE_LIMIT)
     if offset < 0:
         raise QueryError("offset must not be negative")
     rows = where(chunks, predicate)
+    if after is not None:
+        if len(after) != len(order) or any(v is None for v in after):
+            raise QueryError(f"after needs a value for each of {', '.join(order)}")
+        rows = rows.where(_behind(order, after))
     if columns:
         for c in columns:
             _column(chunks, c)

@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 
 from pyspark.errors import AnalysisException, ParseException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from chunkloom.functions.jsonx import rewrite_arrows
 
@@ -66,10 +67,19 @@ def where(df: DataFrame, predicate: str | None) -> DataFrame:
     """
     if not predicate:
         return df
+    return df.where(predicate_column(df, predicate))
+
+
+def predicate_column(df: DataFrame, predicate: str | None) -> Column:
+    """The predicate over rows of ``df`` as a Column; None or empty is true."""
+    if not predicate:
+        return F.lit(True)
     if len(predicate) > MAX_PREDICATE_CHARS:
         raise QueryError(f"predicate longer than {MAX_PREDICATE_CHARS} characters")
     _refuse_unknown(predicate)
     try:
-        return df.where(rewrite_arrows(predicate))
+        column = F.expr(rewrite_arrows(predicate))
+        df.where(column)
     except (AnalysisException, ParseException) as exc:
         raise QueryError(f"query error: {exc}") from exc
+    return column

@@ -106,6 +106,15 @@ def chain_entries(chained: DataFrame) -> DataFrame:
     ).select("chunk_id", (F.col("_pos") + 1).alias("depth"), "entry_id")
 
 
+def descendants(chained: DataFrame) -> DataFrame:
+    """(chunk_id, depth, derived_id): what was made from each chunk, however far down."""
+    return (
+        chain_entries(chained)
+        .where("depth > 1")
+        .select(F.col("entry_id").alias("chunk_id"), (F.col("depth") - 1).alias("depth"), F.col("chunk_id").alias("derived_id"))
+    )
+
+
 def broken_parents(chunks: DataFrame) -> DataFrame:
     """Chunks whose parent id names no chunk."""
     parents = chunks.select(F.col("chunk_id").alias("augmented_from"))

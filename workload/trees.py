@@ -129,6 +129,13 @@ def lineage_chain(spark: SparkSession, sf: str) -> DataFrame:
     return lineage.chain_entries(lineage.chains(tables.derived_chunks(spark, sf)))
 
 
+@query(f"""WITH {WALK}
+SELECT path[i] AS chunk_id, CAST(i - 1 AS INTEGER) AS depth, tip AS derived_id
+FROM (SELECT tip, path, unnest(range(2, len(path) + 1)) AS i FROM done WHERE state = 'ok')""")
+def lineage_descendants(spark: SparkSession, sf: str) -> DataFrame:
+    return lineage.descendants(lineage.chains(tables.derived_chunks(spark, sf)))
+
+
 @query(f"""WITH {WALK}, roots AS (SELECT d.tip, d.state, n.source_id FROM done d
   JOIN nodes n ON n.chunk_id = d.path[-1])
 SELECT r.tip AS chunk_id,
