@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkloom.session import scratch_path
 from chunkloom.sources import hadoop
 
 # Splits, columns and the shape of the info sidecar.
@@ -50,33 +50,37 @@ def write_dataset(
 ) -> dict:
     """Write ``rows(split, instruction, output, chunk_id)`` as a data set.
 
-    One Spark write puts both splits into a staging folder; its part files are
-    then renamed to ``data/{split}-00000.parquet`` and so on.  A split without
-    rows still gets one empty file.  Returns the counts for the catalog.
+    One Spark write puts both splits into a staging folder beside the data, on the same
+    file system; its part files are named ``{split}-00000.parquet`` and so on in a new
+    folder, which then takes the place of ``data`` by a rename.  Until then the
+    earlier data stay as they are.  A split without rows still gets one empty
+    file.  Returns the counts for the catalog.
     """
     spark = rows.sparkSession
     prefix = f"{dataset_id}_{version_tag}"
     target = f"{root}/{prefix}"
-    staging = scratch_path(spark, "dataset")
+    staging = f"{target}/_staging-{uuid.uuid4().hex}"
+    fresh, replaced = f"{staging}/data", f"{staging}/replaced"
     (
         rows.select("split", *COLUMNS)
         .hint("rebalance", "split")
         .write.partitionBy("split")
-        .parquet(staging)
+        .parquet(f"{staging}/rows")
     )
-    hadoop.delete(spark, f"{target}/data")
     sizes: dict[str, tuple[int, int]] = {}
     for split in SPLITS:
-        files = hadoop.listing(spark, f"{staging}/split={split}", ".parquet")
+        files = hadoop.listing(spark, f"{staging}/rows/split={split}", ".parquet")
         if not files:
-            empty = f"{staging}-{split}"
+            empty = f"{staging}/empty-{split}"
             rows.select(*COLUMNS).limit(0).coalesce(1).write.parquet(empty)
             files = hadoop.listing(spark, empty, ".parquet")
         for i, (path, _) in enumerate(files):
-            hadoop.rename(spark, path, f"{target}/data/{split}-{i:05d}.parquet")
-        hadoop.delete(spark, f"{staging}-{split}")
-        num_rows = spark.read.parquet(f"{target}/data/{split}-*.parquet").count()
+            hadoop.rename(spark, path, f"{fresh}/{split}-{i:05d}.parquet")
+        num_rows = spark.read.parquet(f"{fresh}/{split}-*.parquet").count()
         sizes[split] = (sum(size for _, size in files), num_rows)
+    if hadoop.exists(spark, f"{target}/data"):
+        hadoop.rename(spark, f"{target}/data", replaced)
+    hadoop.rename(spark, fresh, f"{target}/data")
     hadoop.delete(spark, staging)
     hadoop.write_text(
         spark, f"{target}/recipe.json", json.dumps(recipe, ensure_ascii=False, indent=2)

@@ -33,6 +33,28 @@ def read_bodies(spark: SparkSession, root: str) -> DataFrame:
     return parse_bodies(raw)
 
 
+def read_written(spark: SparkSession, root: str) -> DataFrame:
+    """(source_id, extractor_name, doc_json, error, run) of what ``write_documents`` left.
+
+    A body counts once its manifest is there, so a run that failed on the way is not
+    seen; a source written by several runs has a row for each.
+    """
+    if not hadoop.exists(spark, f"{root}/manifests"):
+        return spark.createDataFrame(
+            [], "source_id bigint, extractor_name string, doc_json string, error string, run string"
+        )
+    marks = spark.read.parquet(f"{root}/manifests").select(
+        F.col("run").cast("string").alias("run"),
+        "source_id",
+        F.get_json_object("manifest", "$.extractor_name").alias("extractor_name"),
+    )
+    bodies = spark.read.parquet(f"{root}/bodies").select(F.col("run").cast("string").alias("run"), "source_id", "doc_json")
+    found = bodies.join(marks, ["run", "source_id"])
+    return parse_bodies(found.select("source_id", "extractor_name", "doc_json", "run")).select(
+        "source_id", "extractor_name", "doc_json", "error", "run"
+    )
+
+
 def require_bodies(requested: DataFrame, bodies: DataFrame) -> DataFrame:
     """Every requested source with its body, or with the reason it has none."""
     return parse_bodies(
@@ -67,7 +89,11 @@ def manifest_json(
 
 
 def write_documents(
-    documents: DataFrame, root: str, run_id: str, images: DataFrame | None = None
+    documents: DataFrame,
+    root: str,
+    run_id: str,
+    images: DataFrame | None = None,
+    bucket: str = "sources",
 ) -> None:
     """Write bodies, then images, then the manifests as the commit marker.
 
@@ -91,7 +117,7 @@ def write_documents(
             )
             written, names = written.join(listed, "source_id", "left"), F.col("_images")
         manifest = manifest_json(
-            F.lit("sources"),
+            F.lit(bucket),
             F.col("source_key"),
             F.col("sha256"),
             F.lit(run_id),

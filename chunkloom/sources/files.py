@@ -37,9 +37,9 @@ def fingerprints(files: DataFrame) -> DataFrame:
     )
 
 
-def source_rows(files: DataFrame, first_id: int = 1) -> DataFrame:
+def source_rows(files: DataFrame, first_id: int = 1, store: str = "s3://sources") -> DataFrame:
     """New sources from ``files(path, content)``, numbered by path from
-    ``first_id`` on."""
+    ``first_id`` on; ``store`` is where their contents are kept."""
     numbered = rank_in_group(
         fingerprints(files).withColumn("_all", F.lit(0)), ["_all"], ["path"], "_rank"
     )
@@ -52,7 +52,7 @@ def source_rows(files: DataFrame, first_id: int = 1) -> DataFrame:
         "sha256",
         "size",
         F.lit(PDF_MIME).alias("mime_type"),
-        F.concat(F.lit("s3://sources/"), text_id, F.lit("/original.pdf")).alias("storage_uri"),
+        F.concat(F.lit(f"{store}/"), text_id, F.lit("/original.pdf")).alias("storage_uri"),
         F.concat(F.lit("src_"), text_id).alias("partition_key"),
     )
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkloom.operators.chunking import fixed_size_chunks
+from chunkloom.operators.markdown import render_markdown
 from chunkloom.operators.quality import tag_quality_by_length
 from chunkloom.session import scratch_path
 from chunkloom.sources import documents as document_store
@@ -158,6 +159,23 @@ def placeholder_documents(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("""SELECT doc_id AS source_id, 'mineru' AS extractor_name,
+       CASE WHEN doc_id % 50 = 0 THEN 'unparsable body' END AS error,
+       CASE WHEN doc_id % 50 > 0 THEN '# ' || text || chr(10) END AS markdown, 'run-1' AS run FROM documents""")
+def document_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Write bodies and manifests, read them by the engine's reader and render them."""
+    docs = tables.documents(spark, sf).select(
+        "source_id",
+        F.lit("key").alias("source_key"),
+        F.lit("").alias("sha256"),
+        F.when(F.col("source_id") % 50 == 0, F.lit("{")).otherwise(F.to_json(F.struct(F.col("text").alias("name")))).alias("doc_json"),
+    )
+    root = scratch_path(spark, "documents")
+    document_store.write_documents(docs, root, "run-1")
+    rendered = render_markdown(document_store.read_written(spark, root))
+    return rendered.select("source_id", "extractor_name", "error", "markdown", "run")
+
+
 @query("""SELECT doc_id AS source_id, 1 AS schema_version, 'mineru' AS extractor_name,
        'sources/' || doc_id || '/original.pdf' AS source_key, sha256(text) AS sha256,
        sha256('{}') AS config_hash, 'run-1' AS run_id
