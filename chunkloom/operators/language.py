@@ -134,14 +134,16 @@ class NgramModel:
     MULTIPLIER = 257
 
     @classmethod
-    def bucket_counts(cls, text: str) -> np.ndarray:
-        """Number of 3-grams per bucket of one text."""
+    def grams(cls, text: str) -> np.ndarray:
+        """The bucket of each 3-gram of one text."""
         cp = np.frombuffer(text.lower().encode("utf-32-le"), dtype="<u4").astype(np.int64)
-        if len(cp) < 3:
-            return np.zeros(cls.BUCKETS, dtype=np.int64)
         m = cls.MULTIPLIER
-        grams = ((cp[:-2] * m + cp[1:-1]) * m + cp[2:]) % cls.BUCKETS
-        return np.bincount(grams, minlength=cls.BUCKETS)
+        return ((cp[:-2] * m + cp[1:-1]) * m + cp[2:]) % cls.BUCKETS
+
+    @classmethod
+    def bucket_counts(cls, text: str) -> np.ndarray:
+        """Number of 3-grams per bucket of one text."""
+        return np.bincount(cls.grams(text), minlength=cls.BUCKETS)
 
     @classmethod
     def train(cls, labelled: DataFrame) -> NgramModel:
@@ -176,11 +178,11 @@ class NgramModel:
         """Best language and its posterior probability; no 3-gram, no answer."""
         out = []
         for text in texts:
-            counts = self.bucket_counts(text)
-            if not counts.any():
+            buckets, counts = np.unique(self.grams(text), return_counts=True)
+            if not len(buckets):
                 out.append(UNDETERMINED)
                 continue
-            score = self.log_likelihood @ counts
+            score = self.log_likelihood[:, buckets] @ counts
             weight = np.exp(score - score.max())
             best = int(score.argmax())
             out.append((self.codes[best], float(weight[best] / weight.sum())))

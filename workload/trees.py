@@ -59,26 +59,28 @@ def render_documents(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_LINEARISED = """(SELECT doc_id, lang, source,
-    CASE doc_id % 3 WHEN 0 THEN 'source_' || doc_id WHEN 1 THEN 'name ' || doc_id
-      ELSE regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') END AS text FROM documents)"""
+# Rows without text nodes stand beside the documents, with numbers of their own.
+_NAMELESS, _NAMED = 1_000_000_000, 2_000_000_000
+_LINEARISED = f"""(
+    SELECT doc_id, lang, source, regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') AS text FROM documents
+    UNION ALL SELECT doc_id + {_NAMELESS}, lang, source, 'source_' || (doc_id + {_NAMELESS}) FROM documents WHERE doc_id % 3 = 0
+    UNION ALL SELECT doc_id + {_NAMED}, lang, source, 'name ' || doc_id FROM documents WHERE doc_id % 3 = 1)"""
 
 
 @query(f"""WITH {chunks_cte(source=_LINEARISED)}
 SELECT chunk_id, source_id, token_count, text FROM chunks""")
 def document_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents to text to chunks; some have a name only, some not even that."""
-    doc_json = F.expr(
-        "CASE source_id % 3 WHEN 0 THEN '{\"name\": \"  \", \"children\": []}'"
-        " WHEN 1 THEN concat('{\"name\": \"name ', source_id, '\"}')"
-        " ELSE concat('{\"name\": \"unused\", \"children\": [', "
-        + _TEXT_NODES.format(lines=_LINES)
-        + ", ']}') END"
+    """Documents to text to chunks; beside all texts some documents have a name only, some not even that."""
+    docs = tables.documents(spark, sf)
+    whole = F.expr("concat('{\"name\": \"unused\", \"children\": [', " + _TEXT_NODES.format(lines=_LINES) + ", ']}')")
+    rows = docs.select("source_id", "source_collection_id", whole.alias("doc_json"))
+    nameless = docs.where("source_id % 3 = 0").select(
+        F.col("source_id") + _NAMELESS, "source_collection_id", F.lit('{"name": "  ", "children": []}')
     )
-    docs = tables.documents(spark, sf).select(
-        "source_id", "source_collection_id", doc_json.alias("doc_json")
+    named = docs.where("source_id % 3 = 1").select(
+        F.col("source_id") + _NAMED, "source_collection_id", F.expr("concat('{\"name\": \"name ', source_id, '\"}')")
     )
-    texts = render_markdown(docs, title=False).select(
+    texts = render_markdown(rows.union(nameless).union(named), title=False).select(
         "source_id",
         "source_collection_id",
         document_text(
