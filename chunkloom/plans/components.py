@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chunkloom.plans.skew import join_salted
-from chunkloom.session import materialize
+from chunkloom.session import discard, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -57,5 +57,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
     not the smallest of its component."""
     current = materialize(edges.where("hi > lo").distinct())
     while not _is_settled(current):
-        current = materialize(_small_star(_large_star(current).distinct()).distinct())
+        before, current = current, materialize(_small_star(_large_star(current).distinct()).distinct())
+        discard(before)
     return current.select(F.col("hi").alias("node"), F.col("lo").alias("root"))

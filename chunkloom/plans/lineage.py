@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkloom.session import materialize
+from chunkloom.session import discard, materialize
 
 # Fixed value: entries a chain may have, its own chunk included.
 MAX_DEPTH = 32
@@ -71,7 +71,8 @@ def chains(chunks: DataFrame) -> DataFrame:
     steps = materialize(_first_steps(nodes), "lineage")
     known = 1
     while known < MAX_DEPTH and not steps.where("state = 'open'").isEmpty():
-        steps = materialize(_double(steps), "lineage")
+        before, steps = steps, materialize(_double(steps), "lineage")
+        discard(before)
         known *= 2
     roots = nodes.where("augmented_from IS NULL").select(
         "chunk_id",

@@ -84,4 +84,13 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     if getattr(_open, "paths", None) is not None:
         _open.paths.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table behind a frame of ``materialize`` that nothing reads any more."""
+    path = getattr(df, "scratch_path", None)
+    if path is not None:
+        hadoop.delete(df.sparkSession, path)
