@@ -27,7 +27,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chunkloom.session import materialize
+from chunkloom.session import discard, materialize
 
 # The format's version line and line ends.
 MAGIC = "WARC/1.0\r\n"
@@ -192,7 +192,7 @@ def reachable(links: DataFrame) -> DataFrame:
         hits = state.where("reached AND next IS NOT NULL").select(
             "file", F.col("next").alias("pos"), F.lit(None).cast("long").alias("next"), F.lit(True).alias("reached"), F.lit(False).alias("own")
         )
-        state = materialize(
+        before, state = state, materialize(
             jumped.union(hits)
             .groupBy("file", "pos")
             .agg(F.max("next").alias("next"), F.max("reached").alias("reached"), F.max("own").alias("own"))
@@ -200,6 +200,7 @@ def reachable(links: DataFrame) -> DataFrame:
             .drop("own"),
             "chain",
         )
+        discard(before)
         now = state.where("reached").count()
         if now == marked:
             return state.where("reached").select("file", "pos")
