@@ -10,8 +10,8 @@ by word.  Windows equal in several items are one.
 
 The anchors are broadcast in blocks of at most ``BLOCK_WINDOWS`` windows, however many
 the benchmark has; each block is one pass over the documents.  Words are split and compared in
-the same stage that scans the text; only hits and one narrow row per document are
-shuffled.
+the same stage that scans the text; only hits and one narrow row per document
+leave it.
 
 Null and empty texts have no words and no hits; items without words have no
 windows; a null item_id marks words as hit but is not listed.  Repeated rows are
@@ -150,7 +150,8 @@ def contamination(
     blocks = range(max(1, -(-anchors.count() // block_windows)))
     block_of = F.pmod(F.xxhash64("key"), F.lit(len(blocks)))
     hits = [window_hits(docs, anchors.where(block_of == b), id_column, text_column) for b in blocks]
-    hits = reduce(DataFrame.union, [hits[0], *(h.where("items IS NOT NULL") for h in hits[1:])])
+    # Written first: collecting sets then holds nothing of the stage that splits the texts.
+    hits = materialize(reduce(DataFrame.union, [hits[0], *(h.where("items IS NOT NULL") for h in hits[1:])]), "hits")
     is_hit = F.col("items").isNotNull()
     return (
         hits.groupBy("doc_id", "body")

@@ -64,9 +64,14 @@ def test_empty_tables(spark):
     assert decontam.report(docs, items.limit(0)).count() == len(DOCS)
 
 
-def test_no_python_on_the_main_path(spark):
+def test_no_python_and_one_split_on_the_main_path(spark):
     docs, items = frames(spark)
-    plan = decontam.report(docs, items)._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|Arrow|Pandas", plan)
-    # The text is split once, and no list of words leaves the scan's stage.
-    assert plan.count("regexp_extract_all") == 1
+    anchors = decontam.anchors_of(
+        decontam.item_windows(items, "item_id", "text"), spark.createDataFrame([("alpha", 3)], "word string, uses long")
+    )
+    hits = decontam.window_hits(docs, anchors, "doc_id", "text")
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    # The documents' text is split once, the items' in the broadcast.
+    assert plan.split("BroadcastExchange")[0].count("regexp_extract_all") == 1
+    for plan in (plan, decontam.report(docs, items)._jdf.queryExecution().executedPlan().toString()):
+        assert not re.search("Python|Arrow|Pandas", plan)
