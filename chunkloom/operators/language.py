@@ -40,26 +40,32 @@ def _answer(code: Column, confidence: Column) -> tuple[Column, Column]:
     )
 
 
-def tag_language_by_stop_words(
-    chunks: DataFrame, stop_words: dict[str, tuple[str, ...]] = STOP_WORDS
+def add_language_by_stop_words(
+    rows: DataFrame, stop_words: dict[str, tuple[str, ...]] = STOP_WORDS
 ) -> DataFrame:
-    """The language with most stop words; its share of all hits is the
+    """The rows with the language that has most stop words; its share of all hits is the
     confidence.  Ties go to the alphabetically first code.  Narrow: no shuffle.
     """
-    listed = chunks.select("chunk_id", "source_id", words(F.col("text")).alias("w"))
+    kept = [c for c in rows.columns if c not in ("attr_lang_code", "attr_lang_confidence")]
+    listed = rows.select(*kept, words(F.col("text")).alias("_words"))
 
     def hits(stops: tuple[str, ...]) -> Column:
-        return F.size(F.filter("w", lambda w: w.isin(*stops)))
+        return F.size(F.filter("_words", lambda w: w.isin(*stops)))
 
     codes = sorted(stop_words)
-    counted = listed.select(
-        "chunk_id", "source_id", *[hits(stop_words[c]).alias(f"n_{c}") for c in codes]
-    )
-    total = sum((F.col(f"n_{c}") for c in codes), F.lit(0))
-    best = F.greatest(*[F.col(f"n_{c}") for c in codes])
-    code = F.coalesce(*[F.when(F.col(f"n_{c}") == best, F.lit(c)) for c in codes])
+    counted = listed.select(*kept, *[hits(stop_words[c]).alias(f"_n_{c}") for c in codes])
+    total = sum((F.col(f"_n_{c}") for c in codes), F.lit(0))
+    best = F.greatest(*[F.col(f"_n_{c}") for c in codes])
+    code = F.coalesce(*[F.when(F.col(f"_n_{c}") == best, F.lit(c)) for c in codes])
     share = F.when(total > 0, best / total)
-    return counted.select("chunk_id", "source_id", *_answer(code, share))
+    return counted.select(*kept, *_answer(code, share))
+
+
+def tag_language_by_stop_words(
+    chunks: DataFrame, stop_words: dict[str, tuple[str, ...]] = STOP_WORDS
+) -> DataFrame:
+    """(chunk_id, source_id, attr_lang_code, attr_lang_confidence)."""
+    return add_language_by_stop_words(chunks.select("chunk_id", "source_id", "text"), stop_words).drop("text")
 
 
 def tag_language(

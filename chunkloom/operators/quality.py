@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,11 +51,21 @@ def tag_quality(
     )
 
 
-def tag_quality_by_length(chunks: DataFrame) -> DataFrame:
+def add_quality_by_length(rows: DataFrame) -> DataFrame:
+    """The rows with the scores of ``tag_quality_by_length``; narrow."""
+    names = ("attr_quality_score", "attr_quality_provider")
+    scores = [F.col(n) for n in names]
+    kept = [c for c in rows.columns if c not in names]
+    tagged = tag_quality_by_length(rows, carry=kept)
+    return tagged.select(*kept, *scores)
+
+
+def tag_quality_by_length(
+    chunks: DataFrame, carry: Sequence[str] = ("chunk_id", "source_id")
+) -> DataFrame:
     """The model-free scorer: share of the token budget that is used."""
     return chunks.select(
-        "chunk_id",
-        "source_id",
+        *carry,
         F.least(F.lit(1.0), F.col("token_count") / F.lit(float(TOKEN_BUDGET)))
         .cast("float")
         .alias("attr_quality_score"),

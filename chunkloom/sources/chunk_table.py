@@ -8,6 +8,7 @@ sources and replaces them by dynamic partition overwrite.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -190,6 +191,35 @@ class ChunkTable:
                 self.spark, f"{self.path}/producer_asset={producer}/source_bucket={bucket}"
             )
 
+    def rewritten(
+        self, add: Callable[[DataFrame], DataFrame], producers: list[str], requested: DataFrame | None = None
+    ) -> DataFrame:
+        """Stored rows of the producers with the columns that ``add`` gives each row by itself;
+        of ``requested(id)`` sources if given.  Whole tables are not shuffled by any key."""
+        stored = self._stored().where(F.col("producer_asset").isin(producers))
+        if requested is None:
+            return self._typed(add(stored))
+        wanted = requested.select(F.col("id").alias("source_id"))
+        stored = stored.where(self._bucket_in(wanted))
+        rest = stored.join(wanted, "source_id", "left_anti")
+        added = self._typed(add(stored.join(wanted, "source_id", "left_semi")))
+        return added.unionByName(rest, allowMissingColumns=True)
+
+    def _typed(self, rows: DataFrame) -> DataFrame:
+        """Columns in the stored order and types, new ones behind."""
+        known = self._schema()
+        return rows.select(
+            *[F.col(f.name).cast(f.dataType) for f in known.fields],
+            *[c for c in rows.columns if c not in known.fieldNames()],
+        )
+
+    def rewrite(
+        self, add: Callable[[DataFrame], DataFrame], producers: list[str], requested: DataFrame | None = None
+    ) -> None:
+        """Write what ``rewritten`` gives; its only exchange lays rows out by folder."""
+        if hadoop.has_data(self.spark, self.path):
+            self._overwrite(self.rewritten(add, producers, requested))
+
     def merge(self, updates: DataFrame, producers: list[str] | None = None) -> None:
         """Column mode on the stored table.
 

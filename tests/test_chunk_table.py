@@ -152,3 +152,21 @@ def test_updates_that_differ_in_nulls_conflict(spark, one, two):
         merge_columns(base, updates).collect()
     same = spark.createDataFrame([("c", *one), ("c", *one)], base.schema)
     assert merge_columns(base, same).collect() == [("c", *one)]
+
+
+def test_narrow_taggers_do_not_shuffle_by_chunk(spark, table):
+    texts_of = docs(spark, range(30), "the house and der Hund")
+    table.replace_rows(fixed_size_chunks(texts_of))
+    table.replace_rows(fixed_size_chunks(texts_of, producer="other"))
+    requested = spark.createDataFrame([(3,), (4,)], "id bigint")
+    asset = ASSETS["attr_lang"]
+    expected = {r.chunk_id: (r.attr_lang_code, r.attr_lang_confidence) for r in asset.run(original_chunks(table.read())).collect()}
+    run_tagger(table, "attr_lang", requested)
+    tagged = {r.chunk_id: r.attr_lang_code for r in table.read().where("attr_lang_code IS NOT NULL").collect()}
+    assert tagged == {"3_0": expected["3_0"][0], "4_0": expected["4_0"][0]}
+    run_tagger(table, "attr_lang")
+    own = table.read().where("producer_asset = 'chunks'").collect()
+    assert {r.chunk_id: (r.attr_lang_code, r.attr_lang_confidence) for r in own} == expected
+    assert table.read().count() == 60 and table.read().where("attr_lang_code IS NOT NULL").count() == 30
+    plan = table.rewritten(asset.add, ["chunks"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "producer_asset" in plan

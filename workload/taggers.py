@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from chunkloom.functions.templates import render
 from chunkloom.operators import language, minhash, quality
+from chunkloom.operators.assets import run_tagger
+from chunkloom.plans import explore
+from chunkloom.session import scratch_path
+from chunkloom.sources.chunk_table import ChunkTable
 from workload import tables
 from workload.models import LengthJudge
 from workload.registry import CHUNKS, query
@@ -77,6 +81,30 @@ def lang_stopword(spark: SparkSession, sf: str) -> DataFrame:
     return _score(tagged, "attr_lang_confidence")
 
 
+@query(_stop_word_sql())
+def stored_language(spark: SparkSession, sf: str) -> DataFrame:
+    """Tag a stored chunk table, then read the tags back."""
+    table = ChunkTable(spark, scratch_path(spark, "stored_language"), buckets=16)
+    table.replace_rows(tables.chunks(spark, sf))
+    run_tagger(table, "attr_lang")
+    tagged = table.read().select("chunk_id", "source_id", "attr_lang_code", "attr_lang_confidence")
+    return _score(tagged, "attr_lang_confidence")
+
+
+@query(f"""WITH {CHUNKS}
+SELECT source_collection_id, count(*) AS count, round(avg(CAST(token_count / 512.0 AS FLOAT)), 5) AS mean_attr_quality_score
+FROM chunks WHERE token_count > 100 GROUP BY 1""")
+def stored_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Score a stored chunk table, then explore it with a predicate."""
+    table = ChunkTable(spark, scratch_path(spark, "stored_quality"), buckets=16)
+    table.replace_rows(tables.chunks(spark, sf))
+    run_tagger(table, "attr_quality_length")
+    out = explore.aggregate(
+        table.read(), "source_collection_id", ["count", "mean:attr_quality_score"], "token_count > 100"
+    )
+    return out.withColumn("mean_attr_quality_score", F.round("mean_attr_quality_score", 5))
+
+
 def _bayes_sql() -> str:
     m, b = language.NgramModel.MULTIPLIER, language.NgramModel.BUCKETS
 
