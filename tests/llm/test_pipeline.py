@@ -26,9 +26,10 @@ def test_all_but_the_last_return_documents(steps):
     assert steps[-1][2].select("doc_id").distinct().count() == steps[-1][1].count()
 
 
-def test_quality_stage_keeps_the_good_and_rejects_the_bad(spark, steps):
-    labels = spark.read.parquet(f"{SF}/labels.parquet")
-    kept = steps[0][2].join(labels, "doc_id").groupBy("quality").count().collect()
+def test_quality_stage_keeps_the_good_and_rejects_the_bad(spark):
+    larger = SF.replace("0.001", "0.01")
+    docs, labels = (spark.read.parquet(f"{larger}/{t}.parquet") for t in ("documents", "labels"))
+    kept = corpus_pipeline.quality(spark, docs, larger).join(labels, "doc_id").groupBy("quality").count().collect()
     counts = {r.quality: r["count"] for r in kept}
     total = {r.quality: r["count"] for r in labels.groupBy("quality").count().collect()}
     assert counts.get(1, 0) >= 0.97 * total[1] and counts.get(0, 0) <= 0.1 * total[0]
