@@ -13,10 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from chunkloom.sources import hadoop
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+# Texts vary in length, so batches for Python workers are bounded by bytes.
+BATCH_DEFAULT, BATCH_BYTES = "67108864b", "8m"
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Switch on the run-time re-planning the operators rely on.
+    """Switch on the run-time re-planning the operators rely on, and keep batches
+    for Python workers small unless the session says how large they may be.
 
     Many-to-one joins here may have a hot key; adaptive execution splits such
     partitions, also when that costs one more exchange afterwards.
@@ -28,6 +32,8 @@ def tune(spark: SparkSession) -> SparkSession:
     ):
         if spark.conf.get(key, "false") != "true":
             spark.conf.set(key, "true")
+    if spark.conf.get(BATCH_KEY, "") == BATCH_DEFAULT:
+        spark.conf.set(BATCH_KEY, BATCH_BYTES)
     return spark
 
 
