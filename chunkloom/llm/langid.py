@@ -113,7 +113,7 @@ def _bundle_by_language(batches: Iterator) -> Iterator:
     letters, sums = Letters(), {}
     for batch in batches:
         languages, texts = batch.column("lang").to_pylist(), batch.column("text")
-        for a, b in byte_slices(pc.binary_length(texts).to_pylist(), SLICE * 16):
+        for a, b in byte_slices(pc.binary_length(texts).to_pylist(), SLICE * 4):
             names, which = np.unique(np.array(languages[a:b], dtype=object).astype(str), return_inverse=True)
             rows, number, grams = letters.grams(texts.slice(a, b - a).to_pylist())
             if not len(grams):
