@@ -32,7 +32,7 @@ def tune(spark: SparkSession) -> SparkSession:
     ):
         if spark.conf.get(key, "false") != "true":
             spark.conf.set(key, "true")
-    if spark.conf.get(BATCH_KEY, "") == BATCH_DEFAULT:
+    if spark.conf.get(BATCH_KEY, BATCH_DEFAULT) == BATCH_DEFAULT:
         spark.conf.set(BATCH_KEY, BATCH_BYTES)
     return spark
 
