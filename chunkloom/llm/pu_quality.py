@@ -192,7 +192,10 @@ def sample(rows: DataFrame, most: int):
     total = rows.count()
     rate = min(1.0, most / max(total, 1))
     drawn = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) < int(rate * (1 << 30)))
-    return np.array([r.x for r in drawn.select("x").toLocalIterator()], dtype=float)
+    rows = drawn.select("x").toPandas()["x"]
+    matrix = np.stack(rows) if len(rows) else np.empty((0, 0))
+    # In an order of its own, so that a fit does not depend on the order of arrival.
+    return matrix[np.lexsort(matrix.T)] if len(rows) else matrix
 
 
 def fit(stats: DataFrame, labels: DataFrame, prior: float | None = None, positives=POSITIVES, unlabelled=UNLABELLED):
