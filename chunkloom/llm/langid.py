@@ -32,6 +32,8 @@ SEED = 20
 MAX_LANGUAGES = 4096
 # Bytes of text whose n-grams are handled at a time.
 SLICE = 1 << 18
+# N-grams whose vectors are held at a time.
+BLOCK = 2048
 UNKNOWN = "und"
 
 
@@ -92,7 +94,17 @@ class Letters:
         for place in range(GRAM):
             known, number = np.unique(grams[:, place], return_inverse=True)
             out *= np.stack([np.roll(self.vector(int(s)), GRAM - 1 - place) for s in known])[number]
-        return out.astype(np.float32)
+        return out
+
+    def bundle(self, counts, grams):
+        """Counts of n-grams, a row per bundle -> the sum of their vectors, in blocks of n-grams."""
+        import numpy as np
+
+        out = np.zeros((len(counts), DIMENSIONS), np.float32)
+        for a in range(0, len(grams), BLOCK):
+            part = counts[:, a : a + BLOCK].astype(np.float32)
+            out += part @ self.bind(grams[a : a + BLOCK]).astype(np.float32)
+        return out
 
     def bundles(self, texts: list[str]):
         """The vector of each text; zero for a text without a letter."""
@@ -102,7 +114,7 @@ class Letters:
         if not len(grams):
             return np.zeros((len(texts), DIMENSIONS), np.float32)
         counts = np.bincount(rows * len(grams) + number, minlength=len(texts) * len(grams))
-        return counts.reshape(len(texts), len(grams)).astype(np.float32) @ self.bind(grams)
+        return self.bundle(counts.reshape(len(texts), len(grams)), grams)
 
 
 def _bundle_by_language(batches: Iterator) -> Iterator:
@@ -119,7 +131,7 @@ def _bundle_by_language(batches: Iterator) -> Iterator:
             if not len(grams):
                 continue
             counts = np.bincount(which[rows] * len(grams) + number, minlength=len(names) * len(grams))
-            vectors = counts.reshape(len(names), len(grams)).astype(np.float32) @ letters.bind(grams)
+            vectors = letters.bundle(counts.reshape(len(names), len(grams)), grams)
             for name, vector in zip(names, vectors):
                 sums[name] = sums.get(name, 0) + vector.astype(np.float64)
     for name, vector in sums.items():
