@@ -106,8 +106,7 @@ def style(texts):
 
 
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def statistics(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _statistics(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The statistics of each text of a column."""
     import pyarrow as pa
     import pyarrow.compute as pc
@@ -120,6 +119,9 @@ def statistics(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series(out, dtype=object)
 
 
+statistics = F.pandas_udf(_statistics, ArrayType(DoubleType()))
+
+
 class Network:
     """One hidden layer over standardised statistics."""
 
@@ -231,9 +233,22 @@ def _statistics_table(docs: DataFrame, training: Column, id_column: str, text_co
     return materialize(docs.select(*columns), "statistics")
 
 
+def text_scorer(scores):
+    """A function of the column of texts: the score, by one Python worker for each task."""
+
+    @F.pandas_udf(DoubleType())
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import numpy as np
+
+        for stats in _statistics(batches):
+            yield pd.Series(scores(np.stack(stats)) if len(stats) else [], dtype=float)
+
+    return score
+
+
 def learn(docs: DataFrame, labels: DataFrame, training: Column, id_column: str = "doc_id", text_column: str = "text"):
-    """A function of the column of statistics, fitted to the rows of ``docs`` where ``training``."""
-    return scorer(fit(_statistics_table(docs.where(training), training, id_column, text_column), labels))
+    """A function of the column of texts, fitted to the rows of ``docs`` where ``training``."""
+    return text_scorer(fit(_statistics_table(docs.where(training), training, id_column, text_column), labels))
 
 
 def score_documents(
