@@ -1,17 +1,18 @@
 """Language-model scoring by a weighted backoff automaton.
 
 Tokens are blank-separated words with A-Z lower-cased, then one end token, known by 64-bit hashes.
-Documents are dealt into batches of about ``BATCH`` bytes.  Each batch sends its distinct tokens
-with their training counts once; the counts are summed by token and come back to the batches, so
-every token has its exact count over all training texts, no table of all tokens is ever
-broadcast, and no token takes more rows than there are batches.
-
-N-grams of two and ``ORDER`` tokens become arcs if they make at least ``SHARE`` of the training
-tokens, so each order has at most 1 / SHARE of them and the automaton has a fixed
-largest size; it goes to the tasks whole.  A state is the longest known context.
-It has an arc for each known continuation, with the discounted relative
+Documents are dealt into batches of about ``BATCH`` bytes, one row each.  A batch sends its distinct
+n-grams of every order with their training counts once, in blocks by hash range; the counts are
+summed in each range and come back to the batches, so every n-gram has its exact count over all
+training texts, nothing of them passes the driver or is broadcast, and no n-gram takes more
+places than there are batches.
+
+N-grams of all orders with at least ``LEAST`` training occurrences are known.  A state is the
+longest known context.  It has an arc for each known continuation, with the discounted relative
 frequency, and a failure arc to the context one token shorter, whose weight leaves
-the probabilities of all tokens a sum of one.  The root has the smoothed single-token
+the probabilities of all tokens a sum of one.  The sums behind a context's weight come from the
+first batch of each of its continuations and go to the batches that fail there.  Each batch builds the
+part of the automaton that its own texts can reach.  The root has the smoothed single-token
 probabilities.  A text is scored in one traversal from left to right that
 carries the state; many texts (and parts of long ones, which repeat the tokens
 that decide their first state) are traversed in step.
@@ -26,20 +27,26 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chunkloom.llm.common import byte_slices, span_hashes, text_bytes, word_spans
-from chunkloom.session import materialize, scratch_path
+from chunkloom.llm.common import byte_slices, mix, span_hashes, text_bytes, word_spans
+from chunkloom.session import materialize
 
 ORDER = 3
-SHARE = 2e-6
+# Least training occurrences of a known n-gram, whatever the size of the training texts.
+LEAST = 2
+# No n-gram is left out for its share of the training tokens.
+SHARE = 0.0
 DISCOUNT = 0.5
 SMOOTHING = 0.1
 BATCH = 8 << 20
 # Tokens of a text traversed as one part.
 PART = 256
 END = 0
+# Hash ranges are as many as batches, and at least so many.
+RANGES = 256
+CLEAN_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def tokens_of(texts):
@@ -66,170 +73,296 @@ def tokens_of(texts):
 
 
 def _deal(batches: Iterator) -> Iterator:
-    """Adds the column ``batch`` to (doc_id, text, training)."""
+    """(doc_id, text, training) -> (batch, body): the rows of a batch as one compressed Arrow stream."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    number, filled = TaskContext.get().partitionId() << 32, 0
+    number, filled, held = TaskContext.get().partitionId() << 32, 0, []
+
+    def close():
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            for part in held:
+                out.write_batch(part)
+        columns = [pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["batch", "body"])
+
     for rows in batches:
-        sizes = pc.fill_null(pc.binary_length(rows.column("text")), 0).to_pylist()
-        marks = []
-        for size in sizes:
+        start = 0
+        for i, size in enumerate(pc.fill_null(pc.binary_length(rows.column("text")), 0).to_pylist()):
             if filled and filled + size > BATCH:
-                number, filled = number + 1, 0
+                held += [rows.slice(start, i - start)] if i > start else []
+                yield close()
+                number, filled, held, start = number + 1, 0, [], i
             filled += size + 1
-            marks.append(number)
-        yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(marks, pa.int64())], [*rows.schema.names, "batch"])
+        held += [rows.slice(start)] if start < rows.num_rows else []
+    if held:
+        yield close()
 
 
-def _requests(batches: Iterator) -> Iterator:
-    """Dealt rows -> (batch, token, n): each batch's distinct tokens and training counts."""
+def pack(values) -> bytes:
+    """An array of 8-byte numbers, compressed by byte planes."""
     import numpy as np
     import pyarrow as pa
 
-    held, held_batch = [], None
+    return pa.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes(), "zstd", asbytes=True)
 
-    def close():
-        every = np.concatenate([h for h, _ in held])
-        names, number = np.unique(every, return_inverse=True)
-        n = np.bincount(number, weights=np.concatenate([t for _, t in held]), minlength=len(names)).astype(np.int64)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(names), held_batch)), pa.array(names), pa.array(n)], ["batch", "token", "n"]
-        )
 
-    for rows in batches:
-        marks = rows.column("batch").to_numpy()
-        cuts = np.flatnonzero(np.diff(marks)) + 1
-        for a, b in zip([0, *cuts], [*cuts, len(marks)]):
-            if a == b:
-                continue
-            if held and marks[a] != held_batch:
-                yield close()
-                held = []
-            held_batch = marks[a]
-            hashes, row = tokens_of(rows.column("text").slice(a, b - a))
-            training = rows.column("training").slice(a, b - a).to_numpy(zero_copy_only=False).astype(bool)
-            held.append((hashes, training[row]))
-    if held:
-        yield close()
+def unpack(blob: bytes, size: int, kind):
+    """The array of ``pack``."""
+    import numpy as np
+    import pyarrow as pa
+
+    planes = np.frombuffer(pa.decompress(blob, 8 * size, "zstd", asbytes=True), np.uint8).reshape(8, size)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
-class Counts:
-    """N-gram counts of a task, merged now and then."""
+class Grams:
+    """The n-grams of a batch's texts.
 
-    def __init__(self):
-        self.parts, self.size = [], 0
+    ``names[k]`` has the sorted codes of its n-grams of k + 1 tokens, ``at[k]`` a place where each
+    ends and ``place[k]`` the number of the one that ends at each token, or -1.
+    """
 
-    def add(self, codes) -> None:
+    def __init__(self, hashes, rows, order: int):
         import numpy as np
 
-        self.parts.append(np.unique(codes, return_counts=True))
-        self.size += len(self.parts[-1][0])
-        if self.size > 4_000_000:
-            self.parts = [self.merged()]
-            self.size = len(self.parts[0][0]) // 2
+        self.names, self.at, self.place = [], [], []
+        code, inside = hashes.view(np.uint64), np.ones(len(hashes), bool)
+        for k in range(order):
+            if k:
+                longer, within = np.zeros(len(hashes), np.uint64), np.zeros(len(hashes), bool)
+                longer[1:] = mix(code[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes.view(np.uint64)[1:])
+                within[1:] = inside[:-1] & (rows[1:] == rows[:-1])
+                code, inside = longer, within
+            ends = np.flatnonzero(inside)
+            names, first, number = np.unique(code[ends], return_index=True, return_inverse=True)
+            place = np.full(len(hashes), -1, np.int64)
+            place[ends] = number
+            self.names.append(names)
+            self.at.append(ends[first])
+            self.place.append(place)
+
+    def learn(self, counts: list, firsts: list, total: int, distinct: int) -> None:
+        """Takes the training counts of all n-grams and which of them this batch answers for."""
+        import numpy as np
 
-    def merged(self):
+        self.counts, self.firsts = counts, firsts
+        self.known = [c >= LEAST for c in counts]
+        self.p = [(counts[0] + SMOOTHING) / (total + SMOOTHING * (distinct + 1))]
+        # The context of each n-gram, and the n-gram without its first token.
+        self.context, self.shorter = [None], [None]
+        for k in range(1, len(counts)):
+            self.context.append(self.place[k - 1][self.at[k] - 1])
+            self.shorter.append(self.place[k - 1][self.at[k]])
+            with np.errstate(divide="ignore", invalid="ignore"):
+                self.p.append((counts[k] - DISCOUNT) / counts[k - 1][self.context[k]])
+
+    def sums(self, k: int):
+        """Contexts of k tokens whose weight this batch needs or adds to, and what it adds:
+        the probabilities of their continuations, and of these one token shorter."""
         import numpy as np
 
-        if not self.parts:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        codes, number = np.unique(np.concatenate([c for c, _ in self.parts]), return_inverse=True)
-        n = np.bincount(number, weights=np.concatenate([n for _, n in self.parts]), minlength=len(codes))
-        return codes, n.astype(np.int64)
+        own = np.flatnonzero(self.known[k] & self.firsts[k])
+        size, context = len(self.names[k - 1]), self.context[k][own]
+        asked = np.zeros(size, bool)
+        asked[context] = True
+        asked[self.context[k][~self.known[k]]] = True
+        asked = np.flatnonzero(asked & self.known[k - 1])
+        kept = np.bincount(context, weights=self.p[k][own], minlength=size)
+        below = np.bincount(context, weights=self.p[k - 1][self.shorter[k][own]], minlength=size)
+        return asked, kept[asked], below[asked]
 
 
-def find(sorted_values, wanted):
-    """Places of values in a sorted array, -1 for those that are not there."""
+def _blocks(level: int, batch: int, names, ranges: int, columns: list) -> list:
+    """Rows (level, range, batch, size, codes, a column each): sorted codes cut by hash range."""
     import numpy as np
 
-    if not len(sorted_values):
-        return np.full(len(wanted), -1, np.int64)
-    at = np.minimum(np.searchsorted(sorted_values, wanted), len(sorted_values) - 1)
-    return np.where(sorted_values[at] == wanted, at, -1)
+    number = ((names >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+    cuts = np.flatnonzero(np.diff(number)) + 1
+    return [
+        (level, int(number[a]), batch, int(b - a), pack(np.diff(names[a:b], prepend=np.uint64(0))), *(pack(c[a:b]) for c in columns))
+        for a, b in zip([0, *cuts], [*cuts, len(names)])
+        if b > a
+    ]
 
 
-def grams(levels: list, hashes, rows):
-    """For each known order the number of the n-gram that ends at each token, or -1.
+BLOCK = ("level", "int"), ("range", "int"), ("batch", "long"), ("size", "long"), ("codes", "binary")
 
-    ``levels[0]`` has the known tokens; ``levels[k]`` the codes of known n-grams of k + 1 tokens:
-    the number of the n-gram without its last token, times the known tokens, plus
-    the last token's number.
-    """
-    import numpy as np
 
-    found = [find(levels[0], hashes)]
-    for codes in levels[1:]:
-        before = np.full(len(hashes), -1, np.int64)
-        before[1:] = np.where(rows[1:] == rows[:-1], found[-1][:-1], -1)
-        both = (before >= 0) & (found[0] >= 0)
-        number = np.full(len(hashes), -1, np.int64)
-        number[both] = find(codes, before[both] * len(levels[0]) + found[0][both])
-        found.append(number)
-    return found
+def schema_of(fields) -> str:
+    return ", ".join(f"`{name}` {kind}" for name, kind in fields)
+
+
+def _arrow(rows: list, fields):
+    import pyarrow as pa
+
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    columns = list(zip(*rows)) if rows else [[] for _ in fields]
+    return pa.Table.from_arrays([pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, fields)], [n for n, _ in fields])
+
 
+REQUEST = (*BLOCK, ("n", "binary"))
+ANSWER = ("level", "int"), ("range", "int"), ("batch", "long"), ("size", "long"), ("answer", "binary")
+COUNTED = (*ANSWER, ("total", "long"), ("distinct", "long"))
+SUMS = (*BLOCK, ("kept", "binary"), ("below", "binary"))
 
-def _count_longer(levels: list):
-    """Counts n-grams one token longer than the last known ones, all of whose parts are known."""
+
+def _requests(order: int, ranges: int):
+    """Batches -> their distinct n-grams with training counts."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
-        import pyarrow.compute as pc
 
-        counts = Counts()
         for rows in batches:
-            rows = rows.filter(rows.column("training"))
-            texts = rows.column("text")
-            for a, b in byte_slices(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), BATCH):
-                hashes, row = tokens_of(texts.slice(a, b - a))
-                found = grams(levels, hashes, row)
-                both = (row[1:] == row[:-1]) & (found[-1][:-1] >= 0) & (found[-1][1:] >= 0)
-                counts.add((found[-1][:-1] * len(levels[0]) + found[0][1:])[both])
-        codes, n = counts.merged()
-        for a in range(0, len(codes), 100_000):
-            columns = [pa.array(codes[a : a + 100_000]), pa.array(n[a : a + 100_000])]
-            yield pa.RecordBatch.from_arrays(columns, ["code", "n"])
+            for batch, body in zip(rows.column("batch").to_pylist(), rows.column("body")):
+                docs = pa.ipc.open_stream(body.as_buffer()).read_all()
+                hashes, row = tokens_of(docs.column("text").combine_chunks())
+                training = docs.column("training").to_numpy().astype(bool)[row]
+                grams = Grams(hashes, row, order)
+                for k in range(order):
+                    number = grams.place[k]
+                    n = np.bincount(number[training & (number >= 0)], minlength=len(grams.names[k])).astype(np.int64)
+                    yield from _arrow(_blocks(k, batch, grams.names[k], ranges, [n]), REQUEST).to_batches()
+
+    return run
+
+
+def _opened(table):
+    """A range's blocks: rows in order of batch, all codes as numbers in a sorted list, where each block ends."""
+    import numpy as np
+
+    table = table.sort_by("batch")
+    sizes = table.column("size").to_pylist()
+    codes = [np.cumsum(unpack(c, n, np.uint64), dtype=np.uint64) for c, n in zip(table.column("codes").to_pylist(), sizes)]
+    _, first, number = np.unique(np.concatenate(codes), return_index=True, return_inverse=True)
+    return table, sizes, np.cumsum(sizes)[:-1], first, number
+
+
+def _numbers(table, name: str, sizes: list, kind):
+    import numpy as np
+
+    return np.concatenate([unpack(c, n, kind) for c, n in zip(table.column(name).to_pylist(), sizes)])
+
+
+def _count(table):
+    """Sums counts in one range and answers twice the count, and one more to the first batch that asks."""
+    import numpy as np
+
+    level, place = table.column("level")[0].as_py(), table.column("range")[0].as_py()
+    table, sizes, cuts, first, number = _opened(table)
+    n = _numbers(table, "n", sizes, np.int64)
+    c = np.bincount(number, weights=n).astype(np.int64)
+    if level:
+        c[c < LEAST] = 0
+    own = np.zeros(len(number), np.int64)
+    own[first] = c > 0
+    answers, totals, owned = (np.split(x, cuts) for x in (2 * c[number] + own, n, own))
+    rows = [
+        (level, place, b, size, pack(a), int(t.sum()), int(o.sum()))
+        for b, size, a, t, o in zip(table.column("batch").to_pylist(), sizes, answers, totals, owned)
+    ]
+    return _arrow(rows, COUNTED)
+
+
+def _weigh(table):
+    """Adds up the sums of one range's contexts and answers the weights of their failure arcs."""
+    import numpy as np
+
+    level, place = table.column("level")[0].as_py(), table.column("range")[0].as_py()
+    table, sizes, cuts, _, number = _opened(table)
+    kept, below = (1 - np.bincount(number, weights=_numbers(table, c, sizes, np.float64)) for c in ("kept", "below"))
+    back = np.log10(np.maximum(kept, 1e-12)) - np.log10(np.maximum(below, 1e-12))
+    rows = zip(table.column("batch").to_pylist(), sizes, np.split(back[number], cuts))
+    return _arrow([(level, place, b, size, pack(a)) for b, size, a in rows], ANSWER)
+
+
+def _answers(table, level: int, kind):
+    """One level's answers to a batch, in the order of its codes."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    table = table.filter(pc.equal(table.column("level"), level)).sort_by("range")
+    if not table.num_rows:
+        return np.empty(0, kind)
+    return _numbers(table, "answer", table.column("size").to_pylist(), kind)
+
+
+def _learned(body, answers, order: int, total: int, distinct: int):
+    """A batch's documents, token hashes and rows, and its n-grams with their counts."""
+    import numpy as np
+    import pyarrow as pa
+
+    docs = pa.ipc.open_stream(body.as_buffer()).read_all()
+    hashes, rows = tokens_of(docs.column("text").combine_chunks())
+    grams = Grams(hashes, rows, order)
+    both = [_answers(answers, k, np.int64) for k in range(order)]
+    grams.learn([b >> 1 for b in both], [(b & 1).astype(bool) for b in both], total, distinct)
+    return docs, hashes, rows, grams
+
+
+def _sums(order: int, ranges: int, total: int, distinct: int):
+    """A batch with its counts -> what it adds to the weights of contexts, level -k for those of k tokens."""
+
+    def run(batch, answers):
+        import pyarrow as pa
+
+        out = [_arrow([], SUMS)]
+        for number, body in zip(batch.column("batch").to_pylist(), batch.column("body")):
+            grams = _learned(body, answers, order, total, distinct)[-1]
+            for k in range(1, order):
+                asked, kept, below = grams.sums(k)
+                out.append(_arrow(_blocks(-k, number, grams.names[k - 1][asked], ranges, [kept, below]), SUMS))
+        return pa.concat_tables(out)
 
     return run
 
 
+def find(sorted_values, wanted):
+    """Places of values in a sorted array, -1 for those that are not there."""
+    import numpy as np
+
+    if not len(sorted_values):
+        return np.full(len(wanted), -1, np.int64)
+    at = np.minimum(np.searchsorted(sorted_values, wanted), len(sorted_values) - 1)
+    return np.where(sorted_values[at] == wanted, at, -1)
+
+
 class Automaton:
-    """States, arcs and failure arcs of known n-grams.
+    """States, arcs and failure arcs of the known n-grams of a batch.
 
-    State 0 is the root; the n-grams of each order follow.  ``levels`` and ``counts`` as for
-    ``grams``; ``total`` and ``distinct`` describe the training tokens.
+    State 0 is the root; the n-grams of each order follow.  ``levels[0]`` has the known tokens;
+    ``levels[k]`` the codes of known n-grams of k + 1 tokens: the number of the n-gram without its
+    last token, times the known tokens, plus the last token's number.  ``back[k]`` has the
+    weights of failure arcs for all contexts in ``grams``.
     """
 
-    def __init__(self, levels: list, counts: list, total: int, distinct: int):
-        import numpy as np
-
-        self.levels, self.total, self.distinct = levels, total, distinct
-        self.first = np.cumsum([1, *map(len, levels)])
-        width = max(1, len(levels[0]))
-        low = self.log_single(counts[0])
-        self.arc, self.back, self.suffix = [None], [], []
-        for k, codes in enumerate(levels[1:], start=1):
-            context, last = codes // width, codes % width
-            p = (counts[k] - DISCOUNT) / counts[k - 1][context]
-            # The same token after the context one shorter: a known n-gram of one order less.
-            shorter = last if k == 1 else find(levels[k - 1], self.suffix[k - 1][context] * width + last)
-            kept = np.bincount(context, weights=p, minlength=len(levels[k - 1]))
-            below = np.bincount(context, weights=10.0 ** low[shorter], minlength=len(levels[k - 1]))
-            self.back.append(np.log10(np.maximum(1 - kept, 1e-12)) - np.log10(np.maximum(1 - below, 1e-12)))
-            self.arc.append(np.log10(p))
-            self.suffix += [np.zeros(len(levels[0]), np.int64)] if k == 1 else []
-            self.suffix.append(shorter)
-            low = self.arc[-1]
-        # The longest n-grams have no arcs of their own and fail for free.
-        self.back.append(np.zeros(len(levels[-1])))
-        if len(levels) == 1:
-            self.suffix.append(np.zeros(len(levels[0]), np.int64))
-
-    def log_single(self, counts):
+    def __init__(self, grams: Grams, back: list):
         import numpy as np
 
-        return np.log10((counts + SMOOTHING) / (self.total + SMOOTHING * (self.distinct + 1)))
+        known = [np.flatnonzero(k) for k in grams.known]
+        # Names are sorted, so known tokens are; longer n-grams are numbered by their codes.
+        self.levels, self.arc, self.back, self.suffix = [grams.names[0][known[0]].view(np.int64)], [None], [], []
+        number, width = [], max(1, len(known[0]))
+        for k, mine in enumerate(known):
+            if k:
+                codes = number[k - 1][grams.context[k][mine]] * width + number[0][grams.place[0][grams.at[k][mine]]]
+            else:
+                codes = self.levels[0]
+            order = np.argsort(codes, kind="stable")
+            mine = mine[order]
+            number.append(np.full(len(grams.names[k]), -1, np.int64))
+            number[k][mine] = np.arange(len(mine))
+            if k:
+                self.levels.append(codes[order])
+                self.arc.append(np.log10(grams.p[k][mine]))
+            else:
+                self.levels[0] = codes[order]
+            self.suffix.append(number[k - 1][grams.shorter[k][mine]] if k else np.zeros(len(mine), np.int64))
+            # The longest n-grams have no arcs of their own and fail for free.
+            self.back.append(back[k][mine] if k < len(known) - 1 else np.zeros(len(mine)))
+        self.first = np.cumsum([1, *map(len, self.levels)])
 
     def step(self, state, known, single):
         """One token for many states: (log10 probability, next state)."""
@@ -283,79 +416,70 @@ class Automaton:
         return np.bincount(row, weights=scores, minlength=n_rows)
 
 
-def _score(automaton: Automaton):
-    def run(docs, counts):
+def _score(order: int, total: int, distinct: int):
+    def run(batch, answers):
         import numpy as np
         import pyarrow as pa
 
-        order = np.argsort(counts.column("token").to_numpy())
-        names, c = counts.column("token").to_numpy()[order], counts.column("c").to_numpy()[order]
-        texts = docs.column("text").combine_chunks()
-        hashes, rows = tokens_of(texts)
-        place = find(names, hashes)
-        uses = np.where(place >= 0, c[place], 0) if len(c) else np.zeros(len(hashes), np.int64)
-        single = automaton.log_single(uses)
-        n = len(texts)
-        columns = [
-            docs.column("doc_id").combine_chunks(),
-            docs.column("training").combine_chunks(),
-            pa.array(np.bincount(rows, minlength=n).astype(np.int64)),
-            pa.array(np.bincount(rows, weights=uses > 0, minlength=n).astype(np.int64)),
-            pa.array(np.full(n, automaton.total, np.int64)),
-            pa.array(np.bincount(rows, weights=single, minlength=n)),
-            pa.array(automaton.traverse(hashes, rows, single, n)),
-        ]
-        names = ["doc_id", "training", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-        return pa.Table.from_arrays(columns, names)
+        out = []
+        for body in batch.column("body"):
+            docs, hashes, rows, grams = _learned(body, answers, order, total, distinct)
+            back = []
+            for k in range(1, order):
+                back.append(np.zeros(len(grams.names[k - 1])))
+                back[-1][grams.sums(k)[0]] = _answers(answers, -k, np.float64)
+            uses, single = grams.counts[0][grams.place[0]], np.log10(grams.p[0])[grams.place[0]]
+            n = docs.num_rows
+            columns = [
+                docs.column("doc_id").combine_chunks(),
+                docs.column("training").combine_chunks(),
+                pa.array(np.bincount(rows, minlength=n).astype(np.int64)),
+                pa.array(np.bincount(rows, weights=uses > 0, minlength=n).astype(np.int64)),
+                pa.array(np.full(n, total, np.int64)),
+                pa.array(np.bincount(rows, weights=single, minlength=n)),
+                pa.array(Automaton(grams, back).traverse(hashes, rows, single, n)),
+            ]
+            names = ["doc_id", "training", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+            out.append(pa.Table.from_arrays(columns, names))
+        return pa.concat_tables(out)
 
     return run
 
 
-def kept_ngrams(counted: DataFrame, least: float):
-    """N-grams with their counts, those that make enough of the training tokens: at most 1 / SHARE."""
-    found = counted.groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toPandas().sort_values("code")
-    return found["code"].to_numpy("int64"), found["n"].to_numpy("int64")
+def _written(df: DataFrame, label: str) -> DataFrame:
+    """``materialize``, with the shuffle files of the job removed at its end."""
+    conf, before = df.sparkSession.conf, df.sparkSession.conf.get(CLEAN_KEY, "false")
+    conf.set(CLEAN_KEY, "true")
+    try:
+        return materialize(df, label)
+    finally:
+        conf.set(CLEAN_KEY, before)
 
 
 def score_documents(
-    docs: DataFrame, training: Column, id_column: str = "doc_id", text_column: str = "text", order: int = ORDER, share: float = SHARE
+    docs: DataFrame, training: Column, id_column: str = "doc_id", text_column: str = "text", order: int = ORDER
 ) -> DataFrame:
     """One row per document: doc_id, training, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    path = scratch_path(spark, "batches")
-    dealt = rows.mapInArrow(_deal, f"doc_id {kind}, text string, training boolean, batch long")
-    dealt.write.option("compression", "zstd").parquet(path)
-    dealt = spark.read.schema(dealt.schema).parquet(path)
-
-    by_token = Window.partitionBy("token").orderBy("batch")
-    everywhere = by_token.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    counts = materialize(
-        dealt.select("text", "training", "batch")
-        .mapInArrow(_requests, "batch long, token long, n long")
-        .withColumn("c", F.sum("n").over(everywhere))
-        .withColumn("one", F.row_number().over(by_token) == 1)
-        .where("c > 0")
-        .select("batch", "token", "c", "one"),
-        "counts",
-    )
-    each = counts.where("one")
-    stats = each.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("distinct")).first()
-    least = max(2, share * stats.total)
-    levels, numbers = zip(kept_ngrams(each.select(F.col("token").alias("code"), F.col("c").alias("n")), least))
-    levels, numbers = list(levels), list(numbers)
-    for _ in range(order - 1):
-        counted = dealt.select("text", "training").mapInArrow(_count_longer(levels), "code long, n long")
-        codes, n = kept_ngrams(counted, least)
-        levels.append(codes)
-        numbers.append(n)
-    automaton = Automaton(levels, numbers, stats.total, stats.distinct)
+    dealt = materialize(rows.mapInArrow(_deal, "batch long, body binary"), "batches")
+    ranges = max(RANGES, dealt.count())
+    requests = dealt.mapInArrow(_requests(order, ranges), schema_of(REQUEST))
+    counts = _written(requests.groupBy("level", "range").applyInArrow(_count, schema_of(COUNTED)), "counts")
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "distinct")]
+    total, distinct = counts.where("level = 0").agg(*sums).first()
+    answers = counts.select(*(name for name, _ in ANSWER))
+    if order > 1:
+        added = (
+            dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_sums(order, ranges, total, distinct), schema_of(SUMS))
+        )
+        weights = _written(added.groupBy("level", "range").applyInArrow(_weigh, schema_of(ANSWER)), "weights")
+        answers = answers.union(weights)
     return (
         dealt.groupBy("batch")
-        .cogroup(counts.select("batch", "token", "c").groupBy("batch"))
+        .cogroup(answers.groupBy("batch"))
         .applyInArrow(
-            _score(automaton),
+            _score(order, total, distinct),
             f"doc_id {kind}, training boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
         )
     )

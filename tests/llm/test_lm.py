@@ -79,6 +79,18 @@ def test_probabilities_sum_to_one():
         assert total == pytest.approx(1)
 
 
+def test_rare_ngrams_count_in_large_training(spark):
+    # 1.6 million training tokens: a share of two millionths would ask for more than three occurrences.
+    rows = [(i, "the same few words again and again " * 1_000) for i in range(230)]
+    rows += [(1_000 + i, t) for i, t in enumerate(["rare pair here", "rare pair here", "once alone there", "rare pair there"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in lm.score_documents(docs, F.col("doc_id") != 1_003).collect()}
+    model = Model([t for i, t in rows if i != 1_003], 3, 0)
+    assert got[0].train_tokens == model.total > 1_500_000
+    for i, t in rows[-4:] + rows[:1]:
+        assert got[i].score == pytest.approx(model.score(t))
+
+
 def test_nothing_to_learn_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     row = lm.score_documents(docs, F.lit(False)).first()
