@@ -1,5 +1,9 @@
 """The pipeline's stages against their operators, and its contract."""
 
+import base64
+import random
+import string
+
 import pytest
 
 import corpus_pipeline
@@ -40,6 +44,22 @@ def test_language_stage_keeps_all_prose(steps):
     assert left.count() >= 0.99 * docs.count()
 
 
+def test_language_stage_rejects_what_is_no_learned_language(spark):
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text", "lang")
+    rng, first = random.Random(3), 10_000_000
+    noise = [base64.b64encode(rng.randbytes(2_250)).decode() for _ in range(30)]
+    noise += [" ".join("".join(rng.choices(string.ascii_lowercase, k=rng.randint(2, 9))) for _ in range(500)) for _ in range(30)]
+    noise += ["\n".join(rng.randbytes(32).hex() for _ in range(47)) for _ in range(30)]
+    noise += ["".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(3_000)) for _ in range(30)]
+    noise += [" ".join("".join(chr(rng.randint(0x430, 0x44F)) for _ in range(6)) for _ in range(500)) for _ in range(30)]
+    texts = [r.text.split() for r in docs.where("length(text) > 300").orderBy("doc_id").limit(100).collect()]
+    short = [" ".join(words[:10]) for words in texts]
+    made = spark.createDataFrame([(first + i, t, None) for i, t in enumerate(noise + short)], docs.schema)
+    kept = [r.doc_id - first for r in corpus_pipeline.language(spark, docs.union(made), SF).where(f"doc_id >= {first}").collect()]
+    assert sum(i < len(noise) for i in kept) == 0
+    assert sum(i >= len(noise) for i in kept) >= 0.95 * len(short)
+
+
 def test_near_duplicates_keep_the_smallest_of_each_group(steps):
     _, docs, left = steps[2]
     groups = simhash.near_duplicates(docs).select("component_id").distinct().collect()
