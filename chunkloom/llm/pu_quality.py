@@ -125,10 +125,10 @@ statistics = F.pandas_udf(_statistics, ArrayType(DoubleType()))
 class Network:
     """One hidden layer over standardised statistics."""
 
-    def __init__(self, positives, unlabelled, prior: float):
+    def __init__(self, positives, unlabelled, prior: float, mean, scale):
         import numpy as np
 
-        self.mean, self.scale = unlabelled.mean(axis=0), unlabelled.std(axis=0) + 1e-9
+        self.mean, self.scale = mean, scale
         rng = np.random.default_rng(0)
         width = unlabelled.shape[1]
         self.weights = [
@@ -188,18 +188,25 @@ def sigmoid(x):
 
 
 def sample(rows: DataFrame, most: int):
-    """The statistics of about ``most`` rows at most, drawn by a hash of the id."""
+    """The statistics of about ``most`` rows at most, drawn by a hash of id and statistics."""
     import numpy as np
 
     total = rows.count()
     rate = min(1.0, most / max(total, 1))
-    drawn = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) < int(rate * (1 << 30)))
+    drawn = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "x"), F.lit(1 << 30)) < int(rate * (1 << 30)))
     rows = drawn.select("x").toPandas()["x"]
     matrix = np.stack(rows) if len(rows) else np.empty((0, 0))
     # In an order of its own, so that a fit does not depend on the order of arrival.
     return matrix[np.lexsort(matrix.T)] if len(rows) else matrix
 
 
+def moments(stats: DataFrame):
+    """Mean and scale of each statistic over all rows."""
+    found = stats.select(F.posexplode("x").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("scale"))
+    found = found.toPandas().sort_values("i")
+    return found["mean"].to_numpy(), found["scale"].to_numpy() + 1e-9
+
+
 def fit(stats: DataFrame, labels: DataFrame, prior: float | None = None, positives=POSITIVES, unlabelled=UNLABELLED):
     """``stats(doc_id, x)`` of training texts and ``labels(doc_id, quality)`` -> a function
     from a matrix of statistics to scores."""
@@ -213,7 +220,7 @@ def fit(stats: DataFrame, labels: DataFrame, prior: float | None = None, positiv
     p, u = sample(marked.where("quality = 1"), positives), sample(stats, unlabelled)
     if not len(p):
         return lambda x: np.full(len(x), prior)
-    return Network(p, u, prior).scores
+    return Network(p, u, prior, *moments(stats)).scores
 
 
 def scorer(scores):

@@ -62,3 +62,13 @@ def test_held_out_accuracy(spark):
     scored = queries.QUERIES["op4_quality"](spark, SF).join(labels, "doc_id").where("held_out").toPandas()
     assert len(scored) > 500 and (scored.predicted == scored.quality).mean() > 0.97
     assert scored.score[scored.quality == 0].mean() < 0.1
+
+
+def test_moments_of_all_rows_and_rows_without_id(spark):
+    stats = spark.range(4_000).selectExpr("IF(id < 2000, id, NULL) AS doc_id", "array(double(id), double(id % 7)) AS x")
+    labels = spark.range(0, 2_000, 2).selectExpr("id AS doc_id", "1 AS quality")
+    network = pu_quality.fit(stats, labels, unlabelled=200).__self__
+    x = np.array([[i, i % 7] for i in range(4_000)], float)
+    assert network.mean == pytest.approx(x.mean(axis=0)) and network.scale == pytest.approx(x.std(axis=0))
+    drawn = pu_quality.sample(stats, 200)[:, 0]
+    assert 50 < (drawn >= 2_000).sum() < 150 and len(drawn) < 300
