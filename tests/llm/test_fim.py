@@ -1,0 +1,90 @@
+"""Fill-in-middle against cuts and pieces made one text at a time."""
+
+import hashlib
+import re
+
+import pytest
+from hypothesis import given
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from chunkloom.llm import fim
+
+TEXTS = [
+    None, "", "\n", "\n\n", "a", "a\n", "a\nb", "a\n\nb\n", "x <P> y\nz", "<S>", "one<M>", "<P", "a<\nS>\nb<", "<\nM>", "é\nü\n\U0001F600\r\nz\r", " \n \n",
+    "line\n" * 5000 + "end", "w " * 200000, "\n" * 20000, "a\x00b\nc d\x85e",
+]
+COLUMNS = ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output"]
+
+
+def expected(key, text, seed=7, percent=100, spm=50):
+    text = text or ""
+    units = re.findall(r"[^\n]*\n|[^\n]+", text)
+    n, digest = len(units), hashlib.sha256(f"{seed}:{'' if key is None else key}".encode()).hexdigest()
+    h = [int(digest[8 * i : 8 * i + 8], 16) for i in range(4)]
+    low, high = sorted((h[0] % (n + 1), h[1] % (n + 1)))
+    prefix, middle, suffix = ("".join(u) for u in (units[:low], units[low:high], units[high:]))
+    if not text or any(c in text for c in ("<P>", "<S>", "<M>")) or h[2] % 100 >= percent:
+        return key, n, "plain", None, None, text
+    if h[3] % 100 < spm:
+        return key, n, "spm", len(prefix), len(middle), f"<S>{suffix}<P>{prefix}<M>{middle}"
+    return key, n, "psm", len(prefix), len(middle), f"<P>{prefix}<S>{suffix}<M>{middle}"
+
+
+def rows_of(spark):
+    rows = [(i * 31 + k, t) for k in range(12) for i, t in enumerate(TEXTS)]
+    rows += [(None, "a\nb\nc"), (-4, "a\nb\nc"), (5, "a\nb\nc\n"), (5, "a\nb\nc\n"), (5, "other")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    return rows, docs.withColumns({"key": F.lit("x"), "n": F.lit(1), "form": F.lit("y"), "h1": F.lit(2), "spm": F.lit("z")})
+
+
+@pytest.mark.parametrize(("seed", "percent", "spm"), [(7, 100, 50), (1, 60, 30), (2, 0, 50), (3, 100, 100)])
+def test_edge_rows(spark, seed, percent, spm):
+    rows, docs = rows_of(spark)
+    made = fim.transform(docs, seed=seed, percent=percent, spm_percent=spm)
+    assert made.columns == COLUMNS
+    want = [expected(k, t, seed, percent, spm) for k, t in rows]
+    assert sorted(map(tuple, made.collect()), key=str) == sorted(want, key=str)
+
+
+def test_texts_come_back(spark):
+    rows, docs = rows_of(spark)
+    back = fim.transform(docs).select("doc_id", fim.restored(F.col("output"), F.col("form")).alias("text"))
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(((k, t or "") for k, t in rows), key=str)
+    assert fim.transform(docs).where("form = 'psm'").count() > 20 and fim.transform(docs).where("form = 'spm'").count() > 20
+
+
+def test_empty_table_and_string_keys(spark):
+    docs = spark.createDataFrame([], "id string, body string")
+    assert fim.transform(docs, key="id", text="body").collect() == []
+    one = spark.createDataFrame([("a7", "x\ny\n")], "id string, body string")
+    assert [tuple(r) for r in fim.transform(one, key="id", text="body").collect()] == [expected("a7", "x\ny\n")]
+
+
+def batch(texts, h):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_pydict(
+        {"key": list(range(len(texts))), "text": pa.array(texts, pa.string()), "h1": [a for a, _ in h], "h2": [b for _, b in h], "changed": [True] * len(texts), "spm": [b % 2 == 0 for _, b in h]}
+    )
+
+
+@given(st.lists(st.tuples(st.none() | st.text("ab\n<PSM>é", max_size=30), st.integers(0, 99), st.integers(0, 99)), min_size=1, max_size=12))
+def test_any_batch(rows):
+    made = fim.assemble(batch([t for t, _, _ in rows], [(a, b) for _, a, b in rows])).to_pylist()
+    for (text, a, b), row in zip(rows, made):
+        units = re.findall(r"[^\n]*\n|[^\n]+", text or "")
+        low, high = sorted((a % (len(units) + 1), b % (len(units) + 1)))
+        assert row["n"] == len(units)
+        if row["form"] == "plain":
+            assert row["output"] == (text or "")
+        else:
+            assert (row["prefix_chars"], row["middle_chars"]) == (len("".join(units[:low])), len("".join(units[low:high])))
+            assert sorted(row["output"]) == sorted(text + "<P><S><M>")
+
+
+def test_lines_of_a_slice_of_an_array():
+    import pyarrow as pa
+
+    texts = pa.array(["skip\nme", "a\nb", "", "\n"], pa.large_string()).slice(1)
+    assert fim.lines(texts).to_pylist() == [["a\n", "b"], [], ["\n"]]
