@@ -1,0 +1,83 @@
+"""Text of nested, broken and unusual pages."""
+
+import pytest
+from hypothesis import given
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from chunkloom.sources import html
+
+# page -> (title, text, dropped blocks)
+PAGES = [
+    (None, (None, "", 0)),
+    ("", (None, "", 0)),
+    ("plain text", (None, "plain text", 0)),
+    ("<p>one<p>two</p>three", (None, "one\ntwo\nthree", 0)),
+    ("<title> A  &amp;\nB </title><p>x</p><title>second</title>", ("A & B", "x", 0)),
+    ("a<b>bold</b>c <i>d</i>", (None, "aboldc d", 0)),
+    ('<p title="a > b" class=\'x"y>\'>kept</p>', (None, "kept", 0)),
+    ('<p class="open>quote</p><p>next</p>', (None, "quote\nnext", 0)),
+    ("a < b & c <3 &unknown; &amp &#65;&#x42;&#0;&#xD800;&#1114112;", (None, "a < b & c <3 &unknown; &amp AB���", 0)),
+    ("&lt;p&gt; &#128512;&eacute;&nbsp;&nbsp;x", (None, "<p> \U0001F600é x", 0)),
+    ("<!-- <p>no</p> -->yes<!-- open", (None, "yes", 0)),
+    ("<!--> a -->b", (None, "b", 0)),
+    ("<script>if (a < b) document.write('<p>no</p>')</script>yes<STYLE>p{}</STYLE >!<script>no", (None, "yes!", 0)),
+    ("<scripty>yes</scripty>", (None, "yes", 0)),
+    ("<!DOCTYPE html><?xml v?>x</>y", (None, "xy", 0)),
+    ("<nav><ul><li>Home<li><a href=/>x</a></ul></nav><p>text", (None, "text", 2)),
+    ("<nav>open menu<article><p>text</p></article>", (None, "text", 1)),
+    ("</nav></a><p>stray</p>", (None, "stray", 0)),
+    ("<aside><aside>in</aside>still</aside>out", (None, "out", 2)),
+    ("<ul><li><a>Menu one</a></li><li><a>Two</a> or</li></ul><p>See <a>this</a> for more of it.</p>", (None, "See this for more of it.", 2)),
+    ("<h1><a href=x>Headline</a></h1><div><a>all link</a></div>", (None, "Headline", 1)),
+    ("<pre>\n  a\n    b  </pre><p>  c   d </p>", (None, "  a\n    b\nc d", 0)),
+    ("<table><tr><td>1</td><td>2<tr><th>3</table>", (None, "1\n2\n3", 0)),
+    ("x<br>y<BR/>z<hr>", (None, "x\ny\nz", 0)),
+    ("text<div class=unfinished", (None, "text", 0)),
+    ("<textarea><p>no</p></textarea><svg><text>no</text></svg>ok", (None, "ok", 0)),
+    ("<a><a>nested</a> link</a><p>free</p>", (None, "free", 1)),
+    ("<div>" * 3000 + "deep" + "</div>" * 3000, (None, "deep", 0)),
+    ("<p " + "a='>' " * 20000 + ">long tag</p>", (None, "long tag", 0)),
+    ("word " * 100000, (None, ("word " * 100000).strip(), 0)),
+]
+
+
+@pytest.fixture(scope="module")
+def found(spark):
+    rows = [(i, p) for i, (p, _) in enumerate(PAGES)]
+    pages = spark.createDataFrame(rows, "page long, html string").withColumns({"pos": F.lit("p"), "block": F.lit(1), "kept": F.lit("k")})
+    out = html.extract(pages)
+    assert out.columns == ["page", "pos", "block", "kept", "title", "text", "n_blocks", "n_dropped"]
+    return {r.page: r for r in out.collect()}
+
+
+@pytest.mark.parametrize("i", range(len(PAGES)))
+def test_page(found, i):
+    r, (title, text, dropped) = found[i], PAGES[i][1]
+    assert (r.title, r.text, r.n_dropped) == (title, text, dropped)
+    assert (r.pos, r.block, r.kept) == ("p", 1, "k")
+
+
+def test_repeated_rows_empty_table_and_limit(spark):
+    pages = spark.createDataFrame([(1, "<p>x")] * 3 + [(None, "<p>x"), (None, None)], "page_id long, html string")
+    assert sorted(tuple(r) for r in html.extract(pages).select(F.coalesce("page_id", F.lit(0)), "text").collect()) == [(0, ""), (0, "x"), (1, "x"), (1, "x"), (1, "x")]
+    assert html.extract(pages.limit(0)).collect() == []
+    linked = spark.createDataFrame([("<p><a>12345</a>67890</p>",)], "html string")
+    assert html.extract(linked).first().text == "1234567890"
+    assert html.extract(linked, most_linked=0.4).first().text == ""
+
+
+def test_tokens_are_the_page(spark):
+    @given(st.lists(st.text("<>!-/'\"= \nabps&;#x1é", max_size=40), min_size=20, max_size=40))
+    def whole(pages):
+        df = spark.createDataFrame([(p,) for p in pages], "html string")
+        assert df.where(F.array_join(html.tokens(F.col("html")), "") != F.col("html")).count() == 0
+
+    from hypothesis import settings
+
+    settings(max_examples=5, deadline=None)(whole)()
+
+
+def test_tokens_are_shuffled_once(spark):
+    plan = html.extract(spark.range(10).selectExpr("id", "'<p>x' AS html"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
