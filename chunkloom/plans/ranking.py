@@ -54,6 +54,27 @@ def rank_in_group(
     )
 
 
+def totals_in_group(
+    df: DataFrame, group: list[str], order: list[str], totals: dict[str, str], parts: int | None = None
+) -> DataFrame:
+    """For each name in ``totals``, the sum of its column over the rows before, in the order of a group.
+
+    Ranges sum up their own rows; what earlier ranges hold of a group is one number for each
+    of them.  Ties of ``order`` may stand in any order.  Groups must not be null.
+    """
+    placed = _place(df, group + order, parts)
+    local = Window.partitionBy(*group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    skipped = placed.groupBy(*group, "_part").agg(*[F.sum(c).alias(f"_sum_{n}") for n, c in totals.items()])
+    skipped = skipped.select(
+        *group, "_part", *[F.coalesce(F.sum(f"_sum_{n}").over(before), F.lit(0)).alias(f"_skip_{n}") for n in totals]
+    )
+    summed = placed.withColumns({f"_own_{n}": F.coalesce(F.sum(c).over(local), F.lit(0)) for n, c in totals.items()})
+    return summed.join(skipped, [*group, "_part"]).select(
+        *df.columns, *[(F.col(f"_own_{n}") + F.col(f"_skip_{n}")).cast("bigint").alias(n) for n in totals]
+    )
+
+
 def previous_in_group(
     df: DataFrame, key: str, order: list[str], value: str, name: str, parts: int | None = None
 ) -> DataFrame:
