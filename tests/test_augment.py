@@ -1,0 +1,94 @@
+"""Augmented rows: identity, attributes, runs again, models."""
+
+import hashlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from chunkloom.operators import augment
+from chunkloom.operators.assets import run_tagger
+from chunkloom.operators.chunking import fixed_size_chunks
+from chunkloom.operators.models import Completion
+from chunkloom.schema import CHUNK_COLUMNS, config_hash
+from chunkloom.sources.chunk_table import ChunkTable
+
+TEXTS = {1: "one two  three\nfour five six seven", 2: "a", 3: "ä ö ü", 4: "  lead and trail \n", 5: ""}
+
+
+class Echo:
+    def complete(self, prompts, max_tokens):
+        if any("three" in p for p in prompts):
+            raise RuntimeError("no")
+        return [Completion(p.upper(), "echo") for p in prompts]
+
+
+@pytest.fixture
+def chunks(spark):
+    docs = spark.createDataFrame([(i, 7, t) for i, t in TEXTS.items()], "source_id long, source_collection_id long, text string")
+    return fixed_size_chunks(docs).withColumn("attr_lang_code", F.lit("en"))
+
+
+def draw(seed, chunk, n, place):
+    return int(hashlib.md5(f"{seed}:{chunk}:{n}:{place}".encode()).hexdigest()[:8], 16) % 1000
+
+
+def test_drop_makes_the_words_that_digests_choose(chunks):
+    got = {r.chunk_id: r for r in augment.augment(chunks, augment.word_drop(0.4, outputs=3, seed=5)).collect()}
+    words = ["one", " two", "  three", "\nfour", " five", " six", " seven"]
+    for n in range(3):
+        want = "".join(w for i, w in enumerate(words) if draw(5, "1_0", n, i) >= 400)
+        if want == TEXTS[1]:
+            assert f"1_0_drop{n}" not in got
+        else:
+            row = got[f"1_0_drop{n}"]
+            assert (row.text, row.token_count) == (want, len(want.split()))
+
+
+def test_rows_conform_and_attributes_are_null(chunks):
+    augmenter = augment.word_drop(0.9, seed=1)
+    rows = augment.augment(chunks, augmenter)
+    assert rows.columns == CHUNK_COLUMNS
+    for r in rows.collect():
+        assert r.chunk_id == f"{r.augmented_from}_drop" and r.producer_asset == "augment_word_drop"
+        assert (r.augmenter_id, r.augmenter_config_hash) == ("word_drop", config_hash(augmenter.config))
+        assert (r.source_collection_id, r.docling_refs) == (7, "")
+        assert all(r[c] is None for c in CHUNK_COLUMNS if c.startswith("attr_"))
+
+
+def test_swap_keeps_words_and_white_space(chunks):
+    got = {r.augmented_from: r.text for r in augment.augment(chunks, augment.word_swap(1.0)).collect()}
+    assert got == {"1_0": "two one  four\nthree six five seven", "3_0": "ö ä ü", "4_0": "  and lead trail \n"}
+    assert augment.augment(chunks, augment.word_swap(0.0)).count() == 0
+
+
+def test_script_and_null_texts(spark, chunks):
+    rows = augment.augment(chunks, augment.script({"ä": "a", "ö": "o"}))
+    assert [(r.chunk_id, r.text) for r in rows.collect()] == [("3_0_script", "a o ü")]
+    nothing = chunks.withColumn("text", F.lit(None).cast("string"))
+    assert augment.augment(nothing, augment.word_drop()).count() == 0
+    with pytest.raises(ValueError):
+        augment.script({"ß": "ss"})
+
+
+def test_model_outputs_and_failures(chunks):
+    rows = augment.augment_with_model(chunks, "translate", "de", augment.TRANSLATE, Echo, outputs=2, language="German").collect()
+    ids = {r.chunk_id for r in rows}
+    # The prompt that raises fails alone.
+    assert ids == {f"{i}_0_de{n}" for i in (2, 3, 4, 5) for n in range(2)}
+    assert {r.text for r in rows if r.augmented_from == "2_0"} == {augment.TRANSLATE.format(language="German", text="a").upper()}
+    assert len({r.augmenter_config_hash for r in rows}) == 1
+
+
+def test_runs_again_replace_and_taggers_see_originals_only(spark, folder, chunks):
+    table = ChunkTable(spark, folder, buckets=2)
+    table.replace_rows(chunks)
+    for share in (0.5, 0.5, 1.0):
+        augment.run_augmenter(table, augment.word_swap(share, seed=2))
+    made = table.read().where("augmented_from IS NOT NULL")
+    assert {r.chunk_id for r in made.collect()} == {"1_0_swap", "3_0_swap", "4_0_swap"}
+    augment.run_augmenter(table, augment.word_swap(0.0))
+    assert table.read().where("augmented_from IS NOT NULL").count() == 0
+    augment.run_augmenter(table, augment.word_swap(1.0), requested=spark.createDataFrame([(3,)], "id long"))
+    run_tagger(table, "attr_pii")
+    tagged = {r.chunk_id: r.attr_pii_has_pii for r in table.read().collect()}
+    assert tagged["3_0_swap"] is None and tagged["3_0"] is False and len(tagged) == 6
