@@ -141,3 +141,45 @@ def test_predicates_call_known_functions_only(spark, predicate):
 def test_harmless_predicates_run(spark, predicate):
     rows = spark.createDataFrame([("a", 1)], "text string, token_count int")
     assert where(rows, predicate).count() <= 1
+
+
+@pytest.mark.parametrize(
+    "predicate",
+    [
+        "token_count IN (FROM parquet.`{path}`)",
+        "(FROM v) = token_count",
+        "token_count = (FROM parquet.`{path}` |> SELECT token_count)",
+        "abs(token_count) FILTER (WHERE EXISTS (FROM v)) = 1",
+        "array_contains(transform(array(1), x -> x), 1)",
+        "count(*) = 1",
+        "* = 1",
+        "token_count = :x",
+        "IDENTIFIER('token_count') = 1",
+        "repeat('x', 2000000000) = text",
+        "repeat('x', token_count) = text",
+        "lpad(text, 10001, 'x') = ''",
+        "repeat(repeat('x', 1000), 1000) = text",
+        "replace(replace(text, 'a', 'aaaa'), 'a', 'aaaa') = ''",
+        f"replace(text, 'a', '{'a' * 101}') = ''",
+        "replace(text, 'a', text) = ''",
+        "regexp_replace(text, 'a', concat(text, text)) = ''",
+    ],
+)
+def test_predicates_read_no_other_table_and_make_no_long_texts(spark, folder, predicate):
+    rows = spark.createDataFrame([("a", 1)], "text string, token_count int")
+    rows.select("token_count").write.parquet(folder)
+    rows.createOrReplaceTempView("v")
+    with pytest.raises(QueryError):
+        where(rows, predicate.replace("{path}", folder)).collect()
+
+
+def test_a_refused_predicate_looks_at_no_file(spark):
+    rows = spark.createDataFrame([("a", 1)], "text string, token_count int")
+    with pytest.raises(QueryError, match="InSubquery"):
+        where(rows, "token_count IN (FROM parquet.`/there/is/no/such/path`)")
+
+
+def test_bounded_texts_run(spark):
+    rows = spark.createDataFrame([("a", 1)], "text string, token_count int")
+    for predicate in ("lpad(text, 3, '-') = '--a'", "repeat(text, 2) = 'aa'", "replace(text, 'a', 'b') = 'b'", "regexp_replace(text, '^a', 'bb') = 'bb'", "replace(text, 'a') = ''"):
+        assert where(rows, predicate).count() == 1
