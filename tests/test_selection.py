@@ -79,3 +79,74 @@ def test_discarded_tables_are_gone(spark):
     discard(df)
     assert not os.path.isdir(df.scratch_path.removeprefix("file:"))
     discard(spark.range(1))
+
+
+def share_out(available, weights, total):
+    """Water filling one row at a time: the collection that is farthest below its weight is next."""
+    from fractions import Fraction
+
+    got = dict.fromkeys(available, 0)
+    open_ = {c for c in available if available[c] and weights[c]}
+    left = min(total, sum(available[c] for c in open_))
+    while left:
+        whole = sum(weights[c] for c in open_)
+        full = {c for c in open_ if available[c] * whole <= left * weights[c]}
+        for c in full:
+            got[c] = available[c]
+            left -= available[c]
+        open_ -= full
+        if not full:
+            shares = {c: Fraction(left * weights[c], whole) for c in open_}
+            got |= {c: int(x) for c, x in shares.items()}
+            spare = left - sum(int(x) for x in shares.values())
+            for c in sorted(open_, key=lambda c: (-(shares[c] % 1), c))[:spare]:
+                got[c] += 1
+            left = 0
+    return got
+
+
+@pytest.mark.parametrize("total", [0, 1, 7, 50, 333, 5000])
+@pytest.mark.parametrize("kind", ["equal", "rows", "own"])
+def test_quotas_meet_the_total(spark, total, kind):
+    import random
+
+    rng = random.Random(total)
+    available = {i: rng.choice([0, 1, 2, 5, 40, 300, 1000]) for i in range(25)}
+    weights = {i: 1 if kind == "equal" else available[i] if kind == "rows" else rng.choice([0, 1, 3, 29, 71]) for i in available}
+    rows = spark.createDataFrame([((i,), n, weights[i]) for i, n in available.items()], "collection struct<id:long>, rows long, weight long")
+    got = {r.collection.id: r.quota for r in selection.quotas(rows, total).collect()}
+    want = share_out(available, weights, total)
+    assert {c: q for c, q in got.items() if q} == {c: q for c, q in want.items() if q}
+    assert sum(got.values()) == min(total, sum(n for c, n in available.items() if weights[c]))
+
+
+def test_samples(spark):
+    chunks = spark.range(3000).selectExpr("concat(id, '_0') AS chunk_id", "id AS source_id", "if(id % 3 > 0, 1, if(id % 2 = 0, 2, NULL)) AS source_collection_id")
+    count = lambda df: {r.source_collection_id: r["count"] for r in df.groupBy("source_collection_id").count().collect()}
+    assert count(selection.sample(chunks, most=100)) == {1: 33, 2: 33, None: 34}
+    assert count(selection.sample(chunks, most=100, caps={2: 10})) == {1: 45, 2: 10, None: 45}
+    assert count(selection.sample(chunks, most=100, strategy="stratified")) == {1: 67, 2: 16, None: 17}
+    assert count(selection.sample(chunks, most=100, weights={1: 0.29, 2: 0.71})) == {1: 29, 2: 71}
+    assert count(selection.sample(chunks, most=1000, weights={1: 0.29, 2: 0.71})) == {1: 500, 2: 500}
+    assert count(selection.sample(chunks, caps={1: 4, 2: 0})) == {1: 4, None: 500}
+    assert [r.source_id for r in selection.sample(chunks, most=3, caps={2: 0}, strategy="none").orderBy("source_id").collect()] == [1, 2, 3]
+    once = {r.chunk_id for r in selection.sample(chunks, most=50).collect()}
+    assert once == {r.chunk_id for r in selection.sample(chunks.repartition(7), most=50).collect()} != {r.chunk_id for r in selection.sample(chunks, most=50, seed=1).collect()}
+    for bad in ({"strategy": "x"}, {"most": -1}, {"weights": {1: 1}}, {"most": 1, "weights": {1: 0}}):
+        with pytest.raises(QueryError):
+            selection.sample(chunks, **bad)
+
+
+def test_decimal_weights_are_exact(spark):
+    chunks = spark.range(400).selectExpr("concat(id, '_0') AS chunk_id", "id AS source_id", "id % 2 AS source_collection_id")
+    got = {r.source_collection_id: r["count"] for r in selection.weighted_mix(chunks, {0: 0.29, 1: 0.71}, 100).groupBy("source_collection_id").count().collect()}
+    assert got == {0: 29, 1: 71}
+
+
+def test_an_added_column_is_a_change(spark):
+    old = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "z")], "chunk_id string, text string")
+    new = spark.createDataFrame([("a", "x", 1), ("b", "y", None), ("d", "w", 2)], "chunk_id string, text string, n long")
+    diff = lambda a, b: {tuple(r) for r in selection.dataset_diff(a, b).collect()}
+    assert diff(old, new) == {("a", "changed"), ("c", "removed"), ("d", "added")}
+    assert diff(new, old) == {("a", "changed"), ("c", "added"), ("d", "removed")}
+    assert diff(old, old) == set()

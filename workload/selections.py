@@ -45,6 +45,38 @@ def weighted_mix(spark: SparkSession, sf: str) -> DataFrame:
     return mixed.select(*COLUMNS)
 
 
+CAPS = {0: 30, 3: 10, 7: 5}
+_CAPPED = """k AS (SELECT *, CASE source_collection_id WHEN 0 THEN 30 WHEN 3 THEN 10 WHEN 7 THEN 5 ELSE 1000000000 END AS cap FROM chunks),
+r AS (SELECT chunk_id, source_id, source_collection_id AS c, row_number() OVER (PARTITION BY source_collection_id ORDER BY {order}) AS n
+      FROM k QUALIFY n <= cap),
+a AS (SELECT c, count(*) AS a FROM r GROUP BY c)"""
+_DRAWN = _CAPPED.format(order="md5('42:' || chunk_id), chunk_id")
+_CHOSEN = "SELECT chunk_id, source_id, c AS source_collection_id FROM r JOIN q USING (c) WHERE n <= quota"
+
+
+@query(f"""WITH {CHUNKS}, {_DRAWN},
+level AS (SELECT max(l) AS l FROM (SELECT l, sum(least(a, l)) AS s FROM a, (SELECT unnest(range(0, 301)) AS l) GROUP BY l) WHERE s <= 300),
+q AS (SELECT c, least(a, l) + CASE WHEN a > l AND row_number() OVER (PARTITION BY a > l ORDER BY c) <= 300 - (SELECT sum(least(a, l)) FROM a, level)
+             THEN 1 ELSE 0 END AS quota FROM a, level)
+{_CHOSEN}""")
+def sample_uniform(spark: SparkSession, sf: str) -> DataFrame:
+    return selection.sample(tables.chunks(spark, sf), most=300, caps=CAPS).select(*COLUMNS)
+
+
+@query(f"""WITH {CHUNKS}, {_DRAWN},
+s AS (SELECT c, a, (300 * a) // sum(a) OVER () AS w, (300 * a) % sum(a) OVER () AS o FROM a),
+q AS (SELECT c, w + CASE WHEN row_number() OVER (ORDER BY o DESC, c) <= 300 - sum(w) OVER () THEN 1 ELSE 0 END AS quota FROM s)
+{_CHOSEN}""")
+def sample_stratified(spark: SparkSession, sf: str) -> DataFrame:
+    return selection.sample(tables.chunks(spark, sf), most=300, caps=CAPS, strategy="stratified").select(*COLUMNS)
+
+
+@query(f"""WITH {CHUNKS}, {_CAPPED.format(order="source_id, chunk_id")}
+SELECT chunk_id, source_id, c AS source_collection_id FROM r ORDER BY source_id, chunk_id LIMIT 300""")
+def sample_first(spark: SparkSession, sf: str) -> DataFrame:
+    return selection.sample(tables.chunks(spark, sf), most=300, caps=CAPS, strategy="none").select(*COLUMNS)
+
+
 @query(f"""WITH {CHUNKS}
 SELECT source_collection_id AS value, count(*) FILTER (token_count > 300) AS left_count,
        count(*) FILTER (text LIKE '%the%') AS right_count
