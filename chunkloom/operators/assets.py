@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chunkloom.operators.chunking import fixed_size_chunks
+from chunkloom.operators.embedding import tag_embeddings
 from chunkloom.operators.language import add_language_by_stop_words, tag_language_by_stop_words
 from chunkloom.operators.minhash import tag_near_duplicates
 from chunkloom.operators.pii import add_pii, tag_pii
@@ -41,6 +42,7 @@ ASSETS: dict[str, Asset] = {
         Asset("attr_quality_length", "column", tag_quality_by_length, add_quality_by_length),
         Asset("attr_lang", "column", tag_language_by_stop_words, add_language_by_stop_words),
         Asset("attr_pii", "column", tag_pii, add_pii),
+        Asset("attr_embed", "column", tag_embeddings),
         Asset("attr_minhash", "column", tag_near_duplicates),
     )
 }

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from chunkloom.functions.templates import render
 from chunkloom.operators import language, minhash, quality
 from chunkloom.operators.assets import run_tagger
+from chunkloom.operators.embedding import tag_embeddings
 from chunkloom.plans import explore
 from chunkloom.session import scratch_path
 from chunkloom.sources.chunk_table import ChunkTable
@@ -199,3 +200,24 @@ def minhash_clusters_collection(spark: SparkSession, sf: str) -> DataFrame:
     return minhash.tag_near_duplicates(
         tables.chunks(spark, sf), "source_collection_id"
     ).drop("attr_minhash_signature")
+
+
+@query(f"""WITH {CHUNKS},
+w AS (SELECT chunk_id, regexp_extract_all(lower(text), '\\S+') AS w FROM chunks),
+f AS (SELECT chunk_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM w),
+c AS (SELECT chunk_id, md5(f) AS d, count(*) AS n FROM f GROUP BY ALL),
+t AS (SELECT d, count(*) AS texts FROM c GROUP BY d),
+p AS (SELECT chunk_id, CAST('0x' || substr(d, 1, 12) AS BIGINT) % 1024 AS at1,
+             CASE WHEN CAST('0x' || substr(d, 13, 1) AS BIGINT) % 2 = 0 THEN 1 ELSE -1 END
+             * (1 + ln(n)) * (1 + ln(((SELECT count(*) FROM chunks) + 1) / (texts + 1))) AS v FROM c JOIN t USING (d)),
+s AS (SELECT chunk_id, at1, sum(v) AS v FROM p GROUP BY ALL),
+l AS (SELECT chunk_id, sqrt(sum(v * v)) AS l FROM s GROUP BY chunk_id),
+e AS (SELECT chunk_id, at1 AS i, CAST(v / l AS FLOAT) AS x FROM s JOIN l USING (chunk_id))
+SELECT chunk_id, CAST(count(*) AS INTEGER) AS places, CAST(sum(CAST(round(CAST(x AS DOUBLE) * 100000) AS BIGINT) * (1 + i)) AS BIGINT) AS weighted
+FROM e WHERE CAST(round(CAST(x AS DOUBLE) * 100000) AS BIGINT) <> 0 GROUP BY chunk_id""")
+def embed_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Places that are not zero after five decimals, and their sum weighted by place."""
+    vectors = tag_embeddings(tables.chunks(spark, sf))
+    whole = F.transform("attr_embed_vector", lambda x: F.round(x.cast("double") * 100000).cast("bigint"))
+    sums = F.aggregate(F.transform(whole, lambda x, i: x * (i + 1)), F.lit(0).cast("bigint"), lambda a, b: a + b)
+    return vectors.select("chunk_id", F.size(F.filter(whole, lambda x: x != 0)).alias("places"), sums.alias("weighted"))
