@@ -7,10 +7,10 @@ summed in each range and come back to the batches, so every n-gram has its exact
 training texts, nothing of them passes the driver or is broadcast, and no n-gram takes more
 places than there are batches.
 
-N-grams of all orders with at least ``LEAST`` training occurrences are known.  A state is the
+N-grams of all orders with at least ``least`` training occurrences are known.  A state is the
 longest known context.  It has an arc for each known continuation, with the discounted relative
 frequency, and a failure arc to the context one token shorter, whose weight leaves
-the probabilities of all tokens a sum of one.  The sums behind a context's weight come from the
+the probabilities of all tokens a sum of one.  The sums behind a context's weight are whole numbers; they come from the
 first batch of each of its continuations and go to the batches that fail there.  Each batch builds the
 part of the automaton that its own texts can reach.  The root has the smoothed single-token
 probabilities.  A text is scored in one traversal from left to right that
@@ -36,16 +36,15 @@ from chunkloom.session import materialize
 ORDER = 3
 # Least training occurrences of a known n-gram, whatever the size of the training texts.
 LEAST = 2
-# No n-gram is left out for its share of the training tokens.
-SHARE = 0.0
 DISCOUNT = 0.5
 SMOOTHING = 0.1
 BATCH = 8 << 20
 # Tokens of a text traversed as one part.
 PART = 256
 END = 0
-# Hash ranges are as many as batches, and at least so many.
+# Hash ranges: at least so many, and one for so many batches.
 RANGES = 256
+BATCHES_PER_RANGE = 4
 CLEAN_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -117,6 +116,20 @@ def unpack(blob: bytes, size: int, kind):
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
+def codes_of(hashes, rows, order: int) -> Iterator:
+    """For each k: the code of the n-gram of k + 1 tokens that ends at each token, and the tokens at which one does."""
+    import numpy as np
+
+    code, inside = hashes.view(np.uint64), np.ones(len(hashes), bool)
+    for k in range(order):
+        if k:
+            longer, within = np.zeros(len(hashes), np.uint64), np.zeros(len(hashes), bool)
+            longer[1:] = mix(code[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes.view(np.uint64)[1:])
+            within[1:] = inside[:-1] & (rows[1:] == rows[:-1])
+            code, inside = longer, within
+        yield k, code, np.flatnonzero(inside)
+
+
 class Grams:
     """The n-grams of a batch's texts.
 
@@ -128,14 +141,7 @@ class Grams:
         import numpy as np
 
         self.names, self.at, self.place = [], [], []
-        code, inside = hashes.view(np.uint64), np.ones(len(hashes), bool)
-        for k in range(order):
-            if k:
-                longer, within = np.zeros(len(hashes), np.uint64), np.zeros(len(hashes), bool)
-                longer[1:] = mix(code[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes.view(np.uint64)[1:])
-                within[1:] = inside[:-1] & (rows[1:] == rows[:-1])
-                code, inside = longer, within
-            ends = np.flatnonzero(inside)
+        for _, code, ends in codes_of(hashes, rows, order):
             names, first, number = np.unique(code[ends], return_index=True, return_inverse=True)
             place = np.full(len(hashes), -1, np.int64)
             place[ends] = number
@@ -143,13 +149,14 @@ class Grams:
             self.at.append(ends[first])
             self.place.append(place)
 
-    def learn(self, counts: list, firsts: list, total: int, distinct: int) -> None:
+    def learn(self, counts: list, firsts: list, total: int, distinct: int, least: int) -> None:
         """Takes the training counts of all n-grams and which of them this batch answers for."""
         import numpy as np
 
         self.counts, self.firsts = counts, firsts
-        self.known = [c >= LEAST for c in counts]
-        self.p = [(counts[0] + SMOOTHING) / (total + SMOOTHING * (distinct + 1))]
+        self.known = [c >= least for c in counts]
+        self.tokens = total + SMOOTHING * (distinct + 1)
+        self.p = [(counts[0] + SMOOTHING) / self.tokens]
         # The context of each n-gram, and the n-gram without its first token.
         self.context, self.shorter = [None], [None]
         for k in range(1, len(counts)):
@@ -159,8 +166,8 @@ class Grams:
                 self.p.append((counts[k] - DISCOUNT) / counts[k - 1][self.context[k]])
 
     def sums(self, k: int):
-        """Contexts of k tokens whose weight this batch needs or adds to, and what it adds:
-        the probabilities of their continuations, and of these one token shorter."""
+        """Contexts of k tokens whose weight this batch needs or adds to, and what it adds: the counts
+        of their continuations, of these without their first token, and how many there are."""
         import numpy as np
 
         own = np.flatnonzero(self.known[k] & self.firsts[k])
@@ -169,9 +176,25 @@ class Grams:
         asked[context] = True
         asked[self.context[k][~self.known[k]]] = True
         asked = np.flatnonzero(asked & self.known[k - 1])
-        kept = np.bincount(context, weights=self.p[k][own], minlength=size)
-        below = np.bincount(context, weights=self.p[k - 1][self.shorter[k][own]], minlength=size)
-        return asked, kept[asked], below[asked]
+        # Whole numbers, exact in doubles far beyond any count.
+        added = [np.bincount(context, weights=w, minlength=size) for w in (self.counts[k][own], self.counts[k - 1][self.shorter[k][own]], None)]
+        return asked, [a[asked].astype(np.int64) for a in added]
+
+    def back(self, k: int, asked, kept, below, many):
+        """Weights of the failure arcs of contexts of k tokens, from the sums over all batches.
+
+        What a context's continuations leave of its probability, over what they leave of that of the shorter context.
+        """
+        import numpy as np
+
+        left = 1 - (kept - DISCOUNT * many) / self.counts[k - 1][asked]
+        if k == 1:
+            shorter = 1 - (below + SMOOTHING * many) / self.tokens
+        else:
+            shorter = 1 - (below - DISCOUNT * many) / self.counts[k - 2][self.shorter[k - 1][asked]]
+        out = np.zeros(len(self.names[k - 1]))
+        out[asked] = np.log10(np.maximum(left, 1e-12)) - np.log10(np.maximum(shorter, 1e-12))
+        return out
 
 
 def _blocks(level: int, batch: int, names, ranges: int, columns: list) -> list:
@@ -205,11 +228,12 @@ def _arrow(rows: list, fields):
 REQUEST = (*BLOCK, ("n", "binary"))
 ANSWER = ("level", "int"), ("range", "int"), ("batch", "long"), ("size", "long"), ("answer", "binary")
 COUNTED = (*ANSWER, ("total", "long"), ("distinct", "long"))
-SUMS = (*BLOCK, ("kept", "binary"), ("below", "binary"))
+ADDED = "kept", "below", "many"
+SUMS = (*BLOCK, *((name, "binary") for name in ADDED))
 
 
-def _requests(order: int, ranges: int):
-    """Batches -> their distinct n-grams with training counts."""
+def _requests(levels: range, ranges: int):
+    """Batches -> their distinct n-grams of some levels with training counts."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -220,11 +244,11 @@ def _requests(order: int, ranges: int):
                 docs = pa.ipc.open_stream(body.as_buffer()).read_all()
                 hashes, row = tokens_of(docs.column("text").combine_chunks())
                 training = docs.column("training").to_numpy().astype(bool)[row]
-                grams = Grams(hashes, row, order)
-                for k in range(order):
-                    number = grams.place[k]
-                    n = np.bincount(number[training & (number >= 0)], minlength=len(grams.names[k])).astype(np.int64)
-                    yield from _arrow(_blocks(k, batch, grams.names[k], ranges, [n]), REQUEST).to_batches()
+                for k, code, ends in codes_of(hashes, row, levels.stop):
+                    if k in levels:
+                        names, number = np.unique(code[ends], return_inverse=True)
+                        n = np.bincount(number[training[ends]], minlength=len(names)).astype(np.int64)
+                        yield from _arrow(_blocks(k, batch, names, ranges, [n]), REQUEST).to_batches()
 
     return run
 
@@ -246,50 +270,54 @@ def _numbers(table, name: str, sizes: list, kind):
     return np.concatenate([unpack(c, n, kind) for c, n in zip(table.column(name).to_pylist(), sizes)])
 
 
-def _count(table):
-    """Sums counts in one range and answers twice the count, and one more to the first batch that asks."""
-    import numpy as np
+def _count(least: int):
+    def run(table):
+        """Sums counts in one range and answers twice the count, and one more to the first batch that asks."""
+        import numpy as np
 
-    level, place = table.column("level")[0].as_py(), table.column("range")[0].as_py()
-    table, sizes, cuts, first, number = _opened(table)
-    n = _numbers(table, "n", sizes, np.int64)
-    c = np.bincount(number, weights=n).astype(np.int64)
-    if level:
-        c[c < LEAST] = 0
-    own = np.zeros(len(number), np.int64)
-    own[first] = c > 0
-    answers, totals, owned = (np.split(x, cuts) for x in (2 * c[number] + own, n, own))
-    rows = [
-        (level, place, b, size, pack(a), int(t.sum()), int(o.sum()))
-        for b, size, a, t, o in zip(table.column("batch").to_pylist(), sizes, answers, totals, owned)
-    ]
-    return _arrow(rows, COUNTED)
+        level, place = table.column("level")[0].as_py(), table.column("range")[0].as_py()
+        table, sizes, cuts, first, number = _opened(table)
+        n = _numbers(table, "n", sizes, np.int64)
+        c = np.bincount(number, weights=n).astype(np.int64)
+        if level:
+            c[c < least] = 0
+        own = np.zeros(len(number), np.int64)
+        own[first] = c > 0
+        answers, totals, owned = (np.split(x, cuts) for x in (2 * c[number] + own, n, own))
+        rows = [
+            (level, place, b, size, pack(a), int(t.sum()), int(o.sum()))
+            for b, size, a, t, o in zip(table.column("batch").to_pylist(), sizes, answers, totals, owned)
+        ]
+        return _arrow(rows, COUNTED)
 
+    return run
 
-def _weigh(table):
-    """Adds up the sums of one range's contexts and answers the weights of their failure arcs."""
+
+def _add(table):
+    """Adds up one range's sums over all batches and answers them, the three numbers behind each other."""
     import numpy as np
 
     level, place = table.column("level")[0].as_py(), table.column("range")[0].as_py()
     table, sizes, cuts, _, number = _opened(table)
-    kept, below = (1 - np.bincount(number, weights=_numbers(table, c, sizes, np.float64)) for c in ("kept", "below"))
-    back = np.log10(np.maximum(kept, 1e-12)) - np.log10(np.maximum(below, 1e-12))
-    rows = zip(table.column("batch").to_pylist(), sizes, np.split(back[number], cuts))
-    return _arrow([(level, place, b, size, pack(a)) for b, size, a in rows], ANSWER)
+    whole = [np.bincount(number, weights=_numbers(table, c, sizes, np.int64)).astype(np.int64)[number] for c in ADDED]
+    parts = zip(*(np.split(x, cuts) for x in whole))
+    rows = zip(table.column("batch").to_pylist(), sizes, parts)
+    return _arrow([(level, place, b, size, pack(np.concatenate(part))) for b, size, part in rows], ANSWER)
 
 
-def _answers(table, level: int, kind):
-    """One level's answers to a batch, in the order of its codes."""
+def _answers(table, level: int, numbers: int = 1):
+    """One level's answers to a batch, in the order of its codes: an array for each of the ``numbers`` they hold."""
     import numpy as np
     import pyarrow.compute as pc
 
     table = table.filter(pc.equal(table.column("level"), level)).sort_by("range")
     if not table.num_rows:
-        return np.empty(0, kind)
-    return _numbers(table, "answer", table.column("size").to_pylist(), kind)
+        return np.empty((numbers, 0), np.int64)
+    blocks = zip(table.column("answer").to_pylist(), table.column("size").to_pylist())
+    return np.concatenate([unpack(c, numbers * n, np.int64).reshape(numbers, n) for c, n in blocks], axis=1)
 
 
-def _learned(body, answers, order: int, total: int, distinct: int):
+def _learned(body, answers, order: int, total: int, distinct: int, least: int):
     """A batch's documents, token hashes and rows, and its n-grams with their counts."""
     import numpy as np
     import pyarrow as pa
@@ -297,12 +325,12 @@ def _learned(body, answers, order: int, total: int, distinct: int):
     docs = pa.ipc.open_stream(body.as_buffer()).read_all()
     hashes, rows = tokens_of(docs.column("text").combine_chunks())
     grams = Grams(hashes, rows, order)
-    both = [_answers(answers, k, np.int64) for k in range(order)]
-    grams.learn([b >> 1 for b in both], [(b & 1).astype(bool) for b in both], total, distinct)
+    both = [_answers(answers, k)[0] for k in range(order)]
+    grams.learn([b >> 1 for b in both], [(b & 1).astype(bool) for b in both], total, distinct, least)
     return docs, hashes, rows, grams
 
 
-def _sums(order: int, ranges: int, total: int, distinct: int):
+def _sums(order: int, ranges: int, total: int, distinct: int, least: int):
     """A batch with its counts -> what it adds to the weights of contexts, level -k for those of k tokens."""
 
     def run(batch, answers):
@@ -310,10 +338,10 @@ def _sums(order: int, ranges: int, total: int, distinct: int):
 
         out = [_arrow([], SUMS)]
         for number, body in zip(batch.column("batch").to_pylist(), batch.column("body")):
-            grams = _learned(body, answers, order, total, distinct)[-1]
+            grams = _learned(body, answers, order, total, distinct, least)[-1]
             for k in range(1, order):
-                asked, kept, below = grams.sums(k)
-                out.append(_arrow(_blocks(-k, number, grams.names[k - 1][asked], ranges, [kept, below]), SUMS))
+                asked, added = grams.sums(k)
+                out.append(_arrow(_blocks(-k, number, grams.names[k - 1][asked], ranges, added), SUMS))
         return pa.concat_tables(out)
 
     return run
@@ -416,18 +444,15 @@ class Automaton:
         return np.bincount(row, weights=scores, minlength=n_rows)
 
 
-def _score(order: int, total: int, distinct: int):
+def _score(order: int, total: int, distinct: int, least: int):
     def run(batch, answers):
         import numpy as np
         import pyarrow as pa
 
         out = []
         for body in batch.column("body"):
-            docs, hashes, rows, grams = _learned(body, answers, order, total, distinct)
-            back = []
-            for k in range(1, order):
-                back.append(np.zeros(len(grams.names[k - 1])))
-                back[-1][grams.sums(k)[0]] = _answers(answers, -k, np.float64)
+            docs, hashes, rows, grams = _learned(body, answers, order, total, distinct, least)
+            back = [grams.back(k, grams.sums(k)[0], *_answers(answers, -k, len(ADDED))) for k in range(1, order)]
             uses, single = grams.counts[0][grams.place[0]], np.log10(grams.p[0])[grams.place[0]]
             n = docs.num_rows
             columns = [
@@ -457,29 +482,43 @@ def _written(df: DataFrame, label: str) -> DataFrame:
 
 
 def score_documents(
-    docs: DataFrame, training: Column, id_column: str = "doc_id", text_column: str = "text", order: int = ORDER
+    docs: DataFrame, training: Column, id_column: str = "doc_id", text_column: str = "text", order: int = ORDER, least: int = LEAST
 ) -> DataFrame:
-    """One row per document: doc_id, training, n_tokens, n_known, train_tokens, base_score, score."""
+    """One row per document: doc_id, training, n_tokens, n_known, train_tokens, base_score, score.
+
+    N-grams of two or more tokens are known from ``least`` training occurrences on, also single ones with 1.
+    """
+    if order < 1 or least < 1:
+        raise ValueError("order and least occurrences must be at least 1")
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     dealt = materialize(rows.mapInArrow(_deal, "batch long, body binary"), "batches")
-    ranges = max(RANGES, dealt.count())
-    requests = dealt.mapInArrow(_requests(order, ranges), schema_of(REQUEST))
-    counts = _written(requests.groupBy("level", "range").applyInArrow(_count, schema_of(COUNTED)), "counts")
+    ranges = max(RANGES, -(-dealt.count() // BATCHES_PER_RANGE))
+
+    def counted(levels: range) -> DataFrame:
+        requests = dealt.mapInArrow(_requests(levels, ranges), schema_of(REQUEST))
+        return _written(requests.groupBy("level", "range").applyInArrow(_count(least), schema_of(COUNTED)), "counts")
+
+    # The longest n-grams are most of all: counted apart, their requests and the others are not on disk together.
+    counts = counted(range(0, 1) if order == 1 else range(0, order - 1))
     sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "distinct")]
     total, distinct = counts.where("level = 0").agg(*sums).first()
+    if order > 1:
+        counts = counts.union(counted(range(order - 1, order)))
     answers = counts.select(*(name for name, _ in ANSWER))
     if order > 1:
         added = (
-            dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_sums(order, ranges, total, distinct), schema_of(SUMS))
+            dealt.groupBy("batch")
+            .cogroup(answers.groupBy("batch"))
+            .applyInArrow(_sums(order, ranges, total, distinct, least), schema_of(SUMS))
         )
-        weights = _written(added.groupBy("level", "range").applyInArrow(_weigh, schema_of(ANSWER)), "weights")
+        weights = _written(added.groupBy("level", "range").applyInArrow(_add, schema_of(ANSWER)), "weights")
         answers = answers.union(weights)
     return (
         dealt.groupBy("batch")
         .cogroup(answers.groupBy("batch"))
         .applyInArrow(
-            _score(order, total, distinct),
+            _score(order, total, distinct, least),
             f"doc_id {kind}, training boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
         )
     )

@@ -25,11 +25,10 @@ def tokens(text):
 class Model:
     """Backoff with absolute discounting, straight from the counts of all n-grams."""
 
-    def __init__(self, texts, order, share):
+    def __init__(self, texts, order, least=2):
         lists = [tokens(t) for t in texts]
         self.single = Counter(w for ws in lists for w in ws)
         self.total, self.order = sum(self.single.values()), order
-        least = max(2, share * self.total)
         self.kept = {(w,): n for w, n in self.single.items() if n >= least}
         for k in range(2, order + 1):
             grams = Counter(tuple(ws[i : i + k]) for ws in lists for i in range(len(ws) - k + 1))
@@ -55,12 +54,12 @@ def is_training(i):
     return i is not None and zlib.crc32(str(i).encode()) % 10 != 0
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
-def test_edge_rows(spark, order):
+@pytest.mark.parametrize(("order", "least"), [(1, 2), (2, 2), (3, 2), (4, 2), (3, 1), (2, 3)])
+def test_edge_rows(spark, order, least):
     docs = spark.createDataFrame(EDGE, "doc_id long, text string").withColumn("score", F.lit(1)).withColumn("batch", F.lit("x"))
     training = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0
-    got = lm.score_documents(docs, training, order=order).collect()
-    model = Model([t for i, t in EDGE if is_training(i)], order, lm.SHARE)
+    got = lm.score_documents(docs, training, order=order, least=least).collect()
+    model = Model([t for i, t in EDGE if is_training(i)], order, least)
     want = []
     for i, t in EDGE:
         words = tokens(t)
@@ -72,7 +71,7 @@ def test_edge_rows(spark, order):
 
 
 def test_probabilities_sum_to_one():
-    model = Model([t for _, t in EDGE], 3, 0)
+    model = Model([t for _, t in EDGE], 3)
     for context in [(), ("a",), ("a", "b"), ("b", "a"), ("zzz",)]:
         unseen = (0.1 / (model.total + 0.1 * (len(model.single) + 1)), ()) if not context else None
         total = sum(model.p(w, context) for w in model.single) + (unseen[0] if unseen else model.p("never", context))
@@ -85,12 +84,19 @@ def test_rare_ngrams_count_in_large_training(spark):
     rows += [(1_000 + i, t) for i, t in enumerate(["rare pair here", "rare pair here", "once alone there", "rare pair there"])]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r for r in lm.score_documents(docs, F.col("doc_id") != 1_003).collect()}
-    model = Model([t for i, t in rows if i != 1_003], 3, 0)
+    model = Model([t for i, t in rows if i != 1_003], 3)
     assert got[0].train_tokens == model.total > 1_500_000
     for i, t in rows[-4:] + rows[:1]:
         assert got[i].score == pytest.approx(model.score(t))
 
 
+def test_bounds_of_parameters(spark):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    for bad in ({"order": 0}, {"least": 0}):
+        with pytest.raises(ValueError):
+            lm.score_documents(docs, F.lit(True), **bad)
+
+
 def test_nothing_to_learn_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     row = lm.score_documents(docs, F.lit(False)).first()
