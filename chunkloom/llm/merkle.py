@@ -189,7 +189,8 @@ def tree_name(group: Column) -> Column:
 
 def build(rows: DataFrame, carried: list[str]) -> Manifest:
     """The manifest of ``rows(tree, order, digest, ...)``; ``carried`` columns come back with the proofs."""
-    tied = rows.withColumn("tie", F.monotonically_increasing_id())
+    # Written, so that drawing the ranges does not hash every row once more.
+    tied = materialize(rows.withColumn("tie", F.monotonically_increasing_id()), "leaves")
     ranked = rank_in_group(tied, ["tree"], ["order", "digest", "tie"], "at")
     groups = plant(ranked.select("tree", "at", "digest", *carried), carried)
     subroots = materialize(groups.roots, "subroots")
