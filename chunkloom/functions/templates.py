@@ -24,8 +24,8 @@ def render(template: str, fields: dict[str, Column]) -> Column:
         if name is None:
             continue
         if name not in fields:
-            raise TemplateError(f"Prompt template references unknown chunk field: '{name}'")
+            raise TemplateError(f"no column {name!r} for the placeholder in the template")
         if spec or conversion:
-            raise TemplateError(f"Format options are not supported: '{name}'")
+            raise TemplateError(f"a placeholder takes no format options: {name!r}")
         parts.append(F.coalesce(fields[name].cast("string"), F.lit("None")))
     return F.concat(*parts) if parts else F.lit("")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from chunkloom.functions.text import NON_SPACE, first_non_blank
 from chunkloom.schema import CHUNKER_VERSION, CHUNKS_ASSET, TOKEN_BUDGET, conform
+from chunkloom.session import materialize
 
 
 def _window_pattern(budget: int) -> str:
@@ -118,6 +119,8 @@ def encoded_chunks(
         "source_id bigint, source_collection_id bigint, seq int, text string,"
         " token_count int, error string",
     )
+    # Both frames read it, and texts are to be encoded once.
+    pieces = materialize(pieces, "encoded")
     good = _as_chunks(pieces.where("error IS NULL"), producer)
     return good, pieces.where("error IS NOT NULL").select("source_id", "error")
 

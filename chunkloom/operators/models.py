@@ -22,7 +22,7 @@ class Completion:
 
 class BatchModel(Protocol):
     """Completes a batch of prompts.  A failed prompt comes back with ``error``;
-    after an exception the batch's prompts are asked again one by one, so that
+    after an exception the batch's prompts are asked again in halves, so that
     only those that raise by themselves fail."""
 
     def complete(self, prompts: list[str], max_tokens: int) -> list[Completion]: ...
@@ -53,7 +53,9 @@ def _ask(model: BatchModel, prompts: list[str], max_tokens: int) -> list[Complet
     except Exception as exc:
         if len(prompts) == 1:
             return [Completion(error=f"{type(exc).__name__}: {exc}")]
-        return [a for p in prompts for a in _ask(model, [p], max_tokens)]
+        # Halves: what answers is paid for once more at most at each level, not prompt by prompt.
+        half = len(prompts) // 2
+        return _ask(model, prompts[:half], max_tokens) + _ask(model, prompts[half:], max_tokens)
 
 
 def complete(

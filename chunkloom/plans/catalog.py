@@ -19,9 +19,32 @@ ORDERS: dict[str, list[tuple[str, bool]]] = {
 }
 
 
-def listing(df: DataFrame, kind: str, limit: int, offset: int = 0, status: str | None = None) -> DataFrame:
-    """One page of a catalog in its order, optionally of one status."""
+def _behind(kind: str, after: tuple) -> Column:
+    """Rows behind the given values of a catalog's order columns; NULL values come last where the order descends."""
+    found, same = F.lit(False), F.lit(True)
+    for (name, down), value in zip(ORDERS[kind], after, strict=True):
+        column = F.col(name)
+        if down:
+            further = F.lit(False) if value is None else (column < F.lit(value)) | column.isNull()
+        else:
+            further = column.isNotNull() if value is None else column > F.lit(value)
+        found, same = found | (same & F.coalesce(further, F.lit(False))), same & column.eqNullSafe(F.lit(value))
+    return found
+
+
+def listing(
+    df: DataFrame, kind: str, limit: int, offset: int = 0, status: str | None = None, after: tuple | None = None
+) -> DataFrame:
+    """One page of a catalog in its order, optionally of one status.
+
+    An ``offset`` passes over rows that it still has to order; ``after``, the order columns of the last row seen,
+    starts behind that row by a filter instead.
+    """
     rows = df if status is None else df.where(F.col("status") == F.lit(status))
+    if after is not None:
+        if len(after) != len(ORDERS[kind]):
+            raise ValueError(f"after needs a value for each of {', '.join(c for c, _ in ORDERS[kind])}")
+        rows = rows.where(_behind(kind, after))
     keys = [F.desc_nulls_last(c) if down else F.asc(c) for c, down in ORDERS[kind]]
     return rows.orderBy(*keys).offset(offset).limit(limit)
 

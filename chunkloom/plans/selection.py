@@ -23,6 +23,11 @@ def originals(chunks: DataFrame, *, include_augmented: bool = False) -> DataFram
     return chunks if include_augmented else chunks.where("augmented_from IS NULL")
 
 
+def heads(chunks: DataFrame) -> DataFrame:
+    """One chunk of each near-duplicate cluster: its head.  Chunks that were not compared yet are not kept."""
+    return chunks.where("attr_minhash_is_head")
+
+
 def of_sources(
     chunks: DataFrame, sources: DataFrame, predicate: str | None = None, collections: list[int] | None = None
 ) -> DataFrame:

@@ -13,6 +13,8 @@ from chunkloom.sources import hadoop
 # Splits, columns and the shape of the info sidecar.
 SPLITS = ("train", "validation")
 COLUMNS = ("instruction", "output", "chunk_id")
+# Fixed value: the card of a data set that was given none.
+STUB_CARD = "# Dataset {name}\n\nGenerated by sft_synthesis_qa.\n"
 
 
 def dataset_infos(splits: dict[str, tuple[int, int]]) -> dict:
@@ -88,7 +90,7 @@ def write_dataset(
     hadoop.write_text(
         spark,
         f"{target}/README.md",
-        card if card is not None else f"# Dataset {prefix}\n\nGenerated by sft_synthesis_qa.\n",
+        card if card is not None else STUB_CARD.format(name=prefix),
     )
     hadoop.write_text(
         spark,

@@ -12,6 +12,8 @@ from chunkloom.plans.ranking import rank_in_group
 PDF_MIME = "application/pdf"
 PAGE_WIDTH = 612.0
 PAGE_HEIGHT = 792.0
+# A file that says it has more pages is not believed: its placeholder would be one row's array of that size.
+MAX_PAGES = 100_000
 
 
 def scan_pdfs(spark: SparkSession, folder: str) -> DataFrame:
@@ -57,11 +59,21 @@ def source_rows(files: DataFrame, first_id: int = 1, store: str = "s3://sources"
     )
 
 
+def _claimed_pages(content: Column) -> Column:
+    return F.regexp_extract(F.decode(content, "ISO-8859-1"), r"/Count\s+(\d+)", 1)
+
+
 def page_count(content: Column) -> Column:
-    """First ``/Count n`` in the bytes, else 0."""
-    raw = F.decode(content, "ISO-8859-1")
-    found = F.regexp_extract(raw, r"/Count\s+(\d+)", 1)
-    return F.coalesce(found.try_cast("int"), F.lit(0))
+    """First ``/Count n`` in the bytes, else 0; also 0 where ``page_error`` says that n is not believed."""
+    found = _claimed_pages(content).try_cast("int")
+    return F.when(found <= MAX_PAGES, found).otherwise(F.lit(0))
+
+
+def page_error(content: Column) -> Column:
+    """What is wrong with the page count, or NULL."""
+    digits = F.regexp_replace(_claimed_pages(content), "^0+", "")
+    too_many = (F.length(digits) > 9) | (digits.try_cast("int") > MAX_PAGES)
+    return F.when(too_many, F.concat(F.lit(f"more than {MAX_PAGES} pages: "), F.substring(digits, 1, 20)))
 
 
 def placeholder_document(source_id: Column, pages: Column) -> Column:

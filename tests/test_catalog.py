@@ -1,5 +1,6 @@
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from chunkloom.plans import catalog
@@ -74,3 +75,23 @@ def test_call_cost(spark):
     model = next(iter(catalog.PRICES))
     df = spark.createDataFrame([(model, 1_000_000, 2_000_000), ("other", 5, 5)], "m string, i bigint, o bigint")
     assert [r[0] for r in df.select(catalog.call_cost(F.col("m"), F.col("i"), F.col("o"))).collect()] == [2.75, 0.0]
+
+
+def test_pages_behind_a_key(spark):
+    import datetime as dt
+
+    day = lambda n: dt.datetime(2024, 1, n)
+    rows = [(i, day(1 + i % 4) if i % 5 else None) for i in range(1, 41)]
+    runs = spark.createDataFrame(rows, "id long, started_at timestamp")
+    whole = [(r.id, r.started_at) for r in catalog.listing(runs, "runs", 100).collect()]
+    seen, after = [], None
+    while True:
+        page = [(r.id, r.started_at) for r in catalog.listing(runs, "runs", 7, after=after).collect()]
+        if not page:
+            break
+        seen += page
+        after = (page[-1][1], page[-1][0])
+    assert seen == whole and len(whole) == 40
+    assert [r.id for r in catalog.listing(runs, "sources", 3, after=(37,)).collect()] == [38, 39, 40]
+    with pytest.raises(ValueError):
+        catalog.listing(runs, "runs", 3, after=(1,))

@@ -71,7 +71,7 @@ def test_render(spark):
     df = spark.createDataFrame([("t", None)], "text string, n int")
     fields = {"text": F.col("text"), "n": F.col("n")}
     assert df.select(render('{{"q": "{text}"}} {n}', fields)).first()[0] == '{"q": "t"} None'
-    with pytest.raises(TemplateError, match="unknown chunk field: 'other'"):
+    with pytest.raises(TemplateError, match="no column 'other'"):
         render("{other}", fields)
 
 

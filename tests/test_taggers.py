@@ -107,3 +107,22 @@ def test_one_raising_prompt_costs_one_row(spark, size):
         spark.conf.unset(key)
     assert [(r.id, r.error) for r in got if r.error] == [(17, "RuntimeError: refused")]
     assert all(r.content == f"P{r.id}" for r in got if r.id != 17)
+
+
+def test_a_failing_prompt_costs_halves():
+    from chunkloom.operators.models import Completion, _ask
+
+    calls = []
+
+    class Fails:
+        def complete(self, prompts, max_tokens):
+            calls.append(len(prompts))
+            if "bad" in prompts:
+                raise RuntimeError("bad")
+            return [Completion(p) for p in prompts]
+
+    prompts = [f"p{i}" for i in range(1000)]
+    prompts[321] = "bad"
+    answers = _ask(Fails(), prompts, 1)
+    assert [a.content for a in answers] == [None if p == "bad" else p for p in prompts]
+    assert answers[321].error and len(calls) < 25

@@ -171,6 +171,16 @@ def catalog_order(spark: SparkSession, sf: str) -> DataFrame:
     return page.select("id", "recipe_id", "status")
 
 
+@query(f"""WITH {DATASETS}, o AS (SELECT *, row_number() OVER (ORDER BY materialized_at DESC NULLS LAST, id DESC) AS n FROM datasets)
+SELECT id, recipe_id, status FROM o WHERE n > 100 AND n <= 300""")
+def catalog_after(spark: SparkSession, sf: str) -> DataFrame:
+    """The page behind the hundredth row, reached by that row's values."""
+    rows = tables.datasets(spark, sf)
+    last = catalog.listing(rows, "datasets", 1, 99).first()
+    page = catalog.listing(rows, "datasets", 200, after=(last.materialized_at, last.id))
+    return page.select("id", "recipe_id", "status")
+
+
 @query("""SELECT c_custkey AS id FROM customer ORDER BY c_custkey % 97 DESC, c_custkey DESC LIMIT 100""")
 def recipe_order(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.listing(tables.recipes(spark, sf), "recipes", 100).select("id")

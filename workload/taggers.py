@@ -11,7 +11,7 @@ from chunkloom.functions.templates import render
 from chunkloom.operators import language, minhash, quality
 from chunkloom.operators.assets import run_tagger
 from chunkloom.operators.embedding import tag_embeddings
-from chunkloom.plans import explore
+from chunkloom.plans import explore, selection
 from chunkloom.session import scratch_path
 from chunkloom.sources.chunk_table import ChunkTable
 from workload import tables
@@ -202,6 +202,13 @@ def minhash_clusters_collection(spark: SparkSession, sf: str) -> DataFrame:
     ).drop("attr_minhash_signature")
 
 
+@query(f"SELECT chunk_id FROM ({_clusters_sql('source_collection_id')}) WHERE attr_minhash_is_head")
+def dedup_heads(spark: SparkSession, sf: str) -> DataFrame:
+    """One chunk of each near-duplicate cluster."""
+    tagged = minhash.tag_near_duplicates(tables.chunks(spark, sf), "source_collection_id")
+    return selection.heads(tagged).select("chunk_id")
+
+
 @query(f"""WITH {CHUNKS},
 w AS (SELECT chunk_id, regexp_extract_all(lower(text), '\\S+') AS w FROM chunks),
 f AS (SELECT chunk_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM w),
