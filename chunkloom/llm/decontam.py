@@ -6,14 +6,15 @@ documents; since a window must be contained whole, its rarest word alone is a
 necessary prefix.  Document words join the prefix words; positional bounds (the
 window begins and ends inside the document) and the length of the document
 follow from the prefix's place, and the candidate window is then compared word
-by word.  Windows equal in several items are one.
+by word.  Windows equal in several items are one, and carry the name of their set of items only: the items
+of a set are joined at the end, once for each combination of sets that documents have.
 
 The anchors are broadcast in blocks of at most ``BLOCK_WINDOWS`` windows, however many
 the benchmark has; each block is one pass over the documents.  Words are split and compared in
 the same stage that scans the text; only hits and one narrow row per document
 leave it.
 
-Null and empty texts have no words and no hits; items without words have no
+Null and empty texts and empty tables have no words and no hits; texts of any length are one row each; items without words have no
 windows; a null item_id marks words as hit but is not listed.  Repeated rows are
 returned as often as they occur.  Items that share an id count once.  Other columns
 are kept by ``clean`` and ignored by ``contamination``.
@@ -26,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chunkloom.llm.common import ascii_lower, raw_words
+from chunkloom.llm.common import ascii_lower, raw_words, unused
 from chunkloom.session import materialize
 
 WINDOW = 10
@@ -64,15 +65,35 @@ def word_counts(docs: DataFrame, vocabulary: DataFrame, text_column: str) -> Dat
     return used.join(F.broadcast(vocabulary), "word").groupBy("word").agg(F.count(F.lit(1)).alias("uses"))
 
 
-def anchors_of(windows: DataFrame, uses: DataFrame) -> DataFrame:
-    """(word, before, size, key, head, items): each distinct window by its prefix word.
+def keyed_windows(windows: DataFrame) -> DataFrame:
+    """(item_id, span, key): each window's words, and these joined by blanks."""
+    span = F.slice("words", F.col("first") + 1, WINDOW)
+    return windows.select("item_id", span.alias("span")).withColumn("key", F.array_join("span", " "))
+
+
+def window_sets(parts: DataFrame) -> DataFrame:
+    """(key, set): windows that the same items hold have the same set.
+
+    A set is named by the number of its items and two sums of their hashes, so no list of items is formed.
+    """
+    pairs = parts.select("key", "item_id").distinct()
+    sums = [F.sum(F.xxhash64(*seed, "item_id").cast("decimal(38,0)")).cast("string") for seed in ([], [F.lit(1)])]
+    return pairs.groupBy("key").agg(F.md5(F.concat_ws(",", F.count("item_id").cast("string"), *sums)).alias("set"))
+
+
+def set_items(parts: DataFrame, sets: DataFrame) -> DataFrame:
+    """(set, item_id): the items of each set, from one of its windows."""
+    one = sets.groupBy("set").agg(F.min("key").alias("key"))
+    return parts.select("key", "item_id").where("item_id IS NOT NULL").distinct().join(one, "key").select("set", "item_id")
+
+
+def anchors_of(parts: DataFrame, sets: DataFrame, uses: DataFrame) -> DataFrame:
+    """(word, before, size, key, head, set): each distinct window by its prefix word.
 
     ``before`` is the prefix word's distance from the window's start, ``key`` the
     window's words joined by blanks and ``head`` the first of them.
     """
-    span = F.slice("words", F.col("first") + 1, WINDOW)
-    parts = windows.select("item_id", span.alias("span")).withColumn("key", F.array_join("span", " "))
-    one = parts.groupBy("key").agg(F.any_value("span").alias("span"), F.collect_set("item_id").alias("items"))
+    one = parts.groupBy("key").agg(F.any_value("span").alias("span")).join(sets, "key")
     places = one.select("key", F.posexplode("span").alias("before", "word"))
     # In the form in which the words of documents are met; see ``window_hits``.
     ranked = places.withColumn("word", F.lower("word")).join(uses, "word", "left")
@@ -85,13 +106,13 @@ def anchors_of(windows: DataFrame, uses: DataFrame) -> DataFrame:
         F.size("span").alias("size"),
         "key",
         F.lower(F.get("span", F.lit(0))).alias("head"),
-        "items",
+        "set",
     )
 
 
 def window_hits(docs: DataFrame, anchors: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(doc_id, body, n_words, first, last, items): each place where a window occurs,
-    plus one row with null ``items`` for each document.
+    """(doc_id, body, n_words, first, last, set): each place where a window occurs,
+    plus one row with null ``set`` for each document.
 
     Words meet lower-cased in full, which never separates equal words; the
     comparison of the whole window lower-cases only A-Z.
@@ -110,7 +131,7 @@ def window_hits(docs: DataFrame, anchors: DataFrame, id_column: str, text_column
     matches = F.when(F.col("key").isNull(), True).when(~inside, False).otherwise(occurs)
     return (
         found.join(needles, (F.lower(found.word) == anchors.word) & matches)
-        .select("doc_id", "body", n_words.alias("n_words"), first.alias("first"), (first + F.col("size")).alias("last"), "items")
+        .select("doc_id", "body", n_words.alias("n_words"), first.alias("first"), (first + F.col("size")).alias("last"), "set")
     )
 
 
@@ -125,7 +146,7 @@ def covered(spans: Column) -> Column:
     return F.aggregate(spans, start, add, lambda acc: acc["n"])
 
 
-def contamination(
+def all_hits(
     docs: DataFrame,
     benchmark: DataFrame,
     id_column: str = "doc_id",
@@ -133,9 +154,8 @@ def contamination(
     item_column: str = "item_id",
     item_text_column: str = "text",
     block_windows: int = BLOCK_WINDOWS,
-) -> DataFrame:
-    """One row per document and text: doc_id, body (hash of the text), rows (how
-    often it occurs), n_words, n_hit, items (sorted)."""
+) -> tuple[DataFrame, DataFrame]:
+    """Written hits as ``window_hits`` gives them, and the items (set, item_id) of their sets."""
     windows = item_windows(benchmark, item_column, item_text_column)
     vocabulary = materialize(
         windows.select(F.explode(F.slice("words", F.col("first") + 1, WINDOW)).alias("word")).select(F.lower("word").alias("word")).distinct(),
@@ -146,23 +166,41 @@ def contamination(
     uses = reduce(
         DataFrame.union, (word_counts(docs, vocabulary.where(block_of == b), text_column) for b in blocks)
     )
-    anchors = materialize(anchors_of(windows, uses), "anchors")
+    parts = keyed_windows(windows)
+    sets = materialize(window_sets(parts), "sets")
+    anchors = materialize(anchors_of(parts, sets, uses), "anchors")
     blocks = range(max(1, -(-anchors.count() // block_windows)))
     block_of = F.pmod(F.xxhash64("key"), F.lit(len(blocks)))
     hits = [window_hits(docs, anchors.where(block_of == b), id_column, text_column) for b in blocks]
     # Written first: collecting sets then holds nothing of the stage that splits the texts.
-    hits = materialize(reduce(DataFrame.union, [hits[0], *(h.where("items IS NOT NULL") for h in hits[1:])]), "hits")
-    is_hit = F.col("items").isNotNull()
-    return (
+    hits = materialize(reduce(DataFrame.union, [hits[0], *(h.where("set IS NOT NULL") for h in hits[1:])]), "hits")
+    return hits, set_items(parts, sets)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """One row per document and text: doc_id, body (hash of the text), rows (how
+    often it occurs), n_words, n_hit, items (sorted).  Options as for ``all_hits``.
+
+    Documents with the same sets share one list of items, formed once.
+    """
+    hits, members = all_hits(docs, benchmark, **options)
+    is_hit = F.col("set").isNotNull()
+    found = materialize(
         hits.groupBy("doc_id", "body")
         .agg(
             F.count_if(~is_hit).alias("rows"),
             F.max("n_words").cast("long").alias("n_words"),
             F.array_sort(F.collect_set(F.when(is_hit, F.struct("first", "last")))).alias("spans"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+            F.array_sort(F.collect_set("set")).alias("sets"),
         )
-        .select("doc_id", "body", "rows", "n_words", covered(F.col("spans")).alias("n_hit"), "items")
+        .select("doc_id", "body", "rows", "n_words", covered(F.col("spans")).alias("n_hit"), "sets"),
+        "found",
     )
+    lists = found.where(F.size("sets") > 0).select("sets").distinct()
+    items = lists.select("sets", F.explode("sets").alias("set")).join(members, "set").select("sets", "item_id").distinct()
+    listed = materialize(items.groupBy("sets").agg(F.array_sort(F.collect_list("item_id")).alias("items")), "items")
+    none = F.array().cast("array<string>")
+    return found.join(listed, "sets", "left").select("doc_id", "body", "rows", "n_words", "n_hit", F.coalesce("items", none).alias("items"))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -179,10 +217,8 @@ def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The documents without any hit, columns as they are."""
-    hit = (
-        contamination(docs, benchmark, id_column, text_column)
-        .where("n_hit > 0")
-        .select(F.col("doc_id").alias("_hit_id"), F.col("body").alias("_hit_body"))
-    )
-    same = docs[id_column].eqNullSafe(F.col("_hit_id")) & (F.xxhash64(docs[text_column]) == F.col("_hit_body"))
+    hits, _ = all_hits(docs, benchmark, id_column=id_column, text_column=text_column)
+    names = unused(docs, "_hit_id"), unused(docs, "_hit_body")
+    hit = hits.where("set IS NOT NULL").select("doc_id", "body").distinct().toDF(*names)
+    same = docs[id_column].eqNullSafe(F.col(names[0])) & (F.xxhash64(docs[text_column]) == F.col(names[1]))
     return docs.join(materialize(hit, "hit"), same, "left_anti")

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from chunkloom.llm.common import unused
 from chunkloom.plans.components import connected_components
 from chunkloom.session import materialize
 
@@ -199,15 +200,16 @@ def first_of_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
         ),
         "prints",
     )
+    id_name, body_name = unused(docs, "_best_id"), unused(docs, "_best_body")
     best = (
         prints.join(components(prints.select("doc_id", "fp")), "fp")
         .groupBy("root")
         .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body")).alias("best"))
-        .select(F.col("best.doc_id").alias("_best_id"), F.col("best.body").alias("_best_body"))
+        .select(F.col("best.doc_id").alias(id_name), F.col("best.body").alias(body_name))
     )
     marked = docs.join(
         materialize(best, "kept"),
-        docs[id_column].eqNullSafe(F.col("_best_id")) & (F.xxhash64(docs[text_column]) == F.col("_best_body")),
+        docs[id_column].eqNullSafe(F.col(id_name)) & (F.xxhash64(docs[text_column]) == F.col(body_name)),
         "left_semi",
     )
     return marked.dropDuplicates([id_column, text_column])

@@ -66,12 +66,33 @@ def test_empty_tables(spark):
 
 def test_no_python_and_one_split_on_the_main_path(spark):
     docs, items = frames(spark)
-    anchors = decontam.anchors_of(
-        decontam.item_windows(items, "item_id", "text"), spark.createDataFrame([("alpha", 3)], "word string, uses long")
-    )
+    parts = decontam.keyed_windows(decontam.item_windows(items, "item_id", "text"))
+    anchors = decontam.anchors_of(parts, decontam.window_sets(parts), spark.createDataFrame([("alpha", 3)], "word string, uses long"))
     hits = decontam.window_hits(docs, anchors, "doc_id", "text")
     plan = hits._jdf.queryExecution().executedPlan().toString()
     # The documents' text is split once, the items' in the broadcast.
     assert plan.split("BroadcastExchange")[0].count("regexp_extract_all") == 1
     for plan in (plan, decontam.report(docs, items)._jdf.queryExecution().executedPlan().toString()):
         assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_items_that_share_a_passage_are_listed_once_for_all_documents(spark):
+    passage = " ".join(f"shared{i}" for i in range(40))
+    items = spark.range(3000).selectExpr("id AS item_id", f"concat('{passage} own', id) AS text")
+    docs = spark.range(200).selectExpr("id AS doc_id", f"concat('x', id, ' {passage} ', if(id = 7, 'own9', 'y')) AS text")
+    hits, members = decontam.all_hits(docs, items)
+    # 31 windows of the passage have one set, the last window of each item another; items are written once for each set.
+    assert hits.where("set IS NOT NULL").select("set").distinct().count() == 2
+    assert members.count() == 6000
+    got = {r.doc_id: r for r in decontam.report(docs, items).collect()}
+    every = hashlib.sha256(",".join(sorted(str(i) for i in range(3000))).encode()).hexdigest()
+    assert all((r.n_hit, r.n_items, r.items_sha256) == (41 if i == 7 else 40, 3000, every) for i, r in got.items()) and len(got) == 200
+
+
+def test_clashing_names(spark):
+    docs, items = frames(spark)
+    docs = docs.withColumns({"_hit_id": F.lit(1), "_HIT_BODY": F.lit("x"), "set": F.lit(2), "body": F.lit("b")})
+    plain = decontam.clean(docs.select("doc_id", "text"), items)
+    kept = decontam.clean(docs, items)
+    assert kept.columns == docs.columns
+    assert sorted(map(str, kept.select("doc_id", "text").collect())) == sorted(map(str, plain.collect()))

@@ -99,3 +99,10 @@ def test_one_of_each_group_stays(spark):
     assert kept.columns == ["doc_id", "text", "lang"]
     ids = [(c, {i for i, _, d in expected(EDGE) if c == d}) for c in {d for _, _, d in expected(EDGE)}]
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(c) for c, _ in ids)
+
+
+def test_first_of_groups_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "a b c d"), (3, "other text here")], "doc_id long, text string")
+    docs = docs.withColumns({"_best_id": F.lit(1), "_BEST_BODY": F.lit("x"), "fp": F.lit(2), "root": F.lit("r")})
+    kept = simhash.first_of_groups(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
