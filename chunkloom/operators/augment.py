@@ -91,8 +91,11 @@ def script(mapping: dict[str, str], name: str = "script", short: str = "script")
     """Converts characters one for one, for instance between scripts."""
     if not mapping or any(len(a) != 1 or len(b) != 1 for a, b in mapping.items()):
         raise ValueError("a mapping of single characters")
-    made = F.translate("text", "".join(mapping), "".join(mapping.values()))
-    return Augmenter(name, short, lambda: F.array(made), 1, {"mapping": mapping})
+
+    def made() -> Column:
+        return F.array(F.translate("text", "".join(mapping), "".join(mapping.values())))
+
+    return Augmenter(name, short, made, 1, {"mapping": mapping})
 
 
 def _rows(outputs: DataFrame, augmenter: Augmenter) -> DataFrame:
