@@ -10,9 +10,15 @@ Training counts the n-grams of each language within tasks and bundles there, so
 vector per language and task is shuffled.  Prototypes are as many as languages,
 at most ``MAX_LANGUAGES`` (more is an error), and go to the tasks with the function.
 
+Memory does not grow with texts or batches: at most ``ROWS`` texts, or ``SLICE`` characters of
+one long text with the last letters before them, are bundled at a time, and n-grams are
+counted and bound in blocks of ``BLOCK``.
+
 Null texts and texts without a letter are ``und`` with score 0, as is everything if
 nothing was learned.  Rows with null language teach nothing.  Ties go to the
-smaller language name.  Other columns are ignored.
+smaller language name.  Texts of any length are read whole.  Repeated rows teach and are
+answered as often as they occur.  An empty table gives no prototypes and no answers.  Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,8 +36,9 @@ DIMENSIONS = 1024
 GRAM = 3
 SEED = 20
 MAX_LANGUAGES = 4096
-# Bytes of text whose n-grams are handled at a time.
+# Characters of text, and texts, whose n-grams are handled at a time.
 SLICE = 1 << 18
+ROWS = 128
 # N-grams whose vectors are held at a time.
 BLOCK = 2048
 UNKNOWN = "und"
@@ -65,17 +72,41 @@ class Letters:
             found = self.table[codes]
         return found
 
-    def grams(self, texts: list[str]):
-        """(row, gram number) of every n-gram of the texts, and the grams as symbols."""
+    def pieces(self, texts: list[str], size: int | None = None) -> Iterator:
+        """The texts as runs of symbols: (symbols, the text of each), in pieces of bounded size.
+
+        A gap stands at both ends of a text and once for each run of gaps.  A text beyond
+        ``size`` has pieces of its own; each begins with the last symbols of the one before."""
+        import numpy as np
+
+        size = size or SLICE
+        for a, b in byte_slices([max(len(t), SLICE // ROWS) for t in texts], size):
+            if b - a > 1 or len(texts[a]) <= size:
+                encoded = [f" {t} ".encode("utf-32-le", "surrogatepass") for t in texts[a:b]]
+                sizes = np.array([len(e) // 4 for e in encoded])
+                yield self.spaced(self.symbols(np.frombuffer(b"".join(encoded), "<u4")), np.repeat(np.arange(a, b), sizes))
+                continue
+            last = np.zeros(1, np.int32)
+            for start in range(0, len(texts[a]) + 1, size):
+                part = texts[a][start : start + size] + (" " if start + size > len(texts[a]) else "")
+                found = self.symbols(np.frombuffer(part.encode("utf-32-le", "surrogatepass"), "<u4"))
+                symbols = np.concatenate([last, found])
+                symbols, rows = self.spaced(symbols, np.full(len(symbols), a))
+                yield symbols, rows
+                last = symbols[1 - GRAM :]
+
+    @staticmethod
+    def spaced(symbols, rows):
+        """Without the gaps that follow a gap of the same text."""
         import numpy as np
 
-        encoded = [f" {t} ".encode("utf-32-le", "surrogatepass") for t in texts]
-        sizes = np.array([len(e) // 4 for e in encoded])
-        symbols = self.symbols(np.frombuffer(b"".join(encoded), "<u4"))
-        rows = np.repeat(np.arange(len(texts)), sizes)
-        # One gap for a run of them.
         keep = (symbols != 0) | np.append(True, (symbols[:-1] != 0) | (rows[1:] != rows[:-1]))
-        symbols, rows = symbols[keep], rows[keep]
+        return symbols[keep], rows[keep]
+
+    def grams(self, symbols, rows):
+        """(row, gram number) of every n-gram of the symbols, and the grams as symbols."""
+        import numpy as np
+
         n = max(0, len(symbols) - GRAM + 1)
         known, small = np.unique(symbols, return_inverse=True)
         code = np.zeros(n, np.int64)
@@ -96,44 +127,43 @@ class Letters:
             out *= np.stack([np.roll(self.vector(int(s)), GRAM - 1 - place) for s in known])[number]
         return out
 
-    def bundle(self, counts, grams):
-        """Counts of n-grams, a row per bundle -> the sum of their vectors, in blocks of n-grams."""
+    def bundle(self, rows, number, grams, n: int):
+        """The sum of the vectors of each of ``n`` rows' n-grams; counts are dense for one block of n-grams at a time."""
         import numpy as np
 
-        out = np.zeros((len(counts), DIMENSIONS), np.float32)
+        out = np.zeros((n, DIMENSIONS))
+        order = np.argsort(number, kind="stable") if len(grams) > BLOCK else np.arange(len(number))
+        rows, number = rows[order], number[order]
         for a in range(0, len(grams), BLOCK):
-            part = counts[:, a : a + BLOCK].astype(np.float32)
-            out += part @ self.bind(grams[a : a + BLOCK]).astype(np.float32)
+            block = grams[a : a + BLOCK]
+            i, j = np.searchsorted(number, [a, a + BLOCK]) if len(grams) > BLOCK else (0, len(number))
+            counts = np.bincount(rows[i:j] * len(block) + number[i:j] - a, minlength=n * len(block))
+            out += counts.reshape(n, len(block)).astype(np.float32) @ self.bind(block).astype(np.float32)
         return out
 
-    def bundles(self, texts: list[str]):
-        """The vector of each text; zero for a text without a letter."""
-        import numpy as np
+    def bundles(self, texts: list[str]) -> Iterator:
+        """(first text, vectors of it and the next ones) over all texts; zero for a text without a letter.
 
-        rows, number, grams = self.grams(texts)
-        if not len(grams):
-            return np.zeros((len(texts), DIMENSIONS), np.float32)
-        counts = np.bincount(rows * len(grams) + number, minlength=len(texts) * len(grams))
-        return self.bundle(counts.reshape(len(texts), len(grams)), grams)
+        The pieces of a long text come one by one, to be added."""
+        for symbols, rows in self.pieces(texts):
+            first, last = int(rows[0]), int(rows[-1])
+            yield first, self.bundle(*self.grams(symbols, rows - first), last - first + 1)
 
 
 def _bundle_by_language(batches: Iterator) -> Iterator:
     import numpy as np
     import pyarrow as pa
-    import pyarrow.compute as pc
 
     letters, sums = Letters(), {}
     for batch in batches:
-        languages, texts = batch.column("lang").to_pylist(), batch.column("text")
-        for a, b in byte_slices(pc.binary_length(texts).to_pylist(), SLICE * 4):
-            names, which = np.unique(np.array(languages[a:b], dtype=object).astype(str), return_inverse=True)
-            rows, number, grams = letters.grams(texts.slice(a, b - a).to_pylist())
-            if not len(grams):
-                continue
-            counts = np.bincount(which[rows] * len(grams) + number, minlength=len(names) * len(grams))
-            vectors = letters.bundle(counts.reshape(len(names), len(grams)), grams)
+        languages = np.array(batch.column("lang").to_pylist(), dtype=object).astype(str)
+        for symbols, rows in letters.pieces(batch.column("text").to_pylist(), SLICE * 4):
+            names, which = np.unique(languages[rows[0] : rows[-1] + 1], return_inverse=True)
+            # No n-gram spans two texts, but those of a language are counted together.
+            row, number, grams = letters.grams(symbols, rows)
+            vectors = letters.bundle(which[row - rows[0]], number, grams, len(names))
             for name, vector in zip(names, vectors):
-                sums[name] = sums.get(name, 0) + vector.astype(np.float64)
+                sums[name] = sums.get(name, 0) + vector
     for name, vector in sums.items():
         yield pa.RecordBatch.from_arrays(
             [pa.array([name] * DIMENSIONS), pa.array(np.arange(DIMENSIONS), pa.int32()), pa.array(vector)],
@@ -156,7 +186,9 @@ def learn(texts: DataFrame, lang_column: str = "lang", text_column: str = "text"
     prototypes = {}
     for name, part in found.sort_values(["lang", "i"]).groupby("lang"):
         vector = part["x"].to_numpy()
-        prototypes[name] = vector / np.linalg.norm(vector)
+        norm = np.linalg.norm(vector)
+        if norm > 0:
+            prototypes[name] = vector / norm
     return prototypes
 
 
@@ -169,17 +201,24 @@ def predictor(prototypes: dict):
 
         letters, names = Letters(), np.array(sorted(prototypes) or [UNKNOWN], dtype=object)
         matrix = np.stack([prototypes.get(n, np.zeros(DIMENSIONS)) for n in names]).T
+        def answers(vectors):
+            norms = np.linalg.norm(vectors, axis=1)
+            cosines = vectors @ matrix / np.where(norms > 0, norms, 1)[:, None]
+            top = cosines.argmax(axis=1)
+            return np.where(norms > 0, names[top], UNKNOWN), np.clip(cosines[np.arange(len(top)), top], 0, 1)
+
         for texts in batches:
-            texts = texts.fillna("")
-            best, score = [names[:0]], [np.zeros(0)]
-            for a, b in byte_slices(texts.map(len).tolist(), SLICE):
-                vectors = letters.bundles(texts.iloc[a:b].tolist()).astype(np.float64)
-                norms = np.linalg.norm(vectors, axis=1)
-                cosines = vectors @ matrix / np.where(norms > 0, norms, 1)[:, None]
-                top = cosines.argmax(axis=1)
-                best.append(np.where(norms > 0, names[top], UNKNOWN))
-                score.append(np.clip(cosines[np.arange(len(top)), top], 0, 1))
-            yield pd.DataFrame({"lang_pred": np.concatenate(best), "score": np.concatenate(score)})
+            best, score = np.full(len(texts), UNKNOWN, dtype=object), np.zeros(len(texts))
+            at, held = 0, None
+            for first, vectors in letters.bundles(texts.fillna("").tolist()):
+                if held is not None and first == at:
+                    held = held + vectors
+                    continue
+                if held is not None:
+                    best[at : at + len(held)], score[at : at + len(held)] = answers(held)
+                at, held = first, vectors
+            if held is not None:
+                best[at : at + len(held)], score[at : at + len(held)] = answers(held)
+            yield pd.DataFrame({"lang_pred": best, "score": score})
 
     return predict
-
