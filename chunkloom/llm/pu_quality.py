@@ -1,20 +1,26 @@
 """Quality by positive-unlabelled learning.
 
-A small network scores style statistics of whole texts.  It is fitted to the
-non-negative unbiased risk: with trusted positives P, unlabelled web texts U
-and the class prior p, the risk of negatives is R_U(-) - p R_P(-), which no true risk
-makes negative; when it falls below zero, the step goes back.  With the logistic loss
-the score estimates the probability of label 1.
+A layer of fixed random units over style statistics of whole texts feeds one fitted
+layer.  It minimises the non-negative unbiased risk: with trusted positives P, unlabelled
+web texts U and the class prior p, the risk of negatives is R_U(-) - p R_P(-), which no true
+risk makes negative; a step that takes it below zero goes back.  With the logistic loss
+the unbiased risk is convex, so few second-order steps do, and the score estimates the
+probability of label 1.
+
+The prior is estimated: U holds p of P, so in any set of texts the share of U is at least
+p times that of P.  The sets are those above a score of a first fit, and the estimate is the
+least ratio of the two shares.
 
 The statistics are computed once, in the tasks that scan the texts, and kept in a
-narrow table.  The fit takes at most about ``POSITIVES`` and ``UNLABELLED`` rows of it,
-drawn by a hash of the id with a rate that follows from the counts; the class prior and
-the counts come from all rows.
-
-Null and empty texts have statistics of zero and get the score these get.  Without any
-positive label every score is the prior.  Repeated rows are scored alike and
-returned as often as they occur.  Rows of ``labels`` with null id or quality are ignored.
-Other columns are ignored.
+narrow table.  Nothing is sampled: each step sums the risk, its slope and its curvature over
+all rows within tasks, and only these sums, whose number does not depend on the rows, reach
+the driver.
+
+Null and empty texts have statistics of zero and get the score these get; texts of any
+length are read whole.  Equal statistics get equal scores.  Repeated rows count and are
+returned as often as they occur.  Without any positive label every score is ``PRIOR``.  Rows of
+``labels`` with null id or quality, and negative labels, teach nothing.  An empty table gives an
+empty one.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,12 +35,17 @@ from pyspark.sql.types import ArrayType, DoubleType
 from chunkloom.llm.common import byte_slices, span_hashes, text_bytes, word_spans
 from chunkloom.session import materialize
 
-POSITIVES = 20_000
-UNLABELLED = 40_000
-HIDDEN = 16
-STEPS = 600
-RATE = 0.02
-# The prior where labels do not tell it.
+HIDDEN = 24
+# Steps of the first fit and of the fit with the estimated prior, at most.
+FIRST_STEPS = 6
+STEPS = 12
+RIDGE = 1e-4
+# The prior of the first fit: small, so that its scores stay in proportion to the ratio P/U.
+FIRST_PRIOR = 0.05
+# Sets that hold less than this share of P are too small to tell the prior.
+LEAST_SHARE = 0.2
+BINS = 1000
+# The score where there is no positive label.
 PRIOR = 0.5
 THRESHOLD = 0.3
 
@@ -123,81 +134,88 @@ statistics = F.pandas_udf(_statistics, ArrayType(DoubleType()))
 
 
 class Network:
-    """One hidden layer over standardised statistics."""
+    """Fixed random units and one fitted layer over standardised statistics."""
 
-    def __init__(self, positives, unlabelled, prior: float, mean, scale):
+    def __init__(self, mean, scale):
         import numpy as np
 
         self.mean, self.scale = mean, scale
         rng = np.random.default_rng(0)
-        width = unlabelled.shape[1]
-        self.weights = [
-            rng.normal(0, width**-0.5, (width, HIDDEN)),
-            np.zeros(HIDDEN),
-            rng.normal(0, HIDDEN**-0.5, HIDDEN),
-            np.zeros(1),
-        ]
-        p, u = self._scaled(positives), self._scaled(unlabelled)
-        moments = [[np.zeros_like(w), np.zeros_like(w)] for w in self.weights]
-        for step in range(1, STEPS + 1):
-            gradient = self._gradient(p, u, prior)
-            for w, g, m in zip(self.weights, gradient, moments):
-                m[0] = 0.9 * m[0] + 0.1 * g
-                m[1] = 0.999 * m[1] + 0.001 * g * g
-                w -= RATE * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.999**step)) + 1e-8)
-
-    def _scaled(self, x):
-        import numpy as np
+        self.inner = rng.normal(0, len(mean) ** -0.5, (len(mean), HIDDEN)), rng.normal(0, 1, HIDDEN)
+        self.weights = np.zeros(1 + len(mean) + HIDDEN)
 
-        return np.clip((x - self.mean) / self.scale, -8, 8)
-
-    def _forward(self, x):
+    def inputs(self, x):
+        """What the fitted layer sees: one, the statistics, the units."""
         import numpy as np
 
-        hidden = np.tanh(x @ self.weights[0] + self.weights[1])
-        return hidden, hidden @ self.weights[2] + self.weights[3]
+        z = np.clip((x - self.mean) / self.scale, -8, 8)
+        return np.concatenate([np.ones((len(z), 1)), z, np.tanh(z @ self.inner[0] + self.inner[1])], axis=1)
 
-    def _back(self, x, hidden, slope):
-        inner = slope[:, None] * self.weights[2] * (1 - hidden * hidden)
-        return [x.T @ inner, inner.sum(axis=0), hidden.T @ slope, slope.sum(keepdims=True)]
+    def terms(self, x, marks, weights):
+        """Sums over rows for ``Sums``: U's and P's part of the risk, its slope and curvature.
 
-    def _gradient(self, p, u, prior: float):
-        """Of the non-negative risk, or away from it where negatives' risk is below zero."""
+        ``marks`` says how often a row is a trusted positive."""
         import numpy as np
 
-        hidden_p, score_p = self._forward(p)
-        hidden_u, score_u = self._forward(u)
-        negative = np.logaddexp(0, score_u).mean() - prior * np.logaddexp(0, score_p).mean()
-        slope_p, slope_u = sigmoid(score_p), sigmoid(score_u)
-        of_u = self._back(u, hidden_u, slope_u / len(u))
-        of_p = self._back(p, hidden_p, -prior * slope_p / len(p))
-        part = [a + b for a, b in zip(of_u, of_p)]
-        if negative < 0:
-            return [-g for g in part]
-        # The positives' own loss has the slope sigmoid(score) - 1.
-        return [g + h for g, h in zip(part, self._back(p, hidden_p, prior * (slope_p - 1) / len(p)))]
+        f = self.inputs(x)
+        score = f @ weights
+        loss, slope = np.logaddexp(0, score), sigmoid(score)
+        return np.concatenate(
+            [
+                [len(x), marks.sum(), loss.sum(), marks @ loss],
+                marks @ f,
+                slope @ f,
+                ((slope * (1 - slope))[:, None] * f).T.dot(f).ravel(),
+            ]
+        )
 
     def scores(self, x):
-        return sigmoid(self._forward(self._scaled(x))[1])
+        return sigmoid(self.inputs(x) @ self.weights)
 
 
-def sigmoid(x):
+class Risk:
+    """The risk at one point, from the sums of ``Network.terms``."""
+
+    def __init__(self, sums, weights, prior: float):
+        n, marked, loss_u, loss_p = sums[:4]
+        width = len(weights)
+        mean_p, slope_u = sums[4 : 4 + width] / marked, sums[4 + width : 4 + 2 * width] / n
+        # Of the negatives: U's loss as negatives without P's share in it.
+        self.negative = loss_u / n - prior * loss_p / marked
+        # The loss as a positive is the loss as a negative less the score.
+        self.positive = prior * (loss_p / marked - weights @ mean_p)
+        self.value = self.positive + self.negative + RIDGE / 2 * weights @ weights
+        self.slope = slope_u - prior * mean_p + RIDGE * weights
+        self.curvature = sums[4 + 2 * width :].reshape(width, width) / n
+        self.curvature[range(width), range(width)] += RIDGE
+
+
+def minimise(sums_at, weights, prior: float, steps: int):
+    """Second-order steps down the risk; one that does not lower it, or takes the
+    negatives' risk below zero, is halved, and at last undone."""
     import numpy as np
 
-    return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
+    at = Risk(sums_at(weights), weights, prior)
+    for _ in range(steps):
+        step, share = np.linalg.solve(at.curvature, at.slope), 1.0
+        if step @ at.slope < 1e-5:
+            break
+        while share > 0.05:
+            there = weights - share * step
+            risk = Risk(sums_at(there), there, prior)
+            if risk.value < at.value and risk.negative >= 0:
+                weights, at = there, risk
+                break
+            share /= 2
+        else:
+            break
+    return weights
 
 
-def sample(rows: DataFrame, most: int):
-    """The statistics of about ``most`` rows at most, drawn by a hash of id and statistics."""
+def sigmoid(x):
     import numpy as np
 
-    total = rows.count()
-    rate = min(1.0, most / max(total, 1))
-    drawn = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "x"), F.lit(1 << 30)) < int(rate * (1 << 30)))
-    rows = drawn.select("x").toPandas()["x"]
-    matrix = np.stack(rows) if len(rows) else np.empty((0, 0))
-    # In an order of its own, so that a fit does not depend on the order of arrival.
-    return matrix[np.lexsort(matrix.T)] if len(rows) else matrix
+    return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
 def moments(stats: DataFrame):
@@ -207,20 +225,80 @@ def moments(stats: DataFrame):
     return found["mean"].to_numpy(), found["scale"].to_numpy() + 1e-9
 
 
-def fit(stats: DataFrame, labels: DataFrame, prior: float | None = None, positives=POSITIVES, unlabelled=UNLABELLED):
+def _row_sums(terms):
+    """A function for ``mapInArrow``: rows (x, marks) -> the sum of ``terms(x, marks)``, a row for each number."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        total = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1)
+            total = total + terms(x, batch.column("marks").to_numpy())
+        if not np.isscalar(total):
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], ["i", "x"])
+
+    return run
+
+
+def summed(rows: DataFrame, terms):
+    """The sum of ``terms`` over all rows (x, marks), as an array."""
+    found = rows.select("x", F.col("marks").cast("double")).mapInArrow(_row_sums(terms), "i int, x double")
+    return found.groupBy("i").agg(F.sum("x").alias("x")).toPandas().sort_values("i")["x"].to_numpy()
+
+
+def class_prior(unlabelled, positives) -> float:
+    """The least ratio of U's share to P's above a score, from two histograms of scores.
+
+    One standard error is left on both shares, as the least of many noisy ratios is too small."""
+    import numpy as np
+
+    n, m = unlabelled.sum(), positives.sum()
+    u, p = np.cumsum(unlabelled[::-1]) / n, np.cumsum(positives[::-1]) / m
+    high, low = u + np.sqrt(u * (1 - u) / n), p - np.sqrt(p * (1 - p) / m)
+    enough = (p >= LEAST_SHARE) & (low > 0)
+    return float(np.clip((high[enough] / low[enough]).min(), 0.01, 0.99))
+
+
+def estimated_prior(rows: DataFrame, network: Network) -> float:
+    """The prior by the scores of ``network`` over all rows."""
+    import numpy as np
+
+    def bins(x, marks):
+        # By the odds, so that small scores differ too.
+        at = np.clip(network.inputs(x) @ network.weights, -10, 9.99)
+        place = ((at + 10) * (BINS / 20)).astype(int)
+        return np.concatenate([np.bincount(place, minlength=BINS).astype(float), np.bincount(place, marks, BINS)])
+
+    found = summed(rows, bins)
+    return class_prior(found[:BINS], found[BINS:])
+
+
+def fit(stats: DataFrame, labels: DataFrame, prior: float | None = None):
     """``stats(doc_id, x)`` of training texts and ``labels(doc_id, quality)`` -> a function
-    from a matrix of statistics to scores."""
+    from a matrix of statistics to scores; ``prior`` is estimated unless given."""
     import numpy as np
 
-    known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("quality IS NOT NULL")
-    marked = stats.select("doc_id", "x").join(known, "doc_id")
+    marks = labels.where("CAST(quality AS int) = 1 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("marks"))
+    marked = stats.select("doc_id", "x").join(marks, "doc_id", "left")
+    rows = materialize(marked.select("x", F.coalesce("marks", F.lit(0)).alias("marks")), "marked")
+    if rows.where("marks > 0").isEmpty():
+        return lambda x: np.full(len(x), PRIOR if prior is None else prior)
+    network = Network(*moments(rows))
+
+    def sums_at(weights):
+        return summed(rows, lambda x, marks: network.terms(x, marks, weights))
+
     if prior is None:
-        counts = marked.agg(F.avg("quality").alias("share"), F.min("quality").alias("least")).first()
-        prior = PRIOR if counts.least is None or counts.least == 1 else float(counts.share)
-    p, u = sample(marked.where("quality = 1"), positives), sample(stats, unlabelled)
-    if not len(p):
-        return lambda x: np.full(len(x), prior)
-    return Network(p, u, prior, *moments(stats)).scores
+        network.weights = minimise(sums_at, network.weights, FIRST_PRIOR, FIRST_STEPS)
+        prior = estimated_prior(rows, network)
+        network.weights = network.weights * 0
+    network.weights = minimise(sums_at, network.weights, prior, STEPS)
+    network.prior = prior
+    return network.scores
 
 
 def scorer(scores):
