@@ -3,8 +3,10 @@
 ``simhash`` links fingerprints within three bits.  Texts that share four fifths of
 their five-word shingles lie further apart, some eight bits of 64, beyond what blocks
 of one fingerprint can find.  Here a text has a wide fingerprint of four words, the
-first being that of ``simhash``; ``KEYS`` fixed masks of ``KEY_BITS`` of its 256 bits
-are its bucket keys.  Members of a bucket whose first words differ in at most
+first being that of ``simhash``; fixed masks of ``key_bits`` of its 256 bits
+are its bucket keys.  Two texts at the least similarity differ in some 15 % of the bits, so there are
+as many keys as let ``FOUND`` of such pairs meet.  Buckets should hold few strangers: ``key_bits`` is
+to grow with the logarithm of the number of texts (20 suits some 10 to 100 million), and the number of keys follows.  Members of a bucket whose first words differ in at most
 ``RADIUS`` bits are proposed, and a proposal becomes a link if the Jaccard similarity of
 the sets of five-word shingles is at least ``LEAST``: no link is wrong.
 
@@ -24,6 +26,7 @@ Empty tables give empty ones, other columns stay as they are, whatever their nam
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -42,14 +45,20 @@ from chunkloom.session import materialize
 SHINGLE = 5
 LEAST = 0.8
 WORDS = 4
-KEYS = 48
 KEY_BITS = 20
+DIFFERING = 0.15
+FOUND = 0.98
 RADIUS = 17
 BUCKET_LIMIT = 2048
 BLOCK = 65536
 SIGNATURE = [f"s{i}" for i in range(WORDS)]
 
 
+def key_count(key_bits: int) -> int:
+    """Keys that let a pair with ``DIFFERING`` bits share one with probability ``FOUND``."""
+    return math.ceil(math.log(1 - FOUND) / math.log(1 - (1 - DIFFERING) ** key_bits))
+
+
 def folded_words(text: str | None) -> list[bytes]:
     """Blank-separated words with A-Z lower-cased."""
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -105,24 +114,24 @@ def shingle_set(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
-def masks() -> list[list[int]]:
+def masks(key_bits: int = KEY_BITS) -> list[list[int]]:
     """For each key the bits it looks at, as one signed mask for each word of the signature."""
     import numpy as np
 
     rng, out = np.random.default_rng(11), []
-    for _ in range(KEYS):
+    for _ in range(key_count(key_bits)):
         chosen = np.zeros(64 * WORDS, np.uint8)
-        chosen[rng.permutation(64 * WORDS)[:KEY_BITS]] = 1
+        chosen[rng.permutation(64 * WORDS)[:key_bits]] = 1
         out.append([int(m) for m in np.packbits(chosen.reshape(WORDS, 64), axis=1, bitorder="little").view("<i8")[:, 0]])
     return out
 
 
-def bucket_keys() -> Column:
+def bucket_keys(key_bits: int = KEY_BITS) -> Column:
     """One key for each mask; a shared key only proposes."""
     return F.array(
         *(
             F.xxhash64(F.lit(n), *(F.col(s).bitwiseAND(F.lit(m)) for s, m in zip(SIGNATURE, chosen)))
-            for n, chosen in enumerate(masks())
+            for n, chosen in enumerate(masks(key_bits))
         )
     )
 
@@ -168,9 +177,9 @@ def leader_round(members: DataFrame) -> DataFrame:
     return join_salted(members, leaders, "key", F.col("node")).withColumn("near", near)
 
 
-def proposals(classes: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+def proposals(classes: DataFrame, bucket_limit: int = BUCKET_LIMIT, key_bits: int = KEY_BITS) -> DataFrame:
     """``classes(node, s0, ...)`` -> distinct pairs (hi, lo) worth a comparison."""
-    rest = classes.select("node", "s0", F.explode(bucket_keys()).alias("key"))
+    rest = classes.select("node", "s0", F.explode(bucket_keys(key_bits)).alias("key"))
     found = []
     while True:
         counts = materialize(rest.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
@@ -202,7 +211,11 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFra
 
 
 def first_of_near(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", bucket_limit: int = BUCKET_LIMIT
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    bucket_limit: int = BUCKET_LIMIT,
+    key_bits: int = KEY_BITS,
 ) -> DataFrame:
     """The documents with only one of each group of near copies left: the one with the smallest id."""
     body = F.xxhash64(docs[text_column])
@@ -210,7 +223,7 @@ def first_of_near(
     prints = materialize(prints.select("doc_id", "body", "s.*"), "prints")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body"))
     classes = materialize(prints.groupBy("node", *SIGNATURE).agg(best.alias("best")), "classes")
-    pairs = proposals(classes, bucket_limit)
+    pairs = proposals(classes, bucket_limit, key_bits)
 
     # Shingles of one row of each class that is in a pair.
     names = {n: unused(docs, f"_near_{n}") for n in ("id", "body", "node", "n")}

@@ -113,7 +113,7 @@ def test_one_large_group_needs_no_pairs(spark):
     classes = spark.createDataFrame(rows, "doc_id long, text string").select(near_texts.signature("text").alias("s"))
     classes = near_texts.materialize(classes.select("s.*").distinct())
     for limit in (near_texts.BUCKET_LIMIT, 50):
-        assert near_texts.proposals(classes, limit).count() <= near_texts.KEYS * len(rows)
+        assert near_texts.proposals(classes, limit).count() <= near_texts.key_count(near_texts.KEY_BITS) * len(rows)
         assert kept(spark, rows, bucket_limit=limit) == [0]
 
 
@@ -144,6 +144,11 @@ def test_very_long_texts(spark):
     assert kept(spark, [(1, " ".join(long)), (2, " ".join(other)), (3, " ".join(reversed(long)))]) == [1, 3]
 
 
+def test_more_bits_need_more_keys():
+    assert [near_texts.key_count(b) for b in (16, 20, 32)] == [51, 99, 708]
+    assert all(sum(bin(m % 2**64).count("1") for m in mask) == 16 for mask in near_texts.masks(16))
+
+
 def test_empty_table(spark):
     assert kept(spark, []) == []
 
