@@ -16,6 +16,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def is_file(spark: SparkSession, path: str) -> bool:
+    fs, p = _path(spark, path)
+    return fs.exists(p) and fs.getFileStatus(p).isFile()
+
+
 def has_data(spark: SparkSession, path: str) -> bool:
     """True when the folder exists and lists anything but hidden files."""
     fs, p = _path(spark, path)

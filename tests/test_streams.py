@@ -144,3 +144,16 @@ def test_documents_stream_and_backfill_are_repeatable(spark, folder):
     ingest.start_chunking(again, table, scratch_path(spark, "two")).awaitTermination()
     ingest.backfill(spark.createDataFrame(rows, schema), spark.createDataFrame([(1,), (3,), (77,)], "id bigint"), table)
     assert sorted((r.chunk_id, r.text) for r in table.read().collect()) == first
+
+
+def test_stream_queries_read_tables_of_several_files(spark, folder):
+    from workload import streams, tables
+
+    source = "/root/testdata/sf0.001"
+    for name in ("documents", "events"):
+        spark.read.parquet(f"{source}/{name}.parquet").repartition(3).write.parquet(f"{folder}/{name}.parquet")
+    queries = (streams.stream_ingest, streams.stream_status_fold, streams.stream_status_changes, streams.stream_notifications, streams.stream_limiter)
+    for query in queries:
+        got, want = (sorted(map(str, query(spark, sf).collect())) for sf in (folder, source))
+        assert got == want and want, query.__name__
+    assert streams.stream_ingest(spark, folder).count() == tables.chunks(spark, folder).count()

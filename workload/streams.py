@@ -108,15 +108,8 @@ def call_window(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The events table as a file stream."""
-    schema = tables.table(spark, sf, "events").schema
-    raw = (
-        spark.readStream.schema(schema)
-        .option("maxFilesPerTrigger", 1)
-        .option("pathGlobFilter", "events.parquet")
-        .parquet(sf)
-    )
-    return tables.as_run_events(raw)
+    """The events table as a file stream.  The files of a table have no order, so they make one batch."""
+    return tables.as_run_events(tables.stream(spark, sf, "events"))
 
 
 def _drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
@@ -179,16 +172,10 @@ def stream_limiter(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {CHUNKS} SELECT chunk_id, token_count, md5(text) AS text_md5 FROM chunks")
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """Documents arriving as a stream, chunked into the table."""
-    schema = tables.table(spark, sf, "documents").schema
-    arriving = (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", "documents.parquet")
-        .parquet(sf)
-        .select(
-            F.col("doc_id").alias("source_id"),
-            F.expr("cast(substr(source, 4) as bigint)").alias("source_collection_id"),
-            "text",
-        )
+    arriving = tables.stream(spark, sf, "documents").select(
+        F.col("doc_id").alias("source_id"),
+        F.expr("cast(substr(source, 4) as bigint)").alias("source_collection_id"),
+        "text",
     )
     table = ChunkTable(spark, scratch_path(spark, "stream_ingest"), buckets=4)
     start_chunking(arriving, table, scratch_path(spark, "stream_ingest-progress")).awaitTermination()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chunkloom.operators.chunking import fixed_size_chunks
 from chunkloom.session import tune
+from chunkloom.sources import hadoop
 
 # Sources of this collection number count as belonging to no collection.
 NO_COLLECTION = 19
@@ -16,6 +17,15 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{sf}/{name}.parquet")
 
 
+def stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """The table as a file stream, be it one file or a folder of files."""
+    path, reader = f"{sf}/{name}.parquet", spark.readStream.schema(table(spark, sf, name).schema)
+    # A stream lists a folder: for a single file the one it lies in.
+    if hadoop.is_file(spark, path):
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return reader.parquet(path)
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Use all cores when the input has fewer splits than the cluster has
     cores (one small file); larger inputs are left as they are scanned."""
