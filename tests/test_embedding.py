@@ -51,3 +51,19 @@ def test_empty_table_and_tagger(spark, folder):
     table.replace_rows(fixed_size_chunks(docs))
     run_tagger(table, "attr_embed")
     assert {r.n for r in table.read().select(F.size("attr_embed_vector").alias("n")).collect()} == {1024}
+
+
+def test_features_are_asked_for_once_a_batch(spark, monkeypatch):
+    from chunkloom.operators import embedding
+
+    monkeypatch.setattr(embedding, "BATCH_TEXTS", 3)
+    rows = [(f"{i}_0", t) for i, t in enumerate(TEXTS * 9)]
+    vectors = tag_embeddings(spark.createDataFrame(rows, "chunk_id string, text string"), 64)
+    plan = vectors._jdf.queryExecution().executedPlan().toString()
+    # Neither a row for each feature of a text nor a vector is shuffled.
+    assert "Generate" not in plan and "Join" not in plan
+    got = {r.chunk_id: r.attr_embed_vector for r in vectors.collect()}
+    want = expected(TEXTS * 9, 64)
+    assert len(got) == len(want)
+    for i, vector in enumerate(want):
+        assert got[f"{i}_0"] == (vector and pytest.approx(vector, abs=1e-6))
