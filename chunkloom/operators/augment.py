@@ -153,4 +153,4 @@ def run_augmenter(table: ChunkTable, augmenter: Augmenter, requested: DataFrame
     """
     chunks = table.read(requested).where(F.col("producer_asset").isin(list(producers)))
     gone = chunks.select("source_id", F.lit(augmenter.asset).alias("producer_asset")).distinct()
-    table.replace_rows(augment(chunks, augmenter), replace_empty=gone)
+    table.replace_rows(augment(chunks, augmenter), replace_empty=gone, derived=requested is None)

@@ -124,17 +124,17 @@ class ChunkTable:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(self.path).select(*schema.fieldNames())
 
-    def _overwrite(self, rows: DataFrame) -> None:
-        # The rebalance hint sizes the files of each folder and lets adaptive
-        # execution split the folder of a hot source over several tasks.
+    def _overwrite(self, rows: DataFrame, *, laid_out: bool = False) -> None:
         known = self._schema()
         added = [f for f in rows.schema.fields if f.name not in known.fieldNames()]
         if added or not self._layout():
             wider = T.StructType([*known.fields, *added])
             layout = {"buckets": self.bucket_count(), "schema": wider.jsonValue()}
             hadoop.write_text(self.spark, f"{self.path}/_chunk_layout.json", json.dumps(layout))
+        # The rebalance hint sizes the files of each folder and lets adaptive
+        # execution split the folder of a hot source over several tasks.
         (
-            rows.hint("rebalance", *LAYOUT)
+            (rows if laid_out else rows.hint("rebalance", *LAYOUT))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(*LAYOUT)
@@ -153,43 +153,48 @@ class ChunkTable:
             )
         return folders, self._stored().where(inside)
 
-    def replace_rows(self, rows: DataFrame, *, replace_empty: DataFrame | None = None) -> None:
+    def replace_rows(self, rows: DataFrame, *, replace_empty: DataFrame | None = None, derived: bool = False) -> None:
         """Row mode: new rows of a (source, producer) replace its old rows.
 
         A source without new rows keeps its old ones, unless it is listed in
-        ``replace_empty(source_id, producer_asset)``.
+        ``replace_empty(source_id, producer_asset)``.  ``derived`` says that ``rows`` come from scans of this table
+        without an exchange and that ``replace_empty`` lists all their sources: a task's rows then lie in the folders of
+        its scan, so they are written as they are made, with no copy and no exchange.
         """
+        if derived and replace_empty is None:
+            raise ValueError("derived rows need the list of their sources")
         with scratch_tables(self.spark):
-            self._replace(rows, replace_empty)
+            self._replace(rows, replace_empty, derived)
 
-    def _replace(self, rows: DataFrame, replace_empty: DataFrame | None) -> None:
+    def _replace(self, rows: DataFrame, replace_empty: DataFrame | None, derived: bool) -> None:
         new = conform(rows).withColumn("source_bucket", self._bucket())
         if not hadoop.has_data(self.spark, self.path):
             self._overwrite(new)
             return
-        new = materialize(new, "rows")
-        keys = new.select("source_id", *LAYOUT).distinct()
+        layout = ["source_id", *LAYOUT]
         if replace_empty is not None:
-            cleared = replace_empty.select("source_id", "producer_asset").withColumn(
-                "source_bucket", self._bucket()
-            )
-            keys = keys.unionByName(cleared.select("source_id", *LAYOUT)).distinct()
+            cleared = replace_empty.select("source_id", "producer_asset").withColumn("source_bucket", self._bucket())
+            keys = cleared.select(*layout)
+        if not derived:
+            new = materialize(new, "rows")
+            keys = new.select(*layout) if replace_empty is None else new.select(*layout).unionByName(keys)
+        keys = materialize(keys.distinct(), "keys")
         folders, stored = self._touched(keys)
-        kept = stored.join(
-            keys.drop("source_bucket"), ["source_id", "producer_asset"], "left_anti"
-        )
-        result = new.unionByName(kept, allowMissingColumns=True)
-        if replace_empty is None:
-            self._overwrite(result)
-            return
-        # A folder left without rows is not part of the write: remove it.
-        result = materialize(result, "rows")
-        emptied = folders - {tuple(r) for r in result.select(*LAYOUT).distinct().collect()}
-        self._overwrite(result)
-        for producer, bucket in emptied:
-            hadoop.delete(
-                self.spark, f"{self.path}/producer_asset={producer}/source_bucket={bucket}"
-            )
+        # Folders that lose all their rows are not read, found by a scan without texts.
+        old = stored.select(*layout).distinct().join(keys, layout, "left_anti")
+        partly, stored = self._touched(old)
+        kept = stored.join(keys.drop("source_bucket"), ["source_id", "producer_asset"], "left_anti")
+        result = new.unionByName(kept, allowMissingColumns=True) if partly else new
+        before = {f: hadoop.listing(self.spark, self._folder(*f), "") for f in folders} if replace_empty is not None else {}
+        # Old rows that stay come out of an exchange in part: those are laid out.
+        self._overwrite(result, laid_out=derived and not partly)
+        for folder, files in before.items():
+            # A folder without rows is not part of the write, so its files are still the old ones: remove it.
+            if files and hadoop.listing(self.spark, self._folder(*folder), "") == files:
+                hadoop.delete(self.spark, self._folder(*folder))
+
+    def _folder(self, producer: str, bucket: int) -> str:
+        return f"{self.path}/producer_asset={producer}/source_bucket={bucket}"
 
     def rewritten(
         self, add: Callable[[DataFrame], DataFrame], producers: list[str], requested: DataFrame | None = None

@@ -92,3 +92,36 @@ def test_runs_again_replace_and_taggers_see_originals_only(spark, folder, chunks
     run_tagger(table, "attr_pii")
     tagged = {r.chunk_id: r.attr_pii_has_pii for r in table.read().collect()}
     assert tagged["3_0_swap"] is None and tagged["3_0"] is False and len(tagged) == 6
+
+
+def test_augmented_rows_are_written_without_copies_and_exchanges(spark, folder, monkeypatch):
+    from chunkloom.sources import chunk_table
+
+    table = chunk_table.ChunkTable(spark, folder, buckets=2)
+    docs = spark.createDataFrame([(i, 1, f"ä{i} b c" if i % 2 else f"ä{i} b") for i in range(12)], "source_id long, source_collection_id long, text string")
+    table.replace_rows(fixed_size_chunks(docs))
+    plain = augment.script({"ä": "a"}, "plain", "plain")
+    copied, overwrite = [], chunk_table.ChunkTable._overwrite
+
+    def seen(self, rows, **how):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        copied.append("Exchange" in plan or not how.get("laid_out"))
+        overwrite(self, rows, **how)
+
+    monkeypatch.setattr(chunk_table.ChunkTable, "_overwrite", seen)
+    for _ in range(2):
+        augment.run_augmenter(table, plain)
+        made = {r.chunk_id: r.text for r in table.read().where("augmented_from IS NOT NULL").collect()}
+        assert made == {f"{i}_0_plain": f"a{i} b c" if i % 2 else f"a{i} b" for i in range(12)}
+    assert copied == [False, False]
+
+    # A row of a source without chunks stays; sources that have no more outputs lose theirs, whole folders with them.
+    stray = fixed_size_chunks(docs.where("source_id = 3").selectExpr("99 AS source_id", "source_collection_id", "text"), producer=plain.asset)
+    table.replace_rows(stray)
+    table.replace_rows(fixed_size_chunks(docs.selectExpr("source_id", "source_collection_id", "CASE WHEN source_id = 5 THEN text ELSE 'b' END AS text")))
+    augment.run_augmenter(table, plain)
+    assert {r.chunk_id for r in table.read().where(F.col("producer_asset") == plain.asset).collect()} == {"5_0_plain", "99_0"}
+    table.replace_rows(stray.where("false"), replace_empty=spark.createDataFrame([(99, plain.asset)], "source_id long, producer_asset string"))
+    table.replace_rows(fixed_size_chunks(docs.selectExpr("source_id", "source_collection_id", "'b' AS text")))
+    augment.run_augmenter(table, plain)
+    assert table.read().where(F.col("producer_asset") == plain.asset).isEmpty() and table.read().count() == 12
