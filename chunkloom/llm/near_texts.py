@@ -5,14 +5,16 @@ their five-word shingles lie further apart, some eight bits of 64, beyond what b
 of one fingerprint can find.  Here a text has a wide fingerprint of four words, the
 first being that of ``simhash``; fixed masks of ``key_bits`` of its 256 bits
 are its bucket keys.  Two texts at the least similarity differ in some 15 % of the bits, so there are
-as many keys as let ``FOUND`` of such pairs meet.  Buckets should hold few strangers: ``key_bits`` is
-to grow with the logarithm of the number of texts (20 suits some 10 to 100 million), and the number of keys follows.  Members of a bucket whose first words differ in at most
-``RADIUS`` bits are proposed, and a proposal becomes a link if the Jaccard similarity of
+as many keys as let ``FOUND`` of such pairs meet.  A bucket holds some ``STRANGERS`` at most: ``key_bits``
+grows with the logarithm of the number of texts, and the number of keys follows.  Inside a bucket the fingerprints'
+Hamming distances to reference ones (pivots) are computed once, as in ``simhash``: a pair whose distances to any pivot
+differ by more than ``RADIUS`` cannot be near and is discarded.  What is left and differs in at most
+``RADIUS`` of the 256 bits, which strangers hardly ever do, is proposed, and a proposal becomes a link if the Jaccard similarity of
 the sets of five-word shingles is at least ``LEAST``: no link is wrong.
 
 A bucket gives leaders, not pairs: its first member by a hash leads, members near it are
-proposed with it, and the others choose again.  Small buckets do so inside one task;
-those beyond ``bucket_limit`` rows by aggregates and salted joins.  A text whose leaders all
+proposed with it, and the others choose again.  Small buckets do so inside one task, to which
+each key comes once; those beyond ``bucket_limit`` rows by aggregates and salted joins.  A text whose leaders all
 fail the comparison keeps no link, though it may have another partner; leaders
 differ by key, and a test measures what is found.
 
@@ -45,18 +47,36 @@ from chunkloom.session import materialize
 SHINGLE = 5
 LEAST = 0.8
 WORDS = 4
-KEY_BITS = 20
+# Bits of a key, at least.
+KEY_BITS = 12
+STRANGERS = 256
+# Keys, at least: each may have another leader.
+KEYS = 36
 DIFFERING = 0.15
 FOUND = 0.98
-RADIUS = 17
+RADIUS = 17 * WORDS
 BUCKET_LIMIT = 2048
 BLOCK = 65536
+# Few, as so wide a radius seldom lets them discard a pair.
+PIVOTS = 8
 SIGNATURE = [f"s{i}" for i in range(WORDS)]
 
 
 def key_count(key_bits: int) -> int:
-    """Keys that let a pair with ``DIFFERING`` bits share one with probability ``FOUND``."""
-    return math.ceil(math.log(1 - FOUND) / math.log(1 - (1 - DIFFERING) ** key_bits))
+    """Keys that let a pair with ``DIFFERING`` bits share one with probability ``FOUND`` at least."""
+    return max(KEYS, math.ceil(math.log(1 - FOUND) / math.log(1 - (1 - DIFFERING) ** key_bits)))
+
+
+def bits_for(texts: int) -> int:
+    """Bits of a key that leave some ``STRANGERS`` texts in a bucket."""
+    return max(KEY_BITS, math.ceil(math.log2(max(1, texts) / STRANGERS)))
+
+
+def pivots() -> list[list[int]]:
+    """Reference fingerprints, as signed numbers."""
+    import numpy as np
+
+    return np.random.default_rng(7).integers(0, 1 << 64, (PIVOTS, WORDS), np.uint64).view(np.int64).tolist()
 
 
 def folded_words(text: str | None) -> list[bytes]:
@@ -136,26 +156,40 @@ def bucket_keys(key_bits: int = KEY_BITS) -> Column:
     )
 
 
+def _apart(one: list, other: list) -> Column:
+    """Differing bits of two fingerprints."""
+    return reduce(Column.__add__, [F.bit_count(F.col(a).bitwiseXOR(b)) for a, b in zip(one, other)])
+
+
 def _rank(key: Column, node: Column) -> Column:
     return F.xxhash64(key, node)
 
 
 def leader_links(frames: Iterator) -> Iterator:
-    """Rows (key, rank, node, s0) sorted by key and rank -> links (hi, lo); a bucket may span frames."""
+    """Rows (key, rank, node, s0, ...) sorted by key and rank -> links (hi, lo); a bucket may span frames."""
     import numpy as np
 
+    references = np.array(pivots())
+
     def links(frame):
-        keys, nodes, prints = (frame[c].to_numpy() for c in ("key", "node", "s0"))
-        prints, rest, out = prints.view(np.uint64), np.arange(len(frame)), []
+        keys, nodes, prints = frame["key"].to_numpy(), frame["node"].to_numpy(), frame[SIGNATURE].to_numpy()
+        # Buckets of one row have no links.
+        same = np.r_[False, keys[1:] == keys[:-1], False]
+        rest = np.flatnonzero(same[1:] | same[:-1])
+        highs, lows = [], []
+        distances = np.bitwise_count((prints[:, None] ^ references).view(np.uint64)).sum(axis=2, dtype=np.int16)
         while len(rest):
             first = np.r_[True, keys[rest][1:] != keys[rest][:-1]]
             lead = rest[np.flatnonzero(first)[np.cumsum(first) - 1]]
-            near = np.bitwise_count(prints[rest] ^ prints[lead]) <= RADIUS
+            near = np.abs(distances[rest] - distances[lead]).max(axis=1) <= RADIUS
+            apart = (prints[rest[near]] ^ prints[lead[near]]).view(np.uint64)
+            near[near] = np.bitwise_count(apart).sum(axis=1, dtype=np.int16) <= RADIUS
             linked = near & (nodes[rest] != nodes[lead])
             a, b = nodes[rest[linked]], nodes[lead[linked]]
-            out.append(pd.DataFrame({"hi": np.maximum(a, b), "lo": np.minimum(a, b)}))
+            highs.append(np.maximum(a, b))
+            lows.append(np.minimum(a, b))
             rest = rest[~near]
-        return pd.concat(out) if out else pd.DataFrame({"hi": [], "lo": []}, dtype="int64")
+        return pd.DataFrame({"hi": np.concatenate(highs), "lo": np.concatenate(lows)} if highs else {"hi": [], "lo": []}, dtype="int64")
 
     held = None
     for frame in frames:
@@ -170,34 +204,40 @@ def leader_links(frames: Iterator) -> Iterator:
 
 def leader_round(members: DataFrame) -> DataFrame:
     """The same choice once for buckets of any size: ``members`` with their leader and whether it is near."""
-    lead = F.min(F.struct(_rank(F.col("key"), F.col("node")).alias("rank"), "node", "s0")).alias("lead")
+    lead = F.min(F.struct(_rank(F.col("key"), F.col("node")).alias("rank"), "node", *SIGNATURE)).alias("lead")
     leaders = members.groupBy("key").agg(lead, F.count(F.lit(1)).alias("n"))
-    leaders = leaders.select("key", "n", F.col("lead.node").alias("leader"), F.col("lead.s0").alias("print"))
-    near = F.bit_count(F.col("s0").bitwiseXOR(F.col("print"))) <= RADIUS
+    prints = [f"lead_{name}" for name in SIGNATURE]
+    ends = [F.col(f"lead.{name}").alias(p) for name, p in zip(SIGNATURE, prints)]
+    leaders = leaders.select("key", "n", F.col("lead.node").alias("leader"), *ends)
+    # The distance of a member to a pivot against its leader's, then their own.
+    far = [F.abs(_apart(SIGNATURE, p) - _apart(prints, p)) for p in [[F.lit(word) for word in pivot] for pivot in pivots()]]
+    near = (F.greatest(*far) <= RADIUS) & (_apart(SIGNATURE, [F.col(p) for p in prints]) <= RADIUS)
     return join_salted(members, leaders, "key", F.col("node")).withColumn("near", near)
 
 
-def proposals(classes: DataFrame, bucket_limit: int = BUCKET_LIMIT, key_bits: int = KEY_BITS) -> DataFrame:
-    """``classes(node, s0, ...)`` -> distinct pairs (hi, lo) worth a comparison."""
-    rest = classes.select("node", "s0", F.explode(bucket_keys(key_bits)).alias("key"))
+def proposals(classes: DataFrame, bucket_limit: int = BUCKET_LIMIT, key_bits: int | None = None) -> DataFrame:
+    """``classes(node, s0, s1, ...)`` -> distinct pairs (hi, lo) worth a comparison."""
+    bits = key_bits or bits_for(classes.count())
+    rest = classes.select("node", *SIGNATURE, F.explode(bucket_keys(bits)).alias("key"))
     found = []
     while True:
-        counts = materialize(rest.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
-        shared = materialize(rest.join(counts, "key"), "members")
+        # Large buckets are few, at most one for each ``bucket_limit`` rows; all others go to their task at once.
+        sizes = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        large = F.broadcast(materialize(sizes.where(F.col("n") > bucket_limit).select("key"), "buckets"))
         found.append(
-            shared.where(F.col("n") <= bucket_limit)
-            .select("key", _rank(F.col("key"), F.col("node")).alias("rank"), "node", "s0")
+            rest.join(large, "key", "left_anti")
+            .select("key", _rank(F.col("key"), F.col("node")).alias("rank"), "node", *SIGNATURE)
             .repartition("key")
             .sortWithinPartitions("key", "rank")
             .mapInPandas(leader_links, "hi long, lo long")
         )
-        hot = shared.where(F.col("n") > bucket_limit).select("key", "node", "s0")
+        hot = rest.join(large, "key", "left_semi").select("key", "node", *SIGNATURE)
         if hot.isEmpty():
             return materialize(reduce(DataFrame.union, found).distinct(), "proposals")
         led = materialize(leader_round(hot), "led")
         ends = F.greatest("node", "leader").alias("hi"), F.least("node", "leader").alias("lo")
         found.append(led.where("near AND node != leader").select(*ends))
-        rest = led.where("NOT near").select("node", "s0", "key")
+        rest = led.where("NOT near").select("node", *SIGNATURE, "key")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFrame:
@@ -215,7 +255,7 @@ def first_of_near(
     id_column: str = "doc_id",
     text_column: str = "text",
     bucket_limit: int = BUCKET_LIMIT,
-    key_bits: int = KEY_BITS,
+    key_bits: int | None = None,
 ) -> DataFrame:
     """The documents with only one of each group of near copies left: the one with the smallest id."""
     body = F.xxhash64(docs[text_column])

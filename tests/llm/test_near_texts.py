@@ -177,3 +177,29 @@ def test_links_join_what_brute_force_compares(spark):
     pairs = docs.select(F.col("node").alias("lo")).join(docs.select(F.col("node").alias("hi")), F.expr("hi > lo"))
     got = {(r.lo, r.hi) for r in near_texts.verified(pairs, sets).collect()}
     assert got == similar_pairs([t for _, t in rows])
+
+
+def test_pivots_discard_no_near_pair_and_each_key_is_dealt_once(spark, monkeypatch):
+    rows = made_texts(9, 6, 5, 2)
+    classes = spark.createDataFrame(rows, "doc_id long, text string").select(near_texts.signature("text").alias("s"))
+    classes = near_texts.materialize(classes.select("s.*").distinct())
+    dealt, written = [], near_texts.materialize
+    monkeypatch.setattr(near_texts, "materialize", lambda df, label="step": dealt.append(label) or written(df, label))
+
+    large = {(r.hi, r.lo) for r in near_texts.proposals(classes, 3).collect()}
+    assert large and "members" not in dealt and dealt.count("buckets") > 1
+    frame = classes.select("node", *near_texts.SIGNATURE, F.explode(near_texts.bucket_keys(12)).alias("key")).toPandas().sort_values(["key", "node"])
+
+    def links():
+        return sorted(map(tuple, next(near_texts.leader_links(iter([frame, frame[:0]]))).to_numpy().tolist()))
+
+    small = links()
+    # Any pivots propose what the words alone do.
+    monkeypatch.setattr(near_texts, "pivots", lambda: [[0, 0, 0, 0]] * 2)
+    assert links() == small and small
+    assert {(r.hi, r.lo) for r in near_texts.proposals(classes, 3).collect()} == large
+
+
+def test_keys_grow_with_the_texts():
+    assert [near_texts.bits_for(n) for n in (0, 10**5, 10**7, 10**9)] == [12, 12, 16, 22]
+    assert len(near_texts.pivots()) == near_texts.PIVOTS
