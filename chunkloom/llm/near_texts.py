@@ -18,6 +18,9 @@ each key comes once; those beyond ``bucket_limit`` rows by aggregates and salted
 fail the comparison keeps no link, though it may have another partner; leaders
 differ by key, and a test measures what is found.
 
+Texts are moved as little as possible: a bitmap of hashed keys tells the documents that a join may need
+from the others, which stay where they are scanned.
+
 Texts that are equal but for the case of A-Z and for white space are one class and always
 copies; null, empty and wordless texts are one such class.  A text of fewer than five
 words has one shingle, all its words.  Very long texts are hashed in blocks.  Ties: the
@@ -60,6 +63,11 @@ BLOCK = 65536
 # Few, as so wide a radius seldom lets them discard a pair.
 PIVOTS = 8
 SIGNATURE = [f"s{i}" for i in range(WORDS)]
+# Bits of a sieve for each of its keys, and of one of its slots. A sieve has 8 MB at most; with more
+# keys than that is made for it lets more rows through to the join behind it.
+SIEVE_BITS = 32
+SLOT_BITS = 1 << 15
+MOST_SLOTS = 1 << 11
 
 
 def key_count(key_bits: int) -> int:
@@ -96,10 +104,16 @@ def shingle_hashes(words: list[bytes], size: int) -> Iterator:
         yield np.array([digest(b" ".join(s), SEED) for s in shingles], "<u8")
 
 
+def node_of(words: list[bytes]) -> int:
+    """A hash of the folded words, as a signed number."""
+    import xxhash
+
+    return (xxhash.xxh64_intdigest(b" ".join(words)) ^ 1 << 63) - (1 << 63)
+
+
 def signature_of(text: str | None) -> list[int]:
     """A hash of the folded words, then the words of the wide fingerprint, as signed numbers."""
     import numpy as np
-    import xxhash
 
     words = folded_words(text)
     ones, total = np.zeros((WORDS, 64), np.int64), 0
@@ -111,8 +125,7 @@ def signature_of(text: str | None) -> list[int]:
             bits = np.unpackbits(mixed.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             ones[i] += bits.sum(axis=0, dtype=np.int32)
     prints = np.packbits(ones * 2 > total, axis=1, bitorder="little").view("<i8")[:, 0]
-    body = np.array([xxhash.xxh64_intdigest(b" ".join(words))], np.uint64).view(np.int64)
-    return [int(body[0]), *map(int, prints)]
+    return [node_of(words), *map(int, prints)]
 
 
 @F.pandas_udf(StructType([StructField(name, LongType()) for name in ("node", *SIGNATURE)]))
@@ -122,16 +135,25 @@ def signature(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["node", *SIGNATURE], dtype="int64")
 
 
+def shingles_of(text: str | None):
+    """The distinct hashed five-word shingles of a text."""
+    import numpy as np
+
+    blocks = list(shingle_hashes(folded_words(text), SHINGLE))
+    return np.unique(np.concatenate(blocks)).view(np.int64) if blocks else np.empty(0, np.int64)
+
+
 @F.pandas_udf(ArrayType(LongType()))
 def shingle_set(texts: pd.Series) -> pd.Series:
-    """The distinct hashed five-word shingles of each text."""
-    import numpy as np
+    """The shingles of a column of texts."""
+    return texts.map(shingles_of)
 
-    def one(text):
-        blocks = list(shingle_hashes(folded_words(text), SHINGLE))
-        return np.unique(np.concatenate(blocks)).view(np.int64) if blocks else np.empty(0, np.int64)
 
-    return texts.map(one)
+def shingle_rows(frames: Iterator) -> Iterator:
+    """Rows of one column of texts -> (node, shingles)."""
+    for frame in frames:
+        texts = frame.iloc[:, 0]
+        yield pd.DataFrame({"node": [node_of(folded_words(t)) for t in texts], "shingles": texts.map(shingles_of)})
 
 
 def masks(key_bits: int = KEY_BITS) -> list[list[int]]:
@@ -166,7 +188,7 @@ def _rank(key: Column, node: Column) -> Column:
 
 
 def leader_links(frames: Iterator) -> Iterator:
-    """Rows (key, rank, node, s0, ...) sorted by key and rank -> links (hi, lo); a bucket may span frames."""
+    """Rows (key, node, s0, ...) sorted by key and rank -> links (hi, lo); a bucket may span frames."""
     import numpy as np
 
     references = np.array(pivots())
@@ -226,9 +248,9 @@ def proposals(classes: DataFrame, bucket_limit: int = BUCKET_LIMIT, key_bits: in
         large = F.broadcast(materialize(sizes.where(F.col("n") > bucket_limit).select("key"), "buckets"))
         found.append(
             rest.join(large, "key", "left_anti")
-            .select("key", _rank(F.col("key"), F.col("node")).alias("rank"), "node", *SIGNATURE)
+            .select("key", "node", *SIGNATURE)
             .repartition("key")
-            .sortWithinPartitions("key", "rank")
+            .sortWithinPartitions(F.col("key"), _rank(F.col("key"), F.col("node")))
             .mapInPandas(leader_links, "hi long, lo long")
         )
         hot = rest.join(large, "key", "left_semi").select("key", "node", *SIGNATURE)
@@ -250,6 +272,23 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFra
     ).select("hi", "lo")
 
 
+def sieved(rows: DataFrame, key: Column, keys: DataFrame, name: str) -> DataFrame:
+    """``rows`` with a column ``name``, false where ``key`` is none of ``keys(key)`` for sure, by a broadcast bitmap."""
+    slots = min(MOST_SLOTS, max(1, math.ceil(keys.count() * SIEVE_BITS / SLOT_BITS)))
+    slot, bits = unused(rows, f"{name}_slot"), unused(rows, f"{name}_bits")
+
+    def place(one: Column) -> tuple[Column, Column]:
+        at = F.pmod(one, F.lit(slots * SLOT_BITS))
+        return F.floor(at / SLOT_BITS), at % SLOT_BITS
+
+    held, bit = place(F.col("key"))
+    held = keys.groupBy(held.alias(slot)).agg(F.bitmap_construct_agg(bit).alias(bits))
+    here, bit = place(key)
+    byte = F.conv(F.hex(F.substr(F.col(bits), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))
+    return rows.join(F.broadcast(held), here == F.col(slot), "left").withColumn(name, found).drop(slot, bits)
+
+
 def first_of_near(
     docs: DataFrame,
     id_column: str = "doc_id",
@@ -265,19 +304,16 @@ def first_of_near(
     classes = materialize(prints.groupBy("node", *SIGNATURE).agg(best.alias("best")), "classes")
     pairs = proposals(classes, bucket_limit, key_bits)
 
-    # Shingles of one row of each class that is in a pair.
-    names = {n: unused(docs, f"_near_{n}") for n in ("id", "body", "node", "n")}
+    # Shingles of one row of each class that is in a pair; a few other rows pass the sieve and meet no pair.
+    names = {n: unused(docs, f"_near_{n}") for n in ("id", "body", "n", "open")}
+    key = F.xxhash64(docs[id_column], body)
     ends = pairs.select(F.explode(F.array("hi", "lo")).alias("node")).distinct()
-    at = classes.join(ends, "node", "left_semi").select(
-        F.col("best.doc_id").alias(names["id"]), F.col("best.body").alias(names["body"]), F.col("node").alias(names["node"])
-    )
-    same = docs[id_column].eqNullSafe(F.col(names["id"])) & (body == F.col(names["body"]))
-    sets = docs.join(materialize(at, "ends"), same).select(
-        F.col(names["node"]).alias("node"), shingle_set(docs[text_column]).alias("shingles")
-    )
-    sets = materialize(sets.dropDuplicates(["node"]), "sets")
+    ends = classes.join(ends, "node", "left_semi").select(F.xxhash64("best.doc_id", "best.body").alias("key"))
+    possible = sieved(docs, key, materialize(ends, "ends"), names["open"]).where(names["open"])
+    # Not by two Column functions: a test for null that the joins add can call the first once more, in a worker of its own.
+    sets = possible.select(docs[text_column]).mapInPandas(shingle_rows, "node long, shingles array<long>")
 
-    roots = connected_components(verified(pairs, sets)).withColumnRenamed("node", "member")
+    roots = connected_components(verified(pairs, sets.dropDuplicates(["node"]))).withColumnRenamed("node", "member")
     heads = roots.select(F.col("root").alias("head")).distinct()
     rooted = classes.join(roots, classes.node == roots.member, "left").withColumn("group", F.coalesce("root", "node"))
     rooted = rooted.join(heads, rooted["group"] == heads["head"], "left")
@@ -292,8 +328,16 @@ def first_of_near(
         F.col("k.body").alias(names["body"]),
         F.coalesce("copies", F.lit(1)).alias(names["n"]),
     )
-    marked = docs.join(materialize(kept, "kept"), same)
-    single = marked.where(F.col(names["n"]) == 1).select(*docs.columns)
+    kept = materialize(kept, "kept")
+    # Most documents stay and occur once: only the others meet what is kept.
+    once = kept.where(F.col(names["n"]) == 1).select(names["id"], names["body"])
+    is_once = prints["doc_id"].eqNullSafe(F.col(names["id"])) & (prints["body"] == F.col(names["body"]))
+    unsettled = prints.join(once, is_once, "left_anti").select(F.xxhash64("doc_id", "body").alias("key"))
+    checked = sieved(docs, key, materialize(unsettled, "unsettled"), names["open"])
+    settled = checked.where(~F.col(names["open"])).select(*docs.columns)
+    same = docs[id_column].eqNullSafe(F.col(names["id"])) & (body == F.col(names["body"]))
+    marked = checked.where(names["open"]).join(kept, same)
+    single = settled.union(marked.where(F.col(names["n"]) == 1).select(*docs.columns))
     if copies.isEmpty():
         return single
     # Only rows that are repeated with id and text have to meet.

@@ -203,3 +203,34 @@ def test_pivots_discard_no_near_pair_and_each_key_is_dealt_once(spark, monkeypat
 def test_keys_grow_with_the_texts():
     assert [near_texts.bits_for(n) for n in (0, 10**5, 10**7, 10**9)] == [12, 12, 16, 22]
     assert len(near_texts.pivots()) == near_texts.PIVOTS
+
+
+def test_a_sieve_passes_all_its_keys_and_few_others(spark, monkeypatch):
+    rows = spark.range(-20000, 20000).select("id", F.xxhash64("id").alias("h"))
+    for most, share in ((1 << 11, 0.1), (1, 0.2)):
+        monkeypatch.setattr(near_texts, "MOST_SLOTS", most)
+        for keys in (rows.where("id % 7 = 0"), rows.where("id < -20000"), rows.where("id = 3")):
+            out = near_texts.sieved(rows, F.col("h"), keys.select(F.col("h").alias("key")), "open")
+            assert out.columns == ["id", "h", "open"] and out.count() == 40000
+            passed = out.where("open")
+            assert keys.join(passed, "id", "left_anti").isEmpty()
+            assert passed.count() - keys.count() <= share * 40000
+
+
+def test_most_texts_stay_where_they_are_scanned(spark, monkeypatch):
+    rows = made_texts(10, 300, 0, 0) + [(1000 + i, t) for i, t in made_texts(11, 6, 4, 2)]
+    want, _ = first_ids(rows)
+    docs = near_texts.materialize(spark.createDataFrame(rows, "doc_id long, text string"))
+    moved, sieved = [], near_texts.sieved
+
+    def noted(rows, key, keys, name):
+        out = sieved(rows, key, keys, name)
+        moved.append(out.where(name).count())
+        return out
+
+    monkeypatch.setattr(near_texts, "sieved", noted)
+    out = near_texts.first_of_near(docs)
+    assert not want - {r.doc_id for r in out.select("doc_id").collect()}
+    # Once for the shingles of what is in a pair, once for what goes or is repeated.
+    assert len(moved) == 2 and all(24 <= n <= 80 for n in moved)
+    assert near_texts.first_of_near(docs.union(docs)).count() == out.count()
