@@ -13,7 +13,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Literal
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,7 +51,8 @@ class UnavailableError(OperatorError):
 class Operator:
     """``process`` turns chunks into rows of ``output``: columns by ``chunk_id`` (tagger) or chunk rows (augmenter).
 
-    ``config`` describes each setting by ``type`` and, where wanted, ``minimum``, ``maximum``, ``enum`` and
+    A tagger that needs no other row gives ``columns`` instead, by name for a configuration: these are set where
+    the rows lie, without a join or an exchange.  ``config`` describes each setting by ``type`` and, where wanted, ``minimum``, ``maximum``, ``enum`` and
     ``default``; settings without a default are required.
     """
 
@@ -60,8 +61,9 @@ class Operator:
     category: Literal["tagger", "augmenter"]
     config: dict[str, dict]
     output: T.StructType
-    process: Callable[[DataFrame, dict], DataFrame]
+    process: Callable[[DataFrame, dict], DataFrame] | None = None
     health_check: Callable[[], bool] = field(default=lambda: True)
+    columns: Callable[[dict], dict[str, Column]] | None = None
 
 
 def checked_config(operator: Operator, config: dict) -> dict:
@@ -146,8 +148,15 @@ def run_operator(operator: Operator, table: ChunkTable, ledger: Ledger, config:
         if count == 0:
             return 0
         chunks = original_chunks(table.read(pending.withColumnRenamed("source_id", "id")))
-        rows = checked_output(operator, operator.process(chunks, settings))
-        if operator.category == "tagger":
+        columns = operator.columns(settings) if operator.columns else None
+        if columns is not None:
+            rows = chunks.select("chunk_id", *[made.alias(name) for name, made in columns.items()])
+        else:
+            rows = operator.process(chunks, settings)
+        checked_output(operator, rows)
+        if columns is not None:
+            table.set_columns(columns, [CHUNKS_ASSET], pending.withColumnRenamed("source_id", "id"))
+        elif operator.category == "tagger":
             table.merge(rows, producers=[CHUNKS_ASSET])
         else:
             table.replace_rows(rows)

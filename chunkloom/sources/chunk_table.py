@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ from chunkloom.sources import hadoop
 
 LAYOUT = ["producer_asset", "source_bucket"]
 DEFAULT_BUCKETS = 64
+# Source ids that are broadcast at once.
+IDS_AT_ONCE = 500_000
 
 
 def merge_columns(table: DataFrame, updates: DataFrame) -> DataFrame:
@@ -225,6 +228,42 @@ class ChunkTable:
         if hadoop.has_data(self.spark, self.path):
             self._overwrite(self.rewritten(add, producers, requested))
 
+    def with_columns(self, columns: dict[str, Column], producers: list[str], requested: DataFrame) -> DataFrame | None:
+        """Stored rows in the buckets of the ``requested(id)`` sources; ``columns`` are set in rows of these sources.
+
+        No row leaves the task that scans it: the ids are broadcast, those of some buckets to the scan of
+        these buckets, at most ``IDS_AT_ONCE`` at a time.
+        """
+        types = {f.name: f.dataType for f in self._schema().fields}
+        wanted = requested.select(F.col("id").alias("source_id")).where("source_id IS NOT NULL").distinct()
+        parts: list[tuple[list[int], int]] = []
+        for bucket, n in sorted(wanted.groupBy(self._bucket().alias("bucket")).count().collect()):
+            if parts and parts[-1][1] + n <= IDS_AT_ONCE:
+                parts[-1] = (parts[-1][0] + [bucket], parts[-1][1] + n)
+            else:
+                parts.append(([bucket], n))
+        stored = self._stored().where(F.col("producer_asset").isin(producers))
+        done = []
+        for buckets, n in parts:
+            rows = stored.where(F.col("source_bucket").isin(buckets))
+            ids, blocks = wanted.where(self._bucket().isin(buckets)), -(-n // IDS_AT_ONCE)
+            flags = [f"_wanted{i}" for i in range(blocks)]
+            for i, flag in enumerate(flags):
+                block = ids.where(F.pmod(F.hash("source_id"), F.lit(blocks)) == i)
+                rows = rows.join(F.broadcast(block.withColumn(flag, F.lit(True))), "source_id", "left")
+            mine = F.coalesce(*flags, F.lit(False)) & F.col("chunk_id").isNotNull()
+            new = {c: F.when(mine, made.cast(types[c]) if c in types else made) for c, made in columns.items()}
+            new = {c: made.otherwise(F.col(c)) if c in types else made for c, made in new.items()}
+            done.append(rows.select(*[new.pop(c, F.col(c)).alias(c) for c in stored.columns], *[made.alias(c) for c, made in new.items()]))
+        return reduce(DataFrame.union, done) if done else None
+
+    def set_columns(self, columns: dict[str, Column], producers: list[str], requested: DataFrame) -> None:
+        """Write what ``with_columns`` gives, with no exchange."""
+        if hadoop.has_data(self.spark, self.path):
+            rows = self.with_columns(columns, producers, requested)
+            if rows is not None:
+                self._overwrite(rows, laid_out=True)
+
     def merge(self, updates: DataFrame, producers: list[str] | None = None) -> None:
         """Column mode on the stored table.
 

@@ -97,3 +97,37 @@ def test_augmenters(spark, stored):
     operator = Operator(swap.name, "1", "augmenter", {}, CHUNK_SCHEMA, lambda chunks, config: augment.augment(chunks, swap))
     assert [run_operator(operator, table, ledger, {}, ids) for _ in range(2)] == [9, 0]
     assert table.read().where("augmented_from IS NOT NULL").count() == 9
+
+
+def long_by_row(config):
+    return {"attr_long": F.col("token_count") > config["words"]}
+
+
+@pytest.mark.parametrize("at_once", [500_000, 2, 1])
+def test_a_tagger_by_row_moves_no_row(spark, stored, monkeypatch, at_once):
+    from chunkloom.schema import CHUNKS_ASSET
+    from chunkloom.sources import chunk_table
+
+    monkeypatch.setattr(chunk_table, "IDS_AT_ONCE", at_once)
+    table, ledger, ids = stored
+    table.replace_rows(table.read().withColumn("producer_asset", F.lit("other")).withColumn("chunk_id", F.concat("chunk_id", F.lit("_o"))))
+    operator = Operator("long", "1", "tagger", {"words": {"type": "integer"}}, TAGS, columns=long_by_row)
+
+    def tags():
+        return {r.source_id: r.attr_long for r in table.read().where("producer_asset = 'chunks'").collect()}
+
+    assert run_operator(operator, table, ledger, {"words": 4}, ids.where("id < 4").union(ids.where("id < 3"))) == 3
+    assert tags() == {i: False if i < 4 else None for i in range(1, 10)}
+    assert run_operator(operator, table, ledger, {"words": 4}, ids) == 6
+    assert run_operator(operator, table, ledger, {"words": 4}, ids) == 0
+    assert tags() == {i: i > 4 for i in range(1, 10)}
+    assert run_operator(operator, table, ledger, {"words": 6}, ids.where("id > 5").union(spark.range(77, 78))) == 5
+    assert tags() == {i: i > 6 if i > 5 else i > 4 for i in range(1, 10)}
+    assert table.read().count() == 18 and table.read().where("attr_long IS NOT NULL").count() == 9
+    # Exchanges only bring the ids together and broadcast them.
+    rows = table.with_columns(long_by_row({"words": 1}), [CHUNKS_ASSET], ids)
+    assert "SortMergeJoin" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert all("text" not in line for line in rows._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line)
+    wrong = Operator("long", "1", "tagger", {}, TAGS, columns=lambda config: {"attr_long": F.col("token_count")})
+    with pytest.raises(OutputError):
+        run_operator(wrong, table, ledger, {}, ids)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,13 +13,12 @@ from workload import tables
 from workload.registry import CHUNKS, query
 
 
-def _shout(chunks: DataFrame, config: dict) -> DataFrame:
-    most = config["most"]
-    return chunks.select("chunk_id", (F.length(F.regexp_replace("text", "[^A-Z]", "")) > most).alias("attr_capitals"))
+def _shout(config: dict) -> dict[str, Column]:
+    return {"attr_capitals": F.length(F.regexp_replace("text", "[^A-Z]", "")) > config["most"]}
 
 
 CAPITALS = Operator(
-    "capitals", "1", "tagger", {"most": {"type": "integer", "minimum": 0, "default": 20}}, T.StructType().add("chunk_id", "string").add("attr_capitals", "boolean"), _shout
+    "capitals", "1", "tagger", {"most": {"type": "integer", "minimum": 0, "default": 20}}, T.StructType().add("chunk_id", "string").add("attr_capitals", "boolean"), columns=_shout
 )
 
 
