@@ -20,13 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chunkloom.functions.text import words
-from chunkloom.session import materialize
+from chunkloom.session import large_rows, materialize
 
 # Length of the table's vector column.
 WIDTH = 1024
 # A batch ends with the text that reaches one of these.
 BATCH_BYTES, BATCH_TEXTS = 4 << 20, 2048
 BATCHES_PER_RANGE = 2
+# A scan of the batches holds so many bytes of them at a time, and a batch.
+GROUP_BYTES = 16 << 20
 
 
 def _deal(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +127,8 @@ def tag_embeddings(chunks: DataFrame, width: int = WIDTH) -> DataFrame:
     """(chunk_id, attr_embed_vector) for every chunk."""
     # Words hold no blank, so this can be split again; the task's Python gets folded words only.
     folded = F.array_join(words(F.coalesce("text", F.lit(""))), " ").cast("binary")
-    dealt = materialize(chunks.select("chunk_id", folded).mapInArrow(_deal, "batch long, ids array<string>, texts array<binary>"), "batches")
+    dealt = chunks.select("chunk_id", folded).mapInArrow(_deal, "batch long, ids array<string>, texts array<binary>")
+    dealt = materialize(dealt, "batches", **large_rows(GROUP_BYTES))
     batches, total = dealt.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()
     ranges = max(1, -(-batches // BATCHES_PER_RANGE))
     asked = dealt.select("batch", "texts").mapInArrow(_ask(ranges), "range long, batch long, digests binary, texts binary")

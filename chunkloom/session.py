@@ -79,8 +79,8 @@ def scratch_tables(spark: SparkSession) -> Iterator[None]:
         _open.paths = outer
 
 
-def materialize(df: DataFrame, label: str = "step") -> DataFrame:
-    """Cut the lineage of a job by a table written to the shared folder.
+def materialize(df: DataFrame, label: str = "step", **options: str) -> DataFrame:
+    """Cut the lineage of a job by a table written to the shared folder, with ``options`` of the writer.
 
     Runs the plan once (a checkpoint runs its last stage twice), survives lost
     executors, and gives the steps after it columnar scans with known sizes.
@@ -89,12 +89,21 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     path = scratch_path(spark, label)
     if getattr(_open, "paths", None) is not None:
         _open.paths.append(path)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
 
 
+def large_rows(group_bytes: int) -> dict[str, str]:
+    """Writer options for rows of megabytes: pages of a row, groups of ``group_bytes``.
+
+    Parquet counts a hundred rows before it first looks at their size; readers hold a whole group of nested rows.
+    """
+    checks = {f"parquet.page.size.row.check.{end}": "1" for end in ("min", "max")}
+    return {"parquet.block.size": str(group_bytes), **checks}
+
+
 def discard(df: DataFrame) -> None:
     """Delete the table behind a frame of ``materialize`` that nothing reads any more."""
     path = getattr(df, "scratch_path", None)

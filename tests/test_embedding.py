@@ -1,9 +1,11 @@
 """Feature hashing against a dictionary of counts."""
 
+import glob
 import hashlib
 import math
 from collections import Counter
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,3 +69,21 @@ def test_features_are_asked_for_once_a_batch(spark, monkeypatch):
     assert len(got) == len(want)
     for i, vector in enumerate(want):
         assert got[f"{i}_0"] == (vector and pytest.approx(vector, abs=1e-6))
+
+
+def test_batches_are_scanned_a_few_at_a_time(spark, monkeypatch):
+    from chunkloom.operators import embedding
+
+    written, materialize = [], embedding.materialize
+    monkeypatch.setattr(embedding, "materialize", lambda *a, **b: written.append(materialize(*a, **b)) or written[-1])
+    monkeypatch.setattr(embedding, "BATCH_BYTES", 1 << 14)
+    monkeypatch.setattr(embedding, "GROUP_BYTES", 1 << 16, raising=False)
+    # The first batches are small ones, which say nothing of those behind them.
+    monkeypatch.setattr(embedding, "BATCH_TEXTS", 8)
+    texts = [f"{i}" for i in range(64)] + [" ".join(hashlib.md5(f"{i} {j}".encode()).hexdigest() for j in range(60)) for i in range(600)]
+    chunks = spark.createDataFrame([(f"{i}_0", t) for i, t in enumerate(texts)], "chunk_id string, text string").coalesce(1)
+    assert tag_embeddings(chunks, 64).count() == len(texts)
+    (file,) = glob.glob(f"{written[0].scratch_path.removeprefix('file:')}/*.parquet")
+    groups = pq.ParquetFile(file).metadata
+    sizes = [groups.row_group(i).total_byte_size for i in range(groups.num_row_groups)]
+    assert sum(sizes) > 1 << 20 and max(sizes) <= (1 << 16) + 3 * (1 << 14)
