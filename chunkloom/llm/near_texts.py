@@ -12,11 +12,15 @@ differ by more than ``RADIUS`` cannot be near and is discarded.  What is left an
 ``RADIUS`` of the 256 bits, which strangers hardly ever do, is proposed, and a proposal becomes a link if the Jaccard similarity of
 the sets of five-word shingles is at least ``LEAST``: no link is wrong.
 
-A bucket gives leaders, not pairs: its first member by a hash leads, members near it are
-proposed with it, and the others choose again.  Small buckets do so inside one task, to which
-each key comes once; those beyond ``bucket_limit`` rows by aggregates and salted joins.  A text whose leaders all
-fail the comparison keeps no link, though it may have another partner; leaders
-differ by key, and a test measures what is found.
+A bucket proposes a forest, not pairs: its first member by a hash leads, members near it are
+proposed with it and lead in turn, and the others choose again.  Small buckets do so inside one task, to which
+each key comes once; those beyond ``bucket_limit`` rows choose leaders only, by aggregates and salted joins.
+What the forests (and the large buckets) join is a family: whatever two texts are near in a bucket are in one.  A family that the
+links of its proposals leave in several parts is compared whole, so that no text depends on its leaders: its members
+are dealt into cells of bounded size, and each two cells that may hold a link meet in a task,
+which looks for shared rare shingles (a pair at ``LEAST`` has one among its rarest fifth) and counts what candidates share.
+A part that fills cells of its own is not compared with itself.  So every pair that is near in a bucket and
+similar is joined, at a cost that grows with the square of a family's parts, and a task holds two cells.
 
 Texts are moved as little as possible: a bitmap of hashed keys tells the documents that a join may need
 from the others, which stay where they are scanned.
@@ -36,6 +40,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
@@ -63,6 +68,9 @@ BLOCK = 65536
 # Few, as so wide a radius seldom lets them discard a pair.
 PIVOTS = 8
 SIGNATURE = [f"s{i}" for i in range(WORDS)]
+# Weight of a cell, in shingles; each member weighs some more.
+CELL = 1 << 19
+MEMBER = 256
 # Bits of a sieve for each of its keys, and of one of its slots. A sieve has 8 MB at most; with more
 # keys than that is made for it lets more rows through to the join behind it.
 SIEVE_BITS = 32
@@ -188,7 +196,7 @@ def _rank(key: Column, node: Column) -> Column:
 
 
 def leader_links(frames: Iterator) -> Iterator:
-    """Rows (key, node, s0, ...) sorted by key and rank -> links (hi, lo); a bucket may span frames."""
+    """Rows (key, node, s0, ...) sorted by key and rank -> links (hi, lo) that join whatever is near; a bucket may span frames."""
     import numpy as np
 
     references = np.array(pivots())
@@ -198,19 +206,27 @@ def leader_links(frames: Iterator) -> Iterator:
         # Buckets of one row have no links.
         same = np.r_[False, keys[1:] == keys[:-1], False]
         rest = np.flatnonzero(same[1:] | same[:-1])
+        bucket = np.cumsum(~same[:-1]) - 1
+        waiting, buckets = rest[:0], len(frame) - int(same.sum())
         highs, lows = [], []
         distances = np.bitwise_count((prints[:, None] ^ references).view(np.uint64)).sum(axis=2, dtype=np.int16)
         while len(rest):
-            first = np.r_[True, keys[rest][1:] != keys[rest][:-1]]
-            lead = rest[np.flatnonzero(first)[np.cumsum(first) - 1]]
-            near = np.abs(distances[rest] - distances[lead]).max(axis=1) <= RADIUS
-            apart = (prints[rest[near]] ^ prints[lead[near]]).view(np.uint64)
+            # In each bucket the first that waits to lead, else the first of the rest: of equal places the last one written counts.
+            lead = np.full(buckets, -1)
+            lead[bucket[rest[::-1]]] = rest[::-1]
+            open_buckets = lead >= 0
+            waiting = waiting[open_buckets[bucket[waiting]]]
+            lead[bucket[waiting[::-1]]] = waiting[::-1]
+            waiting, rest = (part[lead[bucket[part]] != part] for part in (waiting, rest))
+            leader = lead[bucket[rest]]
+            near = np.abs(distances[rest] - distances[leader]).max(axis=1) <= RADIUS
+            apart = (prints[rest[near]] ^ prints[leader[near]]).view(np.uint64)
             near[near] = np.bitwise_count(apart).sum(axis=1, dtype=np.int16) <= RADIUS
-            linked = near & (nodes[rest] != nodes[lead])
-            a, b = nodes[rest[linked]], nodes[lead[linked]]
+            linked = near & (nodes[rest] != nodes[leader])
+            a, b = nodes[rest[linked]], nodes[leader[linked]]
             highs.append(np.maximum(a, b))
             lows.append(np.minimum(a, b))
-            rest = rest[~near]
+            waiting, rest = np.r_[waiting, rest[near]], rest[~near]
         return pd.DataFrame({"hi": np.concatenate(highs), "lo": np.concatenate(lows)} if highs else {"hi": [], "lo": []}, dtype="int64")
 
     held = None
@@ -239,9 +255,14 @@ def leader_round(members: DataFrame) -> DataFrame:
 
 def proposals(classes: DataFrame, bucket_limit: int = BUCKET_LIMIT, key_bits: int | None = None) -> DataFrame:
     """``classes(node, s0, s1, ...)`` -> distinct pairs (hi, lo) worth a comparison."""
+    return proposals_and_mates(classes, bucket_limit, key_bits)[0]
+
+
+def proposals_and_mates(classes: DataFrame, bucket_limit: int = BUCKET_LIMIT, key_bits: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The proposals, and pairs (hi, lo) that join the members of each large bucket, near or not."""
     bits = key_bits or bits_for(classes.count())
     rest = classes.select("node", *SIGNATURE, F.explode(bucket_keys(bits)).alias("key"))
-    found = []
+    found, mates = [], []
     while True:
         # Large buckets are few, at most one for each ``bucket_limit`` rows; all others go to their task at once.
         sizes = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
@@ -255,9 +276,12 @@ def proposals(classes: DataFrame, bucket_limit: int = BUCKET_LIMIT, key_bits: in
         )
         hot = rest.join(large, "key", "left_semi").select("key", "node", *SIGNATURE)
         if hot.isEmpty():
-            return materialize(reduce(DataFrame.union, found).distinct(), "proposals")
+            pairs = materialize(reduce(DataFrame.union, found).distinct(), "proposals")
+            return pairs, reduce(DataFrame.union, mates or [pairs.limit(0)]).distinct()
         led = materialize(leader_round(hot), "led")
         ends = F.greatest("node", "leader").alias("hi"), F.least("node", "leader").alias("lo")
+        # What is far from the leader of now is near others, which the leader's members are not compared with here.
+        mates.append(led.where("NOT near").select(*ends))
         found.append(led.where("near AND node != leader").select(*ends))
         rest = led.where("NOT near").select("node", *SIGNATURE, "key")
 
@@ -272,6 +296,94 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFra
     ).select("hi", "lo")
 
 
+def labelled(sets: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """``sets`` with the component of each node as ``name``."""
+    roots = connected_components(links).select(F.col("node").alias("_member"), F.col("root").alias("_root"))
+    joined = sets.join(roots, sets["node"] == roots["_member"], "left")
+    return joined.withColumn(name, F.coalesce("_root", "node")).drop("_member", "_root")
+
+
+def in_cells(members: DataFrame, cell: int) -> DataFrame:
+    """``members(node, size, family, root)`` of the families to be compared -> (family, cell, own, node, root).
+
+    Parts of a cell's weight or more have cells of their own, with the part's root as ``own``; the others of a family share cells.
+    """
+    weight = F.sum(F.col("size") + MEMBER)
+    parts = members.groupBy("root").agg(F.min("family").alias("family"), F.count(F.lit(1)).alias("members"), weight.alias("weight"))
+    small = F.when(F.col("weight") < cell, F.col("weight")).otherwise(0)
+    families = parts.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum("members").alias("all"), F.sum(small).alias("shared"))
+    # Of two members the pair has been compared already.
+    families = families.where("n > 1 AND all > 2").select("family", "n", "shared")
+    parts = join_salted(parts, families, "family", F.col("root"))
+    parts = parts.select("root", F.col("members").alias("n"), "weight", "shared")
+    own = F.when(F.col("weight") >= cell, F.col("root"))
+    many = F.greatest(F.ceil(F.when(own.isNull(), F.col("shared")).otherwise(F.col("weight")) / cell), F.lit(1))
+    dealt = F.pmod(F.when(own.isNull(), F.xxhash64("root")).otherwise(F.xxhash64("node")), many)
+    out = join_salted(members, parts, "root", F.col("node")).withColumn("own", own)
+    return out.select("family", F.concat_ws("_", "own", dealt).alias("cell"), "own", "node", "root")
+
+
+def exact_links(table: pa.Table) -> pa.Table:
+    """Rows (side, node, root, shingles) of two cells, or of one -> links (hi, lo) that join the roots of similar rows."""
+    import numpy as np
+
+    nodes, roots, side = (table[c].to_numpy() for c in ("node", "root", "side"))
+    sets = table["shingles"].combine_chunks()
+    sizes = sets.value_lengths().to_numpy()
+    starts = np.r_[0, np.cumsum(sizes)]
+    _, ids, counts = np.unique(sets.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    # Shingles numbered from the rarest, in this order in each row.
+    rank = np.empty(len(counts), np.int64)
+    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+    row = np.repeat(np.arange(len(nodes)), sizes)
+    ids = rank[ids]
+    ids = ids[np.lexsort((ids, row))]
+    # Rows that share fewer than the least number have none of these in common.
+    heads = sizes - np.ceil(LEAST * sizes - 1e-9).astype(np.int64) + 1
+    head = np.arange(len(ids)) - starts[row] < heads[row]
+    by_id = np.argsort(ids[head], kind="stable")
+    holders, begins = row[head][by_id], np.searchsorted(ids[head][by_id], np.arange(len(counts) + 1))
+    part, crossed = np.unique(roots, return_inverse=True)[1], side.min() != side.max()
+    shared, highs, lows = np.zeros(len(counts), bool), [], []
+    for x in range(len(nodes)):
+        own = ids[starts[x] : starts[x + 1]]
+        first = own[: heads[x]] if len(own) else own
+        held = [holders[begins[i] : begins[i + 1]] for i in first[begins[first + 1] - begins[first] > 1]]
+        if not held:
+            continue
+        met = np.unique(np.concatenate(held))
+        met = met[(met < x) & (part[met] != part[x])]
+        met = met[np.minimum(sizes[met], sizes[x]) >= LEAST * np.maximum(sizes[met], sizes[x]) - 1e-9]
+        met = met[side[met] != side[x]] if crossed else met
+        if not len(met):
+            continue
+        shared[own] = True
+        theirs = shared[np.concatenate([ids[starts[y] : starts[y + 1]] for y in met])]
+        both = np.add.reduceat(theirs, np.r_[0, np.cumsum(sizes[met])[:-1]], dtype=np.int64)
+        shared[own] = False
+        for y in met[both >= LEAST * (sizes[met] + sizes[x] - both) - 1e-9]:
+            if part[y] != part[x]:
+                part[part == part[y]] = part[x]
+                highs.append(max(nodes[x], nodes[y]))
+                lows.append(min(nodes[x], nodes[y]))
+    return pa.table({"hi": pa.array(highs, pa.int64()), "lo": pa.array(lows, pa.int64())})
+
+
+def family_links(sets: DataFrame, links: DataFrame, family: DataFrame, cell: int | None = None) -> DataFrame:
+    """The links (hi, lo) that ``links`` lack so that all similar ``sets(node, size, shingles)`` of a family are joined; ``family(hi, lo)`` joins families."""
+    members = labelled(labelled(sets.select("node", "size"), family, "family"), links, "root")
+    members = materialize(in_cells(materialize(members, "members"), cell or CELL), "cells")
+    cells = members.groupBy("family", "cell").agg(F.first("own").alias("own"))
+    a, b = cells.alias("a"), cells.alias("b")
+    meet = a.join(b, F.expr("a.family = b.family AND a.cell <= b.cell AND coalesce(a.own != b.own, true)"))
+    ends = [F.struct(F.lit(0).alias("side"), F.col("a.cell").alias("cell")), F.struct(F.lit(1).alias("side"), F.col("b.cell").alias("cell"))]
+    ends = F.explode(F.when(F.expr("a.cell = b.cell"), F.array(ends[0])).otherwise(F.array(*ends))).alias("end")
+    meet = meet.select("a.family", F.concat_ws(" ", "a.family", "a.cell", "b.cell").alias("meeting"), ends).select("family", "meeting", "end.*")
+    dealt = members.select("family", "cell", "node", "root").join(meet, ["family", "cell"])
+    dealt = dealt.select("meeting", "side", "node", "root").join(sets.select("node", "shingles"), "node")
+    return materialize(dealt.groupBy("meeting").applyInArrow(exact_links, "hi long, lo long"), "family_links")
+
+
 def sieved(rows: DataFrame, key: Column, keys: DataFrame, name: str) -> DataFrame:
     """``rows`` with a column ``name``, false where ``key`` is none of ``keys(key)`` for sure, by a broadcast bitmap."""
     slots = min(MOST_SLOTS, max(1, math.ceil(keys.count() * SIEVE_BITS / SLOT_BITS)))
@@ -302,18 +414,22 @@ def first_of_near(
     prints = materialize(prints.select("doc_id", "body", "s.*"), "prints")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body"))
     classes = materialize(prints.groupBy("node", *SIGNATURE).agg(best.alias("best")), "classes")
-    pairs = proposals(classes, bucket_limit, key_bits)
+    pairs, mates = proposals_and_mates(classes, bucket_limit, key_bits)
+    family = pairs.union(mates)
 
     # Shingles of one row of each class that is in a pair; a few other rows pass the sieve and meet no pair.
     names = {n: unused(docs, f"_near_{n}") for n in ("id", "body", "n", "open")}
     key = F.xxhash64(docs[id_column], body)
-    ends = pairs.select(F.explode(F.array("hi", "lo")).alias("node")).distinct()
+    ends = family.select(F.explode(F.array("hi", "lo")).alias("node")).distinct()
     ends = classes.join(ends, "node", "left_semi").select(F.xxhash64("best.doc_id", "best.body").alias("key"))
     possible = sieved(docs, key, materialize(ends, "ends"), names["open"]).where(names["open"])
     # Not by two Column functions: a test for null that the joins add can call the first once more, in a worker of its own.
     sets = possible.select(docs[text_column]).mapInPandas(shingle_rows, "node long, shingles array<long>")
+    sets = materialize(sets.dropDuplicates(["node"]).withColumn("size", F.size("shingles")), "sets")
 
-    roots = connected_components(verified(pairs, sets.dropDuplicates(["node"]))).withColumnRenamed("node", "member")
+    links = materialize(verified(pairs, sets), "links")
+    links = links.union(family_links(sets, links, family))
+    roots = connected_components(links).withColumnRenamed("node", "member")
     heads = roots.select(F.col("root").alias("head")).distinct()
     rooted = classes.join(roots, classes.node == roots.member, "left").withColumn("group", F.coalesce("root", "node"))
     rooted = rooted.join(heads, rooted["group"] == heads["head"], "left")

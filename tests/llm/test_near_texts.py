@@ -234,3 +234,46 @@ def test_most_texts_stay_where_they_are_scanned(spark, monkeypatch):
     # Once for the shingles of what is in a pair, once for what goes or is repeated.
     assert len(moved) == 2 and all(24 <= n <= 80 for n in moved)
     assert near_texts.first_of_near(docs.union(docs)).count() == out.count()
+
+
+def related_pairs(seed, pairs, words=300):
+    """Texts in similar pairs; texts of different pairs are near, but not similar enough."""
+    rng, out = random.Random(seed), []
+    base = [f"w{i}" for i in range(words)]
+    for p in range(pairs):
+        one = [f"p{p}" if i % 5 == 0 and rng.random() < 0.25 else w for i, w in enumerate(base)]
+        other = list(one)
+        other[rng.randrange(words)] = f"q{p}"
+        out += [" ".join(one), " ".join(other)]
+    return list(enumerate(out))
+
+
+@pytest.mark.parametrize("pairs, bucket_limit, cell", [(400, near_texts.BUCKET_LIMIT, None), (40, 3, None), (40, near_texts.BUCKET_LIMIT, 5000), (40, 3, 1)])
+def test_no_pair_is_lost_to_a_leader_that_fails(spark, monkeypatch, pairs, bucket_limit, cell):
+    if cell:
+        monkeypatch.setattr(near_texts, "CELL", cell)
+    rows = related_pairs(2, pairs)
+    want, removable = first_ids(rows)
+    assert removable >= pairs
+    assert set(kept(spark, rows, bucket_limit=bucket_limit)) == want
+
+
+def test_what_a_leader_takes_leads_in_turn(spark):
+    # Rows 0 and 1 are near, 1 and 2 are, 0 and 2 are not; 3 is alone.
+    bits = [0, (1 << 60) - 1, (1 << 120) - 1, (1 << 240) - 1 - ((1 << 120) - 1)]
+    words = [[(b >> 64 * i & 2**64 - 1) for i in range(4)] for b in bits]
+    signed = [[w - (1 << 64) if w >> 63 else w for w in one] for one in words]
+    for order in ([0, 1, 2, 3], [2, 0, 3, 1], [3, 0, 2, 1], [1, 3, 2, 0]):
+        frame = near_texts.pd.DataFrame([[k, n, *signed[n]] for k in (5, 6) for n in order], columns=["key", "node", *near_texts.SIGNATURE])
+        found = [tuple(r) for part in near_texts.leader_links(iter([frame])) for r in part.to_numpy().tolist()]
+        assert sorted(found) == [(1, 0)] * 2 + [(2, 1)] * 2
+
+
+def test_cells_are_bounded_and_every_two_parts_meet(spark):
+    rows = [(n, 10, n % 3 if n < 90 else 1000 + n, n if n >= 60 else n % 6) for n in range(90)] + [(200, 5, 200, 200), (300, 1, 300, 300), (301, 1, 300, 301)]
+    members = near_texts.in_cells(spark.createDataFrame(rows, "node long, size int, family long, root long"), 5 * 266).collect()
+    # Families of one part or of two rows have nothing left to compare.
+    assert sorted(r.node for r in members) == list(range(90))
+    sizes = Counter((r.family, r.cell) for r in members)
+    assert max(sizes.values()) <= 12 and len(sizes) > 12
+    assert {r.own for r in members if r.node < 60} == set(range(6)) and {r.own for r in members if r.node >= 60} == {None}
